@@ -1,0 +1,56 @@
+"""Log files as Spark tables and streams: scan, detect, parse, search, follow."""
+
+from .operators.export import export_lines
+from .operators.parse import detect_formats, parse_logs
+from .operators.positions import (
+    goto_line,
+    match_page,
+    next_match,
+    nth_match,
+    prev_match,
+    rank_matches,
+)
+from .operators.search import (
+    log_view,
+    match_count,
+    match_spans,
+    search_counts,
+    search_logs,
+)
+from .operators.stats import file_summary, level_counts, line_counts
+from .plans.ingest import ingest, read_manifest, read_parsed, stale_files
+from .sources.listing import list_files
+from .sources.text_lines import number_lines, read_log_lines, scan_lines
+from .streaming.follow import follow, follow_segments, live_level_counts, tail_lines
+
+__all__ = [
+    "detect_formats",
+    "export_lines",
+    "file_summary",
+    "follow",
+    "follow_segments",
+    "goto_line",
+    "ingest",
+    "level_counts",
+    "line_counts",
+    "list_files",
+    "live_level_counts",
+    "log_view",
+    "match_count",
+    "match_page",
+    "match_spans",
+    "next_match",
+    "nth_match",
+    "number_lines",
+    "parse_logs",
+    "prev_match",
+    "rank_matches",
+    "read_log_lines",
+    "read_manifest",
+    "read_parsed",
+    "scan_lines",
+    "search_counts",
+    "search_logs",
+    "stale_files",
+    "tail_lines",
+]
