@@ -1,23 +1,44 @@
-"""Column expressions: text, timestamps, levels, JSON fields, formats."""
-
-from .formats import FORMATS, detect_format, has_json_extension
-from .json_fields import number_field, string_field
-from .levels import (
-    LEVELS,
-    keyword_level,
-    level_code,
-    level_name,
-    logcat_level,
-    syslog_level,
-    syslog_message,
-)
-from .text import clean_line, contains_ignoring_case, match_spans, trim_left
-from .timestamps import (
-    json_timestamp,
-    logcat_timestamp,
-    plain_timestamp,
-    syslog_timestamp,
-)
+"""Column functions: text, timestamps, levels, JSON fields, formats.
+
+Each takes column names (or SQL expressions) and returns a Column.
+"""
+
+from __future__ import annotations
+
+import functools
+
+from pyspark.sql import Column, functions as F
+
+from . import formats, json_fields, levels, text, timestamps
+from .formats import FORMATS
+from .levels import LEVELS
+
+
+def _column(build):
+    @functools.wraps(build)
+    def function(*args: str) -> Column:
+        return F.expr(build(*args))
+
+    return function
+
+
+clean_line = _column(text.clean_line)
+contains_ignoring_case = _column(text.contains_ignoring_case)
+match_spans = _column(text.match_spans)
+trim_left = _column(text.trim_left)
+plain_timestamp = _column(timestamps.plain_timestamp)
+logcat_timestamp = _column(timestamps.logcat_timestamp)
+syslog_timestamp = _column(timestamps.syslog_timestamp)
+json_timestamp = _column(timestamps.json_timestamp)
+string_field = _column(json_fields.string_field)
+number_field = _column(json_fields.number_field)
+keyword_level = _column(levels.keyword_level)
+logcat_level = _column(levels.logcat_level)
+syslog_level = _column(levels.syslog_level)
+syslog_message = _column(levels.syslog_message)
+level_code = _column(levels.level_code)
+level_name = _column(levels.level_name)
+detect_format = _column(formats.detect_format)
 
 __all__ = [
     "FORMATS",
@@ -25,7 +46,6 @@ __all__ = [
     "clean_line",
     "contains_ignoring_case",
     "detect_format",
-    "has_json_extension",
     "json_timestamp",
     "keyword_level",
     "level_code",

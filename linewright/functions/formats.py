@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from . import patterns as P
+from . import sql
 
 # Format names.
 PLAIN, LOGCAT, SYSLOG, JSON = "Plain text", "Logcat", "Syslog", "JSON"
@@ -14,33 +13,28 @@ FORMATS = (PLAIN, LOGCAT, SYSLOG, JSON)
 JSON_EXTENSIONS = ("json", "jsonl", "ndjson")
 
 
-def has_json_extension(path: Column) -> Column:
-    extension = F.regexp_extract(path, r"[^/]\.([^./]*)\z", 1)
-    return F.lower(extension).isin(*JSON_EXTENSIONS)
+def has_json_extension(path: str) -> str:
+    extension = sql.extract(path, r"[^/]\.([^./]*)\z")
+    return f"lower({extension}) IN ({sql.texts(JSON_EXTENSIONS)})"
 
 
-def sniff_code(first_line: Column) -> Column:
+def sniff_code(first_line: str) -> str:
     """Index into ``FORMATS`` for the first line of a file."""
-    return (
-        F.when(F.rlike(first_line, F.lit(P.LEADING_WS + P.LOGCAT_BANNER)), 1)
-        .when(F.rlike(first_line, F.lit(P.LOGCAT_TS)), 1)
-        .when(F.rlike(first_line, F.lit(P.SYSLOG_TS)), 2)
-        .when(F.rlike(first_line, F.lit(P.JSON_START)), 3)
-        .otherwise(0)
-        .cast("tinyint")
-    )
+    branches = [
+        (sql.matches(first_line, P.LEADING_WS + P.LOGCAT_BANNER), "1"),
+        (sql.matches(first_line, P.LOGCAT_TS), "1"),
+        (sql.matches(first_line, P.SYSLOG_TS), "2"),
+        (sql.matches(first_line, P.JSON_START), "3"),
+    ]
+    return f"CAST({sql.case(branches, '0')} AS TINYINT)"
 
 
-def format_name(path: Column, code: Column) -> Column:
+def format_name(path: str, code: str) -> str:
     """Format of a file; a null code (no first line) counts as plain text."""
-    return (
-        F.when(has_json_extension(path), JSON)
-        .when(code == 1, LOGCAT)
-        .when(code == 2, SYSLOG)
-        .when(code == 3, JSON)
-        .otherwise(PLAIN)
-    )
+    branches = [(has_json_extension(path), sql.text(JSON))]
+    branches += [(f"{code} = {i}", sql.text(FORMATS[i])) for i in (1, 2, 3)]
+    return sql.case(branches, sql.text(PLAIN))
 
 
-def detect_format(path: Column, first_line: Column) -> Column:
+def detect_format(path: str, first_line: str) -> str:
     return format_name(path, sniff_code(first_line))

@@ -7,23 +7,21 @@ answers a different question (top-level key, decoded value, valid input only).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from . import patterns as P
-from .text import as_number, none_if_empty
+from . import sql
 
 # Accepted key names, in the order they are tried.
 TIMESTAMP_KEYS = ("timestamp", "time", "ts", "@timestamp")
 LEVEL_KEYS = ("level", "severity", "lvl")
 
 
-def string_field(line: Column, key: str) -> Column:
+def string_field(line: str, key: str) -> str:
     """Raw text of the key's string value; null if its first hit has none."""
-    quoted = none_if_empty(F.regexp_extract(line, P.json_quoted(key), 1))
-    return F.substring(quoted, 2, 2147483647)
+    quoted = sql.none_if_empty(sql.extract(line, P.json_quoted(key)))
+    return f"substring({quoted}, 2)"
 
 
-def number_field(line: Column, key: str) -> Column:
+def number_field(line: str, key: str) -> str:
     """Leading digits of a bare number as DECIMAL(20,0), null beyond 64 bits."""
-    digits = F.regexp_extract(line, P.json_number(key), 1)
-    return as_number(digits).cast("decimal(20,0)")
+    digits = sql.extract(line, P.json_number(key))
+    return f"CAST({sql.as_number(digits)} AS DECIMAL(20,0))"

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from . import patterns as P
+from . import sql
 from .json_fields import LEVEL_KEYS
-from .text import as_number, none_if_empty, trim_left
+from .text import trim_left
 
 # Level names by code.
 LEVELS = ("error", "warn", "info", "debug", "trace", "unknown")
@@ -46,89 +45,76 @@ LOGCAT_LETTERS = (
 )
 
 
-def when_word(lowered: Column, words=LINE_WORDS, after: Column | None = None) -> Column:
-    """CASE giving the level of the first listed word in lower-cased text.
+def word_branches(lowered: str, words=LINE_WORDS) -> list[tuple[str, str]]:
+    """CASE branches for the first listed word in lower-cased text."""
+    return [
+        (f"contains({lowered}, {sql.text(word)})", sql.text(name))
+        for word, name in words
+    ]
 
-    ``after`` is a CASE whose branches are tried before; the result stays one
-    flat CASE and has no ELSE yet.
-    """
-    level = after
-    for word, name in words:
-        found = F.contains(lowered, F.lit(word))
-        level = F.when(found, name) if level is None else level.when(found, name)
-    return level
+
+def number_branches(number: str) -> list[tuple[str, str]]:
+    """CASE branches for a numeric level value; none holds for null."""
+    return [(f"{number} >= {floor}", sql.text(name)) for floor, name in NUMBER_FLOORS]
 
 
-def keyword_level(text: Column) -> Column:
+def keyword_level(value: str) -> str:
     """Level by keyword anywhere in the text, ``information`` and ``terror`` included."""
-    return when_word(F.lower(text)).otherwise("unknown")
+    return sql.case(word_branches(f"lower({value})"), "'unknown'")
 
 
-def logcat_letter(line: Column) -> Column:
-    return F.regexp_extract(line, P.LOGCAT_LETTER, 1)
+def logcat_letter(line: str) -> str:
+    return sql.extract(line, P.LOGCAT_LETTER)
 
 
-def letter_level(letter: Column) -> Column:
-    level = F.when(letter == LOGCAT_LETTERS[0][0], LOGCAT_LETTERS[0][1])
-    for mark, name in LOGCAT_LETTERS[1:]:
-        level = level.when(letter == mark, name)
-    return level.otherwise("unknown")
+def letter_level(letter: str) -> str:
+    branches = [
+        (f"{letter} = {sql.text(mark)}", sql.text(name))
+        for mark, name in LOGCAT_LETTERS
+    ]
+    return sql.case(branches, "'unknown'")
 
 
-def logcat_level(line: Column) -> Column:
+def logcat_level(line: str) -> str:
     return letter_level(logcat_letter(line))
 
 
-def syslog_tail(line: Column) -> Column:
+def syslog_tail(line: str) -> str:
     """``': '`` and the message of a syslog line, ``''`` where there is none."""
-    return F.regexp_extract(line, P.SYSLOG_TAIL, 1)
+    return sql.extract(line, P.SYSLOG_TAIL)
 
 
-def syslog_message(line: Column) -> Column:
-    tail = none_if_empty(syslog_tail(line))
-    return trim_left(F.substring(tail, 3, 2147483647))
+def syslog_message(line: str) -> str:
+    tail = sql.none_if_empty(syslog_tail(line))
+    return trim_left(f"substring({tail}, 3)")
 
 
-def syslog_level(line: Column) -> Column:
+def syslog_level(line: str) -> str:
     """Keyword of the message if it has one, else of the whole line."""
-    by_message = when_word(F.lower(syslog_tail(line)))
-    return when_word(F.lower(line), after=by_message).otherwise("unknown")
+    by_message = word_branches(f"lower({syslog_tail(line)})")
+    return sql.case(by_message + word_branches(f"lower({line})"), "'unknown'")
 
 
-def json_level_value(line: Column) -> Column:
+def json_level_value(line: str) -> str:
     """Value of the first level key found, ``''`` where the line has none.
 
-    A string keeps its opening quote; the maps below see past it.
+    A string keeps its opening quote; the maps see past it.
     """
-    pattern = P.json_scalar(*LEVEL_KEYS, start=P.OBJECT_START)
-    return F.regexp_extract(line, pattern, 1)
+    return sql.extract(line, P.json_scalar(*LEVEL_KEYS, start=P.OBJECT_START))
 
 
-def level_number(value: Column) -> Column:
+def level_number(value: str) -> str:
     """A level value as an unsigned 32-bit number, null if it does not read as one."""
-    return as_number(F.regexp_extract(value, P.JSON_UINT, 1)).cast("bigint")
-
-
-def when_number(number: Column) -> Column:
-    """CASE giving the level of a numeric level value. It has no ELSE yet."""
-    floor, name = NUMBER_FLOORS[0]
-    level = F.when(number >= floor, name)
-    for floor, name in NUMBER_FLOORS[1:]:
-        level = level.when(number >= floor, name)
-    return level
+    return f"CAST({sql.as_number(sql.extract(value, P.JSON_UINT))} AS BIGINT)"
 
 
-def level_code(level: Column) -> Column:
+def level_code(level: str) -> str:
     """Level name to 0..5."""
-    code = F.when(level == LEVELS[0], 0)
-    for i, name in enumerate(LEVELS[1:-1], start=1):
-        code = code.when(level == name, i)
-    return code.otherwise(len(LEVELS) - 1).cast("tinyint")
+    branches = [(f"{level} = {sql.text(n)}", str(i)) for i, n in enumerate(LEVELS[:-1])]
+    return f"CAST({sql.case(branches, str(len(LEVELS) - 1))} AS TINYINT)"
 
 
-def level_name(code: Column) -> Column:
+def level_name(code: str) -> str:
     """0..5 to level name; any other code is unknown."""
-    name = F.when(code == 0, LEVELS[0])
-    for i, label in enumerate(LEVELS[1:-1], start=1):
-        name = name.when(code == i, label)
-    return name.otherwise(LEVELS[-1])
+    branches = [(f"{code} = {i}", sql.text(n)) for i, n in enumerate(LEVELS[:-1])]
+    return sql.case(branches, sql.text(LEVELS[-1]))

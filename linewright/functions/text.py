@@ -2,46 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
+from . import sql
 from .patterns import LEADING_WS, quoted
 
-
-def none_if_empty(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
-
-
-def as_number(digits: Column) -> Column:
-    """Digits without leading zeros, null for ``''``.
-
-    ``try_cast`` would raise and catch an error for every empty input, which
-    costs far more than the parse itself.
-    """
-    return F.conv(digits, 10, 10)
+_BLOCK = 256
 
 
-def trim_left(text: Column) -> Column:
+def trim_left(value: str) -> str:
     """Drop leading Unicode white space."""
-    return F.regexp_replace(text, LEADING_WS, "")
+    return f"regexp_replace({value}, {sql.text(LEADING_WS)}, '')"
 
 
-def clean_line(raw: Column) -> Column:
+def clean_line(raw: str) -> str:
     """A scanned line as it is shown: one trailing CR removed, ``''`` if not UTF-8."""
-    return (
-        F.when(~F.is_valid_utf8(raw), "")
-        .when(F.endswith(raw, F.lit("\r")), F.left(raw, F.char_length(raw) - 1))
-        .otherwise(raw)
+    return sql.case(
+        [
+            (f"NOT is_valid_utf8({raw})", "''"),
+            (f"endswith({raw}, '\\r')", f"left({raw}, char_length({raw}) - 1)"),
+        ],
+        raw,
     )
 
 
-def contains_ignoring_case(text: Column, needle: str) -> Column:
+def contains_ignoring_case(value: str, needle: str) -> str:
     """Case-insensitive substring test. No wildcards; an empty needle matches all."""
     if needle == "":
-        return F.lit(True)
-    return F.contains(F.lower(text), F.lower(F.lit(needle)))
+        return "true"
+    return f"contains(lower({value}), lower({sql.text(needle)}))"
 
 
-def match_spans(text: Column, needle: str) -> Column:
+def match_spans(value: str, needle: str) -> str:
     """1-based starts of every non-overlapping occurrence, left to right.
 
     Positions are characters of the lower-cased text. The text is cut at the
@@ -50,46 +40,33 @@ def match_spans(text: Column, needle: str) -> Column:
     a line with very many matches costs far less than repeated appending would.
     """
     if needle == "":
-        return F.array().cast("array<int>")
+        return "CAST(array() AS array<int>)"
     low = needle.lower()
-    step = F.char_length(F.lower(F.lit(needle)))
-    pieces = F.split(F.lower(text), quoted(low), -1)
-    gaps = F.transform(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-        lambda piece: F.char_length(piece) + step,
+    step = f"char_length(lower({sql.text(needle)}))"
+    pieces = f"split(lower({value}), {sql.text(quoted(low))}, -1)"
+    # All pieces but the last are followed by a match.
+    blocks = (
+        f"transform(sequence(0, (size(p) - 1) div {_BLOCK}), b -> slice(p, "
+        f"b * {_BLOCK} + 1, least({_BLOCK}, size(p) - 1 - b * {_BLOCK})))"
     )
-    return _running_starts(gaps, step)
-
-
-_BLOCK = 256
+    ends = f"transform({blocks}, k -> {_running('k', f'char_length(x) + {step}')})"
+    totals = _running("e", "coalesce(try_element_at(x, -1), 0)")
+    starts = (
+        f"zip_with(e, concat(array(0), {totals}), (k, before) -> "
+        f"transform(coalesce(k, array()), x -> x + before - {step} + 1))"
+    )
+    return f"flatten({_let('p', pieces, _let('e', ends, starts))})"
 
 
-def _running_starts(gaps: Column, step: Column) -> Column:
-    """For gaps g1, g2, ... the values g1+..+gk - step + 1."""
-    block_ids = F.when(
-        F.size(gaps) > 0,
-        F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / _BLOCK).cast("int")),
-    ).otherwise(F.array().cast("array<int>"))
-    blocks = F.transform(block_ids, lambda b: F.slice(gaps, b * _BLOCK + 1, _BLOCK))
-    sums = F.transform(blocks, lambda block: _cumulate(block))
-    offsets = F.concat(
-        F.array(F.lit(0)),
-        _cumulate(F.transform(sums, lambda block: F.element_at(block, -1))),
-    )
-    shifted = F.zip_with(
-        sums,
-        F.slice(offsets, F.lit(1), F.size(sums)),
-        lambda block, offset: F.transform(block, lambda x: x + offset - step + 1),
+def _running(values: str, gap: str) -> str:
+    """Running sum of an integer expression of ``x`` over an array."""
+    last = "coalesce(try_element_at(acc, -1), 0)"
+    return (
+        f"aggregate({values}, CAST(array() AS array<int>), "
+        f"(acc, x) -> concat(acc, array({last} + {gap})))"
     )
-    return F.flatten(shifted)
 
 
-def _cumulate(values: Column) -> Column:
-    empty = F.array().cast("array<int>")
-    return F.aggregate(
-        values,
-        empty,
-        lambda acc, x: F.concat(
-            acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)
-        ),
-    )
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with a lambda variable bound to ``value``: it is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"

@@ -7,42 +7,39 @@ none, the ``*_timestamp`` forms null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from . import patterns as P
+from . import sql
 from .json_fields import TIMESTAMP_KEYS
-from .text import none_if_empty
 
 
-def plain_stamp(line: Column) -> Column:
-    return F.regexp_extract(line, P.PLAIN_TS, 1)
+def plain_stamp(line: str) -> str:
+    return sql.extract(line, P.PLAIN_TS)
 
 
-def logcat_stamp(line: Column) -> Column:
-    return F.regexp_extract(line, P.LOGCAT_TS, 1)
+def logcat_stamp(line: str) -> str:
+    return sql.extract(line, P.LOGCAT_TS)
 
 
-def syslog_stamp(line: Column) -> Column:
-    return F.regexp_extract(line, P.SYSLOG_TS, 1)
+def syslog_stamp(line: str) -> str:
+    return sql.extract(line, P.SYSLOG_TS)
 
 
-def json_stamp(line: Column) -> Column:
+def json_stamp(line: str) -> str:
     """First of the known keys holding a string; an empty one ends the search."""
-    pattern = P.json_text(*TIMESTAMP_KEYS, start=P.OBJECT_START)
-    return F.regexp_extract(line, pattern, 1)
+    return sql.extract(line, P.json_text(*TIMESTAMP_KEYS, start=P.OBJECT_START))
 
 
-def plain_timestamp(line: Column) -> Column:
-    return none_if_empty(plain_stamp(line))
+def plain_timestamp(line: str) -> str:
+    return sql.none_if_empty(plain_stamp(line))
 
 
-def logcat_timestamp(line: Column) -> Column:
-    return none_if_empty(logcat_stamp(line))
+def logcat_timestamp(line: str) -> str:
+    return sql.none_if_empty(logcat_stamp(line))
 
 
-def syslog_timestamp(line: Column) -> Column:
-    return none_if_empty(syslog_stamp(line))
+def syslog_timestamp(line: str) -> str:
+    return sql.none_if_empty(syslog_stamp(line))
 
 
-def json_timestamp(line: Column) -> Column:
-    return none_if_empty(json_stamp(line))
+def json_timestamp(line: str) -> str:
+    return sql.none_if_empty(json_stamp(line))

@@ -6,12 +6,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ..functions import formats as fmt
 from ..functions import levels as lv
+from ..functions import sql
 from ..functions import timestamps as ts
-from ..functions.text import none_if_empty
 from .lookup import attach
 
 PARSED_COLUMNS = (
@@ -31,10 +31,8 @@ def detect_formats(lines: DataFrame) -> DataFrame:
     The first line is picked by its number, not by an aggregate, so on a stored
     table the test reaches the scan and no shuffle is needed.
     """
-    first = lines.filter(F.col("line_number") == 1)
-    return first.select(
-        "path", fmt.detect_format(F.col("path"), F.col("value")).alias("format")
-    )
+    first = lines.filter("line_number = 1")
+    return first.selectExpr("path", f"{fmt.detect_format('path', 'value')} AS format")
 
 
 def with_format(lines: DataFrame) -> DataFrame:
@@ -55,88 +53,87 @@ def parse_logs(lines: DataFrame, format: str | None = None) -> DataFrame:
     """
     if format is not None:
         name = format if format in fmt.FORMATS else fmt.PLAIN
-        lines = lines.withColumn("format", F.lit(name))
-        choose = lambda branches: branches[name]()
+        lines = lines.drop("format").selectExpr("*", f"{sql.text(name)} AS format")
+        choose = lambda branches: branches[name]
     else:
         if "format" not in lines.columns:
             lines = with_format(lines)
         choose = _by_format
 
-    line = F.col("value")
-    subject = F.col("_subject")
-    words = F.col("_words")
-    step = lines.withColumns(
+    words, none = "_words", "CAST(NULL AS STRING)"
+    stamp = choose(
+        {
+            fmt.PLAIN: ts.plain_stamp("value"),
+            fmt.LOGCAT: ts.logcat_stamp("value"),
+            fmt.SYSLOG: ts.syslog_stamp("value"),
+            fmt.JSON: ts.json_stamp("value"),
+        }
+    )
+    # The text that decides the level.
+    subject = choose(
         {
-            "_stamp": choose(
-                {
-                    fmt.PLAIN: lambda: ts.plain_stamp(line),
-                    fmt.LOGCAT: lambda: ts.logcat_stamp(line),
-                    fmt.SYSLOG: lambda: ts.syslog_stamp(line),
-                    fmt.JSON: lambda: ts.json_stamp(line),
-                }
-            ),
-            "_subject": choose(
-                {
-                    fmt.PLAIN: lambda: line,
-                    fmt.LOGCAT: lambda: lv.logcat_letter(line),
-                    fmt.SYSLOG: lambda: line,
-                    fmt.JSON: lambda: lv.json_level_value(line),
-                }
-            ),
+            fmt.PLAIN: "value",
+            fmt.LOGCAT: lv.logcat_letter("value"),
+            fmt.SYSLOG: "value",
+            fmt.JSON: lv.json_level_value("value"),
         }
     )
-    nothing = F.lit(None).cast("string")
-    step = step.withColumns(
+    lowered = choose(
         {
-            "ts_text": none_if_empty(F.col("_stamp")),
-            "_message": choose(
-                {
-                    fmt.PLAIN: lambda: nothing,
-                    fmt.LOGCAT: lambda: nothing,
-                    fmt.SYSLOG: lambda: F.lower(lv.syslog_tail(line)),
-                    fmt.JSON: lambda: nothing,
-                }
-            ),
-            "_number": choose(
-                {
-                    fmt.PLAIN: lambda: nothing.cast("bigint"),
-                    fmt.LOGCAT: lambda: nothing.cast("bigint"),
-                    fmt.SYSLOG: lambda: nothing.cast("bigint"),
-                    fmt.JSON: lambda: lv.level_number(subject),
-                }
-            ),
-            "_words": choose(
-                {
-                    fmt.PLAIN: lambda: F.lower(subject),
-                    fmt.LOGCAT: lambda: nothing,
-                    fmt.SYSLOG: lambda: F.lower(subject),
-                    fmt.JSON: lambda: F.lower(subject),
-                }
-            ),
+            fmt.PLAIN: "lower(_subject)",
+            fmt.LOGCAT: none,
+            fmt.SYSLOG: "lower(_subject)",
+            fmt.JSON: "lower(_subject)",
         }
     )
+    message = choose(
+        {
+            fmt.PLAIN: none,
+            fmt.LOGCAT: none,
+            fmt.SYSLOG: f"lower({lv.syslog_tail('value')})",
+            fmt.JSON: none,
+        }
+    )
+    number = choose(
+        {
+            fmt.PLAIN: "CAST(NULL AS BIGINT)",
+            fmt.LOGCAT: "CAST(NULL AS BIGINT)",
+            fmt.SYSLOG: "CAST(NULL AS BIGINT)",
+            fmt.JSON: lv.level_number("_subject"),
+        }
+    )
+    by_word = lv.word_branches(words)
+    by_message = lv.word_branches("_message")
+    by_number = lv.number_branches("_number")
+    by_value = lv.word_branches(words, lv.VALUE_WORDS)
     level = choose(
         {
-            fmt.PLAIN: lambda: lv.when_word(words).otherwise("unknown"),
-            fmt.LOGCAT: lambda: lv.letter_level(subject),
-            fmt.SYSLOG: lambda: lv.when_word(
-                words, after=lv.when_word(F.col("_message"))
-            ).otherwise("unknown"),
-            fmt.JSON: lambda: lv.when_word(
-                words, lv.VALUE_WORDS, after=lv.when_number(F.col("_number"))
-            ).otherwise("unknown"),
+            fmt.PLAIN: sql.case(by_word, "'unknown'"),
+            fmt.LOGCAT: lv.letter_level("_subject"),
+            fmt.SYSLOG: sql.case(by_message + by_word, "'unknown'"),
+            fmt.JSON: sql.case(by_number + by_value, "'unknown'"),
         }
     )
-    step = step.withColumn("level", level)
-    step = step.withColumn("level_code", lv.level_code(F.col("level")))
     others = [c for c in lines.columns if c not in PARSED_COLUMNS]
-    return step.select(*PARSED_COLUMNS, *others)
+    return (
+        lines.selectExpr("*", f"{stamp} AS _stamp", f"{subject} AS _subject")
+        .selectExpr(
+            "*",
+            f"{sql.none_if_empty('_stamp')} AS ts_text",
+            f"{lowered} AS _words",
+            f"{message} AS _message",
+            f"{number} AS _number",
+        )
+        .selectExpr("*", f"{level} AS level")
+        .selectExpr("*", f"{lv.level_code('level')} AS level_code")
+        .select(*PARSED_COLUMNS, *others)
+    )
 
 
-def _by_format(branches: dict) -> Column:
-    name = F.col("format")
-    rest = [f for f in fmt.FORMATS if f != fmt.PLAIN]
-    choice = F.when(name == rest[0], branches[rest[0]]())
-    for other in rest[1:]:
-        choice = choice.when(name == other, branches[other]())
-    return choice.otherwise(branches[fmt.PLAIN]())
+def _by_format(branches: dict[str, str]) -> str:
+    named = [
+        (f"format = {sql.text(name)}", branches[name])
+        for name in fmt.FORMATS
+        if name != fmt.PLAIN
+    ]
+    return sql.case(named, branches[fmt.PLAIN])

@@ -19,7 +19,7 @@ def search_predicate(query: str = "", level: str | None = None) -> Column:
     if level is not None:
         matches = F.col("level") == level
     if query != "":
-        hit = contains_ignoring_case(F.col("value"), query)
+        hit = F.expr(contains_ignoring_case("value", query))
         matches = hit if level is None else matches & hit
     return matches
 
@@ -62,7 +62,7 @@ def search_counts(
 def match_spans(parsed: DataFrame, needle: str) -> DataFrame:
     """``path, line_number, spans``: 1-based starts of every highlighted match."""
     return parsed.select(
-        "path", "line_number", spans_of(F.col("value"), needle).alias("spans")
+        "path", "line_number", F.expr(spans_of("value", needle)).alias("spans")
     )
 
 

@@ -102,7 +102,7 @@ def _commit(spark: SparkSession, batch: list, table: str, ingest_id: int) -> Non
     numbered = number_lines(spark, [glob_escape(row.path) for row in batch])
     parsed = parse_logs(numbered.lines)
     parsed.write.mode("overwrite").parquet(f"{table}/lines/ingest_id={ingest_id}")
-    no_line = format_name(F.col("path"), F.lit(None).cast("tinyint"))
+    no_line = F.expr(format_name("path", "CAST(NULL AS TINYINT)"))
     manifest = listed.join(numbered.files, "path", "left").select(
         *IDENTITY,
         F.coalesce("format", no_line).alias("format"),

@@ -28,7 +28,7 @@ def scan_lines(spark: SparkSession, paths: str | list[str], **options) -> DataFr
     return reader.text(paths).select(
         file_uri(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
-        clean_line(F.col("value")).alias("value"),
+        F.expr(clean_line("value")).alias("value"),
     )
 
 
@@ -69,7 +69,7 @@ def number_lines(
     staged = scan_lines(spark, paths, **options).select(
         "path",
         "block",
-        F.when(first_block, sniff_code(F.col("value"))).alias("sniffed"),
+        F.when(first_block, F.expr(sniff_code("value"))).alias("sniffed"),
         "value",
     )
     # One staged file per task, whatever the session's default says.
@@ -91,8 +91,8 @@ def number_lines(
         (
             F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_position") + 1
         ).alias("shift"),
-        format_name(F.col("path"), F.first("sniffed").over(file)).alias("format"),
-    )
+        F.first("sniffed").over(file).alias("sniffed"),
+    ).withColumn("format", F.expr(format_name("path", "sniffed")))
     splits = store(splits, "splits")
 
     shifts = splits.select("path", "block", "shift", "format")

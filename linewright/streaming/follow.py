@@ -44,8 +44,8 @@ def follow(
     """
     lines = tail_lines(spark, paths, **options)
     if format is None:
-        told = detect_format(F.col("path"), F.col("head"))
-        lines = lines.withColumn("format", told)
+        told = detect_format("path", "head")
+        lines = lines.withColumn("format", F.expr(told))
     return _parse_stream(lines, "byte_offset", format)
 
 
@@ -56,7 +56,7 @@ def follow_segments(
     reader = spark.readStream.option("lineSep", "\n").options(**options)
     lines = reader.text(folder).select(
         file_uri(F.col("_metadata.file_path")).alias("path"),
-        clean_line(F.col("value")).alias("value"),
+        F.expr(clean_line("value")).alias("value"),
     )
     return _parse_stream(lines, None, format)
 

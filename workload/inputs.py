@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from linewright.functions import sql
 from linewright.operators.lookup import store
 from linewright.operators.parse import parse_logs
 from linewright.session import fresh_dir
@@ -22,40 +23,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _by_type(names: dict, other: str) -> Column:
-    choice = None
-    for event_type, name in names.items():
-        test = F.col("event_type") == event_type
-        choice = F.when(test, name) if choice is None else choice.when(test, name)
-    return choice.otherwise(other)
-
-
-def _fields() -> dict[str, Column]:
-    return {
-        "d": F.date_format("ts", "yyyy-MM-dd"),
-        "t": F.date_format("ts", "HH:mm:ss"),
-        "f": F.date_format("ts", "SSS"),
-        "m": F.date_format("ts", "MMM"),
-        "dd": F.date_format("ts", "dd"),
-        "md": F.date_format("ts", "MM-dd"),
-        "u": F.col("user_id").cast("string"),
-        "one": (F.col("user_id") % 10).cast("string"),
-        "h": (F.col("user_id") % 7).cast("string"),
-        "id": F.col("event_id").cast("string"),
-        "type": F.col("event_type"),
-        "lvl": _by_type(shapes.LEVEL_WORDS, shapes.OTHER_WORD),
-        "mark": _by_type(shapes.LETTERS, shapes.OTHER_LETTER),
-        "props": F.col("props"),
-    }
+def _by_type(names: dict, other: str) -> str:
+    branches = [(f"event_type = {sql.text(k)}", sql.text(v)) for k, v in names.items()]
+    return sql.case(branches, sql.text(other))
+
+
+FIELDS = {
+    "d": "date_format(ts, 'yyyy-MM-dd')",
+    "t": "date_format(ts, 'HH:mm:ss')",
+    "f": "date_format(ts, 'SSS')",
+    "m": "date_format(ts, 'MMM')",
+    "dd": "date_format(ts, 'dd')",
+    "md": "date_format(ts, 'MM-dd')",
+    "u": "CAST(user_id AS STRING)",
+    "one": "CAST(user_id % 10 AS STRING)",
+    "h": "CAST(user_id % 7 AS STRING)",
+    "id": "CAST(event_id AS STRING)",
+    "type": "event_type",
+    "lvl": _by_type(shapes.LEVEL_WORDS, shapes.OTHER_WORD),
+    "mark": _by_type(shapes.LETTERS, shapes.OTHER_LETTER),
+    "props": "props",
+}
 
 
 def _line(shape: str) -> Column:
-    fields = _fields()
     parts = [
-        fields[text] if kind == "field" else F.lit(text)
+        FIELDS[text] if kind == "field" else sql.text(text)
         for kind, text in shapes.pieces(shape)
     ]
-    return F.concat(*parts) if parts else F.lit("")
+    return F.expr(f"concat({', '.join(parts)})")
 
 
 def file_lines(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
@@ -78,15 +74,14 @@ def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One irregular line per event."""
-    odd = F.array(*[F.lit(shape) for shape in shapes.ODD_SHAPES])
-    which = (F.col("event_id") % len(shapes.ODD_SHAPES)).cast("int")
-    value = F.element_at(odd, which + 1)
-    for name, field in _fields().items():
-        value = F.replace(value, F.lit(f"<{name}>"), field)
+    odd = f"array({sql.texts(shapes.ODD_SHAPES)})"
+    value = f"element_at({odd}, CAST(event_id % {len(shapes.ODD_SHAPES)} AS INT) + 1)"
+    for name, field in FIELDS.items():
+        value = f"replace({value}, '<{name}>', {field})"
     return table(spark, sf_dir, "events").select(
         F.lit("odd.log").alias("path"),
         (F.col("event_id") + 1).alias("line_number"),
-        value.alias("value"),
+        F.expr(value).alias("value"),
     )
 
 

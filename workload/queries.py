@@ -166,7 +166,7 @@ def _timestamps(path, timestamp):
     def query(spark, sf_dir) -> DataFrame:
         lines = inputs.with_odd(spark, sf_dir, path)
         return lines.select(
-            "path", "line_number", timestamp(F.col("value")).alias("ts_text")
+            "path", "line_number", timestamp("value").alias("ts_text")
         )
 
     return query
@@ -179,7 +179,7 @@ def _levels(path, level):
     def query(spark, sf_dir) -> DataFrame:
         lines = inputs.with_odd(spark, sf_dir, path)
         return lines.select(
-            "path", "line_number", level(F.col("value")).alias("level")
+            "path", "line_number", level("value").alias("level")
         )
 
     return query
@@ -188,7 +188,7 @@ def _levels(path, level):
 def level_keyword_documents(spark, sf_dir) -> DataFrame:
     """Keyword level of whole document texts."""
     documents = inputs.table(spark, sf_dir, "documents")
-    return documents.select("doc_id", keyword_level(F.col("text")).alias("level"))
+    return documents.select("doc_id", keyword_level("text").alias("level"))
 
 
 def level_json(spark, sf_dir) -> DataFrame:
@@ -198,13 +198,13 @@ def level_json(spark, sf_dir) -> DataFrame:
 
 def level_codes(spark, sf_dir) -> DataFrame:
     lines = inputs.with_odd(spark, sf_dir, "app.log").select(
-        "path", "line_number", keyword_level(F.col("value")).alias("level")
+        "path", "line_number", keyword_level("value").alias("level")
     )
-    coded = lines.withColumn("level_code", level_code(F.col("level")))
+    coded = lines.withColumn("level_code", level_code("level"))
     return coded.select(
         "path",
         "line_number",
-        level_name(F.col("level_code")).alias("level"),
+        level_name("level_code").alias("level"),
         F.col("level_code").cast("bigint").alias("level_code"),
     )
 
@@ -212,20 +212,20 @@ def level_codes(spark, sf_dir) -> DataFrame:
 def syslog_messages(spark, sf_dir) -> DataFrame:
     lines = inputs.with_odd(spark, sf_dir, "sys.txt")
     return lines.select(
-        "path", "line_number", syslog_message(F.col("value")).alias("message")
+        "path", "line_number", syslog_message("value").alias("message")
     )
 
 
 def json_string_field(spark, sf_dir) -> DataFrame:
     lines = inputs.with_odd(spark, sf_dir, "svc.jsonl")
     return lines.select(
-        "path", "line_number", string_field(F.col("value"), "msg").alias("field")
+        "path", "line_number", string_field("value", "msg").alias("field")
     )
 
 
 def json_number_field(spark, sf_dir) -> DataFrame:
     lines = inputs.with_odd(spark, sf_dir, "svc.jsonl")
-    number = number_field(F.col("value"), "level").cast("string")
+    number = number_field("value", "level").cast("string")
     return lines.select("path", "line_number", number.alias("field"))
 
 
