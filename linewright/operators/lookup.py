@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..session import fresh_dir
 
-# A side is broadcast only up to this many bytes, measured on the stored rows.
+# A side is broadcast only up to this many bytes, measured on its rows.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Rough size of one row besides its text.
 _ROW_BYTES = 64
@@ -17,22 +17,27 @@ SPREAD = 32
 def store(side: DataFrame, purpose: str) -> DataFrame:
     """Write a derived side once to the shared folder and read it back.
 
-    It is then computed once, its size is known exactly, and losing an executor
-    later does not set off its whole derivation again.
+    It is then computed once, and losing an executor later does not set off its
+    whole derivation again.
     """
-    spark = side.sparkSession
-    folder = fresh_dir(spark, purpose)
-    side.write.parquet(folder)
-    return spark.read.schema(side.schema).parquet(folder)
+    return store_measured(side, purpose)[0]
+
 
+def store_measured(side: DataFrame, purpose: str) -> tuple[DataFrame, int]:
+    """As :func:`store`, plus the side's size in bytes, summed up while writing.
 
-def fits_broadcast(stored: DataFrame, limit: int | None = None) -> bool:
-    text = [f.name for f in stored.schema.fields if f.dataType.simpleString() == "string"]
-    width = F.lit(_ROW_BYTES)
-    for name in text:
-        width = width + F.coalesce(F.octet_length(name), F.lit(0))
-    size = stored.agg(F.sum(width.cast("bigint"))).first()[0] or 0
-    return size <= (BROADCAST_BYTES if limit is None else limit)
+    A repeated task can only make the sum too large, never too small.
+    """
+    spark = side.sparkSession
+    folder = fresh_dir(spark, purpose)
+    width = F.lit(_ROW_BYTES).cast("bigint")
+    for field in side.schema.fields:
+        if field.dataType.typeName() == "string":
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+    seen = Observation()
+    side.observe(seen, F.sum(width).alias("size")).write.parquet(folder)
+    stored = spark.read.schema(side.schema).parquet(folder)
+    return stored, seen.get["size"] or 0
 
 
 def attach(
@@ -49,8 +54,8 @@ def attach(
     into pieces, so that one file holding a large share of all rows does not end
     up in one task.
     """
-    side = store(side, "side")
-    if fits_broadcast(side, limit):
+    side, size = store_measured(side, "side")
+    if size <= (BROADCAST_BYTES if limit is None else limit):
         return rows.join(F.broadcast(side), on)
     if spread is None:
         return rows.join(side, on)

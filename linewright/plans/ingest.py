@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.formats import format_name
-from ..operators.lookup import fits_broadcast, store
+from ..operators.lookup import BROADCAST_BYTES, store, store_measured
 from ..operators.parse import parse_logs
 from ..session import drop_dir
 from ..sources.listing import glob_escape, list_files
@@ -124,9 +124,10 @@ def read_parsed(spark: SparkSession, table: str) -> DataFrame:
     taken = history.select("path", "ingest_id", newest.alias("newest"))
     committed = [r.ingest_id for r in history.select("ingest_id").distinct().collect()]
     lines = lines.filter(F.col("ingest_id").isin(committed))
-    old = store(taken.filter("ingest_id < newest").drop("newest"), "superseded")
-    if old.isEmpty():
+    old = taken.filter("ingest_id < newest").drop("newest")
+    old, size = store_measured(old, "superseded")
+    if size == 0:
         return lines.drop("ingest_id")
-    if fits_broadcast(old):
+    if size <= BROADCAST_BYTES:
         old = F.broadcast(old)
     return lines.join(old, ["path", "ingest_id"], "left_anti").drop("ingest_id")

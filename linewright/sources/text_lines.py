@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.formats import format_name, sniff_code
 from ..functions.text import clean_line
-from ..operators.lookup import BROADCAST_BYTES, fits_broadcast, store
+from ..operators.lookup import BROADCAST_BYTES, store_measured
 from ..session import fresh_dir
 
 _STAGED = "path string, block bigint, sniffed tinyint, value string"
@@ -93,10 +93,10 @@ def number_lines(
         ).alias("shift"),
         F.first("sniffed").over(file).alias("sniffed"),
     ).withColumn("format", F.expr(format_name("path", "sniffed")))
-    splits = store(splits, "splits")
+    splits, size = store_measured(splits, "splits")
 
     shifts = splits.select("path", "block", "shift", "format")
-    if fits_broadcast(shifts, broadcast_limit):
+    if size <= broadcast_limit:
         shifts = F.broadcast(shifts)
     lines = (
         rows.select("path", "block", "value", "position")

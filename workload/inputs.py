@@ -54,9 +54,13 @@ def _line(shape: str) -> Column:
     return F.expr(f"concat({', '.join(parts)})")
 
 
-def file_lines(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+def file_lines(
+    spark: SparkSession, sf_dir: str, path: str, events: DataFrame | None = None
+) -> DataFrame:
     """Lines of one of the four log files."""
-    return table(spark, sf_dir, "events").select(
+    if events is None:
+        events = table(spark, sf_dir, "events")
+    return events.select(
         F.lit(path).alias("path"),
         (F.col("event_id") + 1).alias("line_number"),
         _line(shapes.FILES[path]).alias("value"),
@@ -65,7 +69,8 @@ def file_lines(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
 
 def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the four log files together."""
-    frames = [file_lines(spark, sf_dir, path) for path in shapes.FILES]
+    events = table(spark, sf_dir, "events")
+    frames = [file_lines(spark, sf_dir, path, events) for path in shapes.FILES]
     result = frames[0]
     for frame in frames[1:]:
         result = result.unionAll(frame)
@@ -102,7 +107,8 @@ def parsed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_lines(spark: SparkSession, sf_dir: str, *paths: str) -> DataFrame:
     """``file, position, value``: the named files cut into segments."""
-    frames = [file_lines(spark, sf_dir, path) for path in paths]
+    events = table(spark, sf_dir, "events")
+    frames = [file_lines(spark, sf_dir, path, events) for path in paths]
     lines = frames[0]
     for frame in frames[1:]:
         lines = lines.unionAll(frame)
