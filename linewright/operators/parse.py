@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import formats as fmt
 from ..functions import levels as lv
@@ -130,6 +130,21 @@ def parse_logs(lines: DataFrame, format: str | None = None) -> DataFrame:
     )
 
 
+def pin_level(parsed: DataFrame) -> DataFrame:
+    """Compute the level once per line, below any filter on it.
+
+    A filter on a column that was just derived is moved under the derivation with
+    the whole expression copied into it, here dozens of regular expressions. The
+    one-element explode keeps such a filter above. Use it for lines that are
+    filtered while they stream by; on a stored table it would only be in the way.
+    """
+    columns = [
+        F.explode(F.array("level")).alias(c) if c == "level" else F.col(c)
+        for c in parsed.columns
+    ]
+    return parsed.select(*columns)
+
+
 def _by_format(branches: dict[str, str]) -> str:
     named = [
         (f"format = {sql.text(name)}", branches[name])

@@ -13,12 +13,11 @@ manifest row of a path says which ingest holds its lines.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.formats import format_name
 from ..operators.lookup import BROADCAST_BYTES, store, store_measured
 from ..operators.parse import parse_logs
-from ..session import drop_dir
+from ..session import dir_exists, drop_dir
 from ..sources.listing import glob_escape, list_files
 from ..sources.text_lines import number_lines
 
@@ -45,12 +44,10 @@ def stale_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def manifest_history(spark: SparkSession, table: str) -> DataFrame:
     """Every manifest row ever committed; empty before the first ingest."""
-    try:
-        return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{table}/manifest")
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
+    folder = f"{table}/manifest"
+    if not dir_exists(spark, folder):
         return spark.createDataFrame([], MANIFEST_SCHEMA)
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(folder)
 
 
 def read_manifest(spark: SparkSession, table: str) -> DataFrame:

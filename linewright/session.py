@@ -29,10 +29,19 @@ def fresh_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/linewright/{purpose}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def dir_exists(spark: SparkSession, folder: str) -> bool:
+    path, system = _file_system(spark, folder)
+    return system.exists(path)
+
+
 def drop_dir(spark: SparkSession, folder: str) -> None:
     """Delete a folder made by :func:`fresh_dir`, on whatever file system it is."""
     if "/linewright/" not in folder:
         raise ValueError(f"not an intermediate folder: {folder}")
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, system = _file_system(spark, folder)
+    system.delete(path, True)

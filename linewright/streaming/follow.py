@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.formats import detect_format
 from ..functions.text import clean_line
-from ..operators.parse import parse_logs
+from ..operators.parse import parse_logs, pin_level
 from ..sources.text_lines import file_uri
 from .tail import TailSource
 
@@ -66,7 +66,8 @@ def _parse_stream(lines: DataFrame, order: str | None, format: str | None) -> Da
     unnumbered = lines.withColumn("line_number", F.lit(None).cast("bigint"))
     parsed = parse_logs(unnumbered, format)
     keys = ["path"] if order is None else ["path", order]
-    return parsed.select(*keys, "value", "format", "level", "level_code", "ts_text")
+    parsed = parsed.select(*keys, "value", "format", "level", "level_code", "ts_text")
+    return pin_level(parsed)
 
 
 def live_level_counts(parsed: DataFrame) -> DataFrame:
