@@ -79,17 +79,19 @@ def ingest(
     while True:
         history = manifest_history(spark, table)
         stale = stale_files(listing, read_manifest(spark, table))
+        found = stale.orderBy("path").limit(max_files).collect()
         batch, size = [], 0
-        for row in stale.orderBy("path").limit(max_files).collect():
+        for row in found:
             if batch and size + row.file_size > max_bytes:
                 break
             batch.append(row)
             size += row.file_size
-        if not batch:
+        if batch:
+            last = history.agg(F.max("ingest_id")).first()[0]
+            _commit(spark, batch, table, 0 if last is None else last + 1)
+            commits += 1
+        if len(batch) == len(found) < max_files:
             return commits
-        last = history.agg(F.max("ingest_id")).first()[0]
-        _commit(spark, batch, table, 0 if last is None else last + 1)
-        commits += 1
 
 
 def _commit(spark: SparkSession, batch: list, table: str, ingest_id: int) -> None:

@@ -13,7 +13,7 @@ def list_files(spark: SparkSession, paths: str | list[str], **options) -> DataFr
     return (
         reader.load(paths)
         .select(
-            file_uri(F.col("_metadata.file_path")).alias("path"),
+            file_uri("_metadata.file_path").alias("path"),
             F.col("_metadata.file_size").alias("file_size"),
             F.unix_seconds(F.col("_metadata.file_modification_time")).alias(
                 "mtime_secs"

@@ -9,29 +9,34 @@ from ..functions.text import clean_line
 from ..operators.lookup import BROADCAST_BYTES, store_measured
 from ..session import fresh_dir
 
-_STAGED = "path string, block bigint, sniffed tinyint, value string"
+_STAGED = "file string, block bigint, sniffed tinyint, value string"
 
 
-def file_uri(column: Column) -> Column:
+def file_uri(column: str) -> Column:
     """A file's absolute URI without percent-encoding: its identity everywhere here."""
-    return F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B")))
+    decoded = f"url_decode(replace({column}, '+', '%2B'))"
+    return F.expr(f"CASE WHEN contains({column}, '%') THEN {decoded} ELSE {column} END")
 
 
-def scan_lines(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
-    """``path, block, value``: lines cut at LF only, cleaned, without numbers.
-
-    ``block`` is the first byte of the file split a line was read from. Every
-    Hadoop URI, directory and glob works; files are split for parallel reading
-    and compressed files are unpacked by their extension.
-    """
+def _scan(spark: SparkSession, paths: str | list[str], options: dict) -> DataFrame:
     reader = spark.read.option("lineSep", "\n").options(**options)
     return reader.text(paths).select(
-        file_uri(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.expr(clean_line("value")).alias("value"),
     )
 
 
+def scan_lines(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
+    """``path, value``: lines cut at LF only, cleaned, without numbers.
+
+    Every Hadoop URI, directory and glob works; large files are split for parallel
+    reading and compressed files are unpacked by their extension.
+    """
+    lines = _scan(spark, paths, options)
+    return lines.select(file_uri("file").alias("path"), "value")
+
+
 class NumberedLines:
     """Numbered lines of many files, with what is known about each file.
 
@@ -56,18 +61,18 @@ def number_lines(
 
     The text is read once and staged as Parquet in scan order: one staged file
     per task, so a row's position in its staged file orders the lines of a split.
-    From the staged ``path`` and ``block`` columns alone comes one row per split
+    From the staged ``file`` and ``block`` columns alone comes one row per split
     (first position, line count); a running sum of those counts per file gives
     the number of the first line of each split. That table has one row per split
     however long the lines are, is stored, and is joined back: broadcast up to
-    ``broadcast_limit`` bytes, else shuffled on (path, block), where one key never
+    ``broadcast_limit`` bytes, else shuffled on (file, block), where one key never
     holds more than a split. Numbers rest on stored rows, so a lost executor or
     a changed cluster size cannot move them.
     """
     folder = fresh_dir(spark, "staged")
     first_block = F.col("block") == 0
-    staged = scan_lines(spark, paths, **options).select(
-        "path",
+    staged = _scan(spark, paths, options).select(
+        "file",
         "block",
         F.when(first_block, F.expr(sniff_code("value"))).alias("sniffed"),
         "value",
@@ -77,15 +82,16 @@ def number_lines(
 
     rows = spark.read.schema(_STAGED).parquet(folder)
     rows = rows.withColumn("position", F.col("_metadata.row_index"))
-    splits = rows.groupBy("path", "block").agg(
+    splits = rows.groupBy("file", "block").agg(
         F.min("position").alias("first_position"),
         F.count(F.lit(1)).alias("n"),
         F.min_by("sniffed", "position").alias("sniffed"),
     )
-    file = Window.partitionBy("path").orderBy("block")
+    file = Window.partitionBy("file").orderBy("block")
     before = file.rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select(
-        "path",
+        "file",
+        file_uri("file").alias("path"),
         "block",
         "n",
         (
@@ -95,12 +101,12 @@ def number_lines(
     ).withColumn("format", F.expr(format_name("path", "sniffed")))
     splits, size = store_measured(splits, "splits")
 
-    shifts = splits.select("path", "block", "shift", "format")
+    shifts = splits.select("file", "block", "path", "shift", "format")
     if size <= broadcast_limit:
         shifts = F.broadcast(shifts)
     lines = (
-        rows.select("path", "block", "value", "position")
-        .join(shifts, ["path", "block"])
+        rows.select("file", "block", "value", "position")
+        .join(shifts, ["file", "block"])
         .select(
             "path",
             (F.col("position") + F.col("shift")).alias("line_number"),

@@ -55,7 +55,7 @@ def follow_segments(
     """Stream of parsed lines of the segment files that appear in a folder."""
     reader = spark.readStream.option("lineSep", "\n").options(**options)
     lines = reader.text(folder).select(
-        file_uri(F.col("_metadata.file_path")).alias("path"),
+        file_uri("_metadata.file_path").alias("path"),
         F.expr(clean_line("value")).alias("value"),
     )
     return _parse_stream(lines, None, format)
