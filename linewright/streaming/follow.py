@@ -25,6 +25,7 @@ def tail_lines(
         spark.readStream.format(TailSource.name())
         .option("paths", json.dumps(list(paths)))
         .option("startingPosition", starting)
+        .option("tasks", str(spark.sparkContext.defaultParallelism))
     )
     if task_bytes is not None:
         reader = reader.option("taskBytes", str(task_bytes))

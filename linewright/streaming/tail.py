@@ -85,6 +85,22 @@ def cut_ranges(start: dict, end: dict, task_bytes: int = TASK_BYTES) -> list[tup
     return ranges
 
 
+def pack_ranges(start: dict, end: dict, task_bytes: int, tasks: int) -> list[list]:
+    """Ranges for each task: large files are cut, small ones share a task."""
+    grown = [(start.get(p, 0), stop) for p, stop in end.items()]
+    total = sum(stop - lower if stop >= lower else stop for lower, stop in grown)
+    share = min(task_bytes, max(CHUNK, -(-total // tasks)))
+    packed, size = [], share
+    for one in cut_ranges(start, end, share):
+        length = one[2] - one[1]
+        if size + length > share:
+            packed.append([])
+            size = 0
+        packed[-1].append(one)
+        size += length
+    return packed
+
+
 def lines_in_range(source, lower: int, upper: int, stop: int, at_line: bool):
     """``(byte offset, bytes)`` of each complete line that starts in the range."""
     position = lower
@@ -134,13 +150,40 @@ def head_of(source, stop: int) -> str:
     return ""
 
 
-class ByteRange(InputPartition):
-    def __init__(self, path, lower, upper, stop, at_line):
-        self.path = path
-        self.lower = lower
-        self.upper = upper
-        self.stop = stop
-        self.at_line = at_line
+def read_range(path, lower, upper, stop, at_line):
+    """Record batches of the lines that start in one byte range of a file."""
+    import pyarrow as pa
+
+    source, _ = open_file(path)
+    with source:
+        head = head_of(source, stop)
+        offsets, values = [], []
+
+        def batch():
+            n = len(values)
+            columns = [
+                pa.array([path] * n, pa.string()),
+                pa.array(offsets, pa.int64()),
+                pa.array(values, pa.string()),
+                pa.array([head] * n, pa.string()),
+            ]
+            return pa.RecordBatch.from_arrays(
+                columns, names=["path", "byte_offset", "value", "head"]
+            )
+
+        for offset, line in lines_in_range(source, lower, upper, stop, at_line):
+            offsets.append(offset)
+            values.append(shown(line))
+            if len(values) == BATCH_LINES:
+                yield batch()
+                offsets, values = [], []
+        if values:
+            yield batch()
+
+
+class ByteRanges(InputPartition):
+    def __init__(self, ranges):
+        self.ranges = ranges
 
 
 class TailReader(DataSourceStreamReader):
@@ -148,6 +191,7 @@ class TailReader(DataSourceStreamReader):
         self.paths = json.loads(options["paths"])
         self.from_end = options.get("startingposition", "start") == "end"
         self.task_bytes = int(options.get("taskbytes", TASK_BYTES))
+        self.tasks = int(options.get("tasks", 1))
         self.known = {}
 
     def initialOffset(self):
@@ -163,49 +207,19 @@ class TailReader(DataSourceStreamReader):
         return dict(self.known)
 
     def partitions(self, start, end):
-        return [ByteRange(*r) for r in cut_ranges(start, end, self.task_bytes)]
+        packed = pack_ranges(start, end, self.task_bytes, self.tasks)
+        return [ByteRanges(ranges) for ranges in packed]
 
     def read(self, partition):
-        import pyarrow as pa
-
-        source, _ = open_file(partition.path)
-        with source:
-            head = head_of(source, partition.stop)
-            offsets, values = [], []
-
-            def batch():
-                n = len(values)
-                return pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([partition.path] * n, pa.string()),
-                        pa.array(offsets, pa.int64()),
-                        pa.array(values, pa.string()),
-                        pa.array([head] * n, pa.string()),
-                    ],
-                    names=["path", "byte_offset", "value", "head"],
-                )
-
-            for offset, line in lines_in_range(
-                source,
-                partition.lower,
-                partition.upper,
-                partition.stop,
-                partition.at_line,
-            ):
-                offsets.append(offset)
-                values.append(shown(line))
-                if len(values) == BATCH_LINES:
-                    yield batch()
-                    offsets, values = [], []
-            if values:
-                yield batch()
+        for one in partition.ranges:
+            yield from read_range(*one)
 
 
 class TailSource(DataSource):
     """``spark.readStream.format("growing_files")``.
 
     Options: ``paths`` (JSON list), ``startingPosition`` (start or end),
-    ``taskBytes`` (largest range one task reads).
+    ``taskBytes`` (most bytes one task reads), ``tasks`` (tasks wanted per batch).
     """
 
     @classmethod
