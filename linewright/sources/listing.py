@@ -8,7 +8,10 @@ from .text_lines import file_uri
 
 
 def list_files(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
-    """``path, file_size, mtime_secs``, one row per file; no content is read."""
+    """``path, file_size, mtime_secs``, one row per file; no content is read.
+
+    Spark's file sources leave out files of zero bytes, and so does this.
+    """
     reader = spark.read.format("binaryFile").options(**options)
     return (
         reader.load(paths)
