@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import sys
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -22,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCHEMA = "path string, byte_offset bigint, value string, head string"
 CHUNK = 1 << 20
+LOOKBACK = 1 << 16
+STAT_THREADS = 32
 TASK_BYTES = 64 * CHUNK
 BATCH_LINES = 50_000
 
@@ -49,20 +52,28 @@ def open_file(path: str):
     return source, source.size()
 
 
-def end_of_lines(path: str) -> int | None:
-    """Byte after the last LF, 0 if there is none, None if there is no file."""
+def end_of_lines(path: str, seen: tuple | None = None) -> tuple | None:
+    """``(size, byte after the last LF)`` of a file, None if there is no file.
+
+    ``seen`` is an earlier result: nothing is read if the size is still the same,
+    and only what came after that last LF if the file grew.
+    """
     try:
-        source, end = open_file(path)
+        source, size = open_file(path)
     except FileNotFoundError:
         return None
     with source:
-        while end > 0:
-            start = max(0, end - CHUNK)
+        if seen is not None and seen[0] == size:
+            return seen
+        floor = seen[1] if seen is not None and seen[0] < size else 0
+        end = size
+        while end > floor:
+            start = max(floor, end - LOOKBACK)
             cut = source.read_at(end - start, start).rfind(b"\n")
             if cut >= 0:
-                return start + cut + 1
+                return size, start + cut + 1
             end = start
-    return 0
+        return size, floor
 
 
 def cut_ranges(start: dict, end: dict, task_bytes: int = TASK_BYTES) -> list[tuple]:
@@ -192,19 +203,20 @@ class TailReader(DataSourceStreamReader):
         self.from_end = options.get("startingposition", "start") == "end"
         self.task_bytes = int(options.get("taskbytes", TASK_BYTES))
         self.tasks = int(options.get("tasks", 1))
-        self.known = {}
+        self.seen = {}
 
     def initialOffset(self):
-        if not self.from_end:
-            return {}
-        return {p: e for p in self.paths if (e := end_of_lines(p)) is not None}
+        return self.latestOffset() if self.from_end else {}
 
     def latestOffset(self):
-        for path in self.paths:
-            end = end_of_lines(path)
-            if end is not None:
-                self.known[path] = end
-        return dict(self.known)
+        def look(path):
+            return path, end_of_lines(path, self.seen.get(path))
+
+        with ThreadPoolExecutor(STAT_THREADS) as pool:
+            found = dict(pool.map(look, self.paths))
+        # A file that is missing right now keeps its last offset.
+        self.seen.update({p: state for p, state in found.items() if state})
+        return {p: end for p, (_, end) in self.seen.items()}
 
     def partitions(self, start, end):
         packed = pack_ranges(start, end, self.task_bytes, self.tasks)

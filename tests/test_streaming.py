@@ -26,8 +26,12 @@ def test_ranges_cover_every_line_once(tmp_path, monkeypatch, chunk):
     data = "".join(t + "\n" for t in texts).encode()
     path = tmp_path / "a.log"
     path.write_bytes(data + b"unfinished")
-    end = tail.end_of_lines(str(path))
-    assert end == len(data)
+    monkeypatch.setattr(tail, "LOOKBACK", chunk)
+    size, end = tail.end_of_lines(str(path))
+    assert (size, end) == (len(data) + 10, len(data))
+    assert tail.end_of_lines(str(path), (size - 10, 3)) == (size, end)
+    assert tail.end_of_lines(str(path), (size + 1, end + 1)) == (size, end)
+    assert tail.end_of_lines(str(path), (size - 1, end)) == (size, end)
     want, at = [], 0
     for text in texts:
         want.append((at, text))
@@ -42,7 +46,7 @@ def test_ranges_cover_every_line_once(tmp_path, monkeypatch, chunk):
 def test_line_rules(tmp_path):
     path = tmp_path / "a.log"
     path.write_bytes(b"a\r\n\xff\n\n\xc3\xa9\r\r\n")
-    end = {str(path): tail.end_of_lines(str(path))}
+    end = {str(path): tail.end_of_lines(str(path))[1]}
     assert read_all(str(path), {}, end, 100) == [(0, "a"), (3, ""), (5, ""), (6, "é\r")]
 
 
