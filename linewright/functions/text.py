@@ -35,9 +35,9 @@ def match_spans(value: str, needle: str) -> str:
     """1-based starts of every non-overlapping occurrence, left to right.
 
     Positions are characters of the lower-cased text. The text is cut at the
-    needle; each start is the length of all pieces and needles before it. The
-    running sum goes over blocks of pieces first and over block totals after, so
-    a line with very many matches costs far less than repeated appending would.
+    needle; each start is the one before plus the needle and the piece between.
+    Appending one start at a time copies the array each time, so a line with more
+    than a block of matches is summed up block by block, then over block totals.
     """
     if needle == "":
         return "CAST(array() AS array<int>)"
@@ -45,17 +45,28 @@ def match_spans(value: str, needle: str) -> str:
     step = f"char_length(lower({sql.text(needle)}))"
     pieces = f"split(lower({value}), {sql.text(quoted(low))}, -1)"
     # All pieces but the last are followed by a match.
+    few = (
+        "aggregate(slice(p, 1, size(p) - 1), CAST(array() AS array<int>), (acc, x) -> "
+        "concat(acc, array(coalesce(try_element_at(acc, -1) + "
+        f"{step}, 1) + char_length(x))))"
+    )
     blocks = (
-        f"transform(sequence(0, (size(p) - 1) div {_BLOCK}), b -> slice(p, "
+        f"transform(sequence(0, (size(p) - 2) div {_BLOCK}), b -> slice(p, "
         f"b * {_BLOCK} + 1, least({_BLOCK}, size(p) - 1 - b * {_BLOCK})))"
     )
     ends = f"transform({blocks}, k -> {_running('k', f'char_length(x) + {step}')})"
-    totals = _running("e", "coalesce(try_element_at(x, -1), 0)")
-    starts = (
-        f"zip_with(e, concat(array(0), {totals}), (k, before) -> "
-        f"transform(coalesce(k, array()), x -> x + before - {step} + 1))"
+    totals = _running("e", "element_at(x, -1)")
+    many = (
+        f"zip_with(e, slice(concat(array(0), {totals}), 1, size(e)), (k, before) -> "
+        f"transform(k, x -> x + before - {step} + 1))"
+    )
+    starts = sql.case(
+        [(f"size(p) <= {_BLOCK} + 1", few)], f"flatten({_let('e', ends, many)})"
+    )
+    return sql.case(
+        [(contains_ignoring_case(value, needle), _let("p", pieces, starts))],
+        "CAST(array() AS array<int>)",
     )
-    return f"flatten({_let('p', pieces, _let('e', ends, starts))})"
 
 
 def _running(values: str, gap: str) -> str:
