@@ -42,9 +42,9 @@ def open_file(path: str):
     """Random-access input of a local path or URI, and its current size."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        if path.startswith("file:/") and not path.startswith("file://"):
-            path = "file://" + path[len("file:") :]
+    if path.startswith("file:"):
+        system, inner = fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+    elif "://" in path:
         system, inner = fs.FileSystem.from_uri(path)
     else:
         system, inner = fs.LocalFileSystem(), path

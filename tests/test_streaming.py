@@ -5,6 +5,7 @@ import random
 import pytest
 
 import linewright as lw
+from linewright.operators.parse import pin_level
 from linewright.streaming import sinks, tail
 
 
@@ -43,6 +44,13 @@ def test_ranges_cover_every_line_once(tmp_path, monkeypatch, chunk):
     assert got == want[100:]
 
 
+def test_file_uri_with_odd_characters(tmp_path):
+    path = tmp_path / "a b%20+[1].log"
+    path.write_bytes(b"x\n")
+    for name in (str(path), f"file:{path}", f"file://{path}"):
+        assert tail.end_of_lines(name) == (2, 2)
+
+
 def test_line_rules(tmp_path):
     path = tmp_path / "a.log"
     path.write_bytes(b"a\r\n\xff\n\n\xc3\xa9\r\r\n")
@@ -100,6 +108,14 @@ def test_follow_grow_partial_rotate_restart(spark, tmp_path):
     assert levels == {"error": 1, "info": 1, "unknown": 1, "warn": 1}
 
 
+def test_filter_stays_above_the_pinned_level(lines):
+    parsed = pin_level(lw.parse_logs(lines(["ERROR x", "info"]), "Plain text"))
+    found = lw.search_logs(parsed, "", "error")
+    assert [r.value for r in found.collect()] == ["ERROR x"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter (level") < plan.index("Generate explode")
+
+
 def test_start_at_the_end(spark, tmp_path):
     log = tmp_path / "a.log"
     log.write_bytes(b"INFO old\n")
