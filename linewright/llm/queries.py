@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_dir
-from . import token_files
+from . import harmonic_pack, simhash, token_files
 from .common import table
 
 
@@ -15,7 +15,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.id_checksums(token_files.read_token_files(spark, folder))
 
 
+def op7_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic_pack.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op7_harmonic_pack": op7_harmonic_pack,
+    "op8_simhash": op8_simhash,
     "op3_token_files": op3_token_files,
 }
 ORACLE: dict[str, str] = {}
