@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ..operators.lookup import store
+from ..operators.lookup import BROADCAST_BYTES, store
+from ..session import fresh_dir
 
 # Bytes of text handled at once inside a task; a longer text is one step by itself.
 STEP_BYTES = 8 << 20
@@ -134,3 +135,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)
+
+
+def join_side(
+    rows: DataFrame, side: DataFrame, on: list[str], how: str, bytes_each: str, name: str
+) -> DataFrame:
+    """Join with a derived side of unknown size, stored and measured first.
+
+    ``bytes_each`` is SQL for the bytes of one row of the side. Up to
+    ``BROADCAST_BYTES`` the side is broadcast and ``rows`` stay where they are; beyond,
+    both are shuffled on the key, where adaptive execution can split a hot one.
+    """
+    spark = rows.sparkSession
+    folder, seen = fresh_dir(spark, f"llm-{name}"), Observation()
+    size = F.sum(F.expr(f"CAST({bytes_each} AS BIGINT)")).alias("size")
+    side.observe(seen, size).write.parquet(folder)
+    stored = spark.read.schema(side.schema).parquet(folder)
+    if (seen.get["size"] or 0) <= BROADCAST_BYTES:
+        stored = F.broadcast(stored)
+    else:
+        stored = stored.hint("shuffle_merge")
+    return rows.join(stored, on, how)

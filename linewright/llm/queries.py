@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_dir
-from . import harmonic_pack, simhash, token_files
+from . import harmonic_pack, rlz_dedup, simhash, token_files
 from .common import table
 
 
+def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rlz_dedup.digest(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "llm-tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder)
@@ -24,6 +29,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_rlz_dedup": op1_rlz_dedup,
     "op7_harmonic_pack": op7_harmonic_pack,
     "op8_simhash": op8_simhash,
     "op3_token_files": op3_token_files,
