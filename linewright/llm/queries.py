@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_dir
-from . import harmonic_pack, rlz_dedup, simhash, token_files
+from . import contain_minhash, ecoc_language, harmonic_pack, rlz_dedup, simhash, sql, token_files
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.id_checksums(token_files.read_token_files(spark, folder))
 
 
+def op4_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ecoc_language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_pack.pack(table(spark, sf_dir, "documents"))
 
@@ -28,10 +32,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op10_contain_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contain_minhash.contained_items(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES = {
     "op1_rlz_dedup": op1_rlz_dedup,
+    "op4_ecoc_language": op4_ecoc_language,
     "op7_harmonic_pack": op7_harmonic_pack,
     "op8_simhash": op8_simhash,
+    "op10_contain_minhash": op10_contain_minhash,
     "op3_token_files": op3_token_files,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(sql.ORACLE)
