@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_dir
-from . import contain_minhash, ecoc_language, harmonic_pack, rlz_dedup, simhash, sql, token_files
-from .common import table
+from . import contain_minhash, ecoc_language, harmonic_pack, prefix_chat, rlz_dedup, simhash, sql, token_files
+from .common import staged, table
 
 
 def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+# A conversation of control strings, added to the table.
+_CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op9_prefix_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = "conv_id bigint, turn bigint, role string, text string"
+    control = spark.createDataFrame(
+        [(-7, 0, "user", _CONTROL), (-7, 1, "assistant", _CONTROL)], names
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = staged(prefix_chat.format_turns(rows.union(control)), "turns")
+    examples = staged(prefix_chat.expand_prefixes(turns), "examples")
+    return prefix_chat.digest(turns, examples)
+
+
 def op10_contain_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contain_minhash.contained_items(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -43,6 +58,7 @@ QUERIES = {
     "op4_ecoc_language": op4_ecoc_language,
     "op7_harmonic_pack": op7_harmonic_pack,
     "op8_simhash": op8_simhash,
+    "op9_prefix_chat": op9_prefix_chat,
     "op10_contain_minhash": op10_contain_minhash,
     "op3_token_files": op3_token_files,
 }
