@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_dir
-from . import contain_minhash, ecoc_language, harmonic_pack, kd_shards, prefix_chat, rlz_dedup, simhash, sql, token_files
+from . import ball_tree, contain_minhash, ecoc_language, harmonic_pack, kd_shards, prefix_chat, rlz_dedup, simhash, sql, token_files
 from .common import staged, table
 
 
@@ -28,6 +28,10 @@ def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.digest(kd_shards.assign(table(spark, sf_dir, "documents")))
 
 
+def op6_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op7_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_pack.pack(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op4_ecoc_language": op4_ecoc_language,
     "op5_kd_shards": op5_kd_shards,
+    "op6_ball_tree": op6_ball_tree,
     "op7_harmonic_pack": op7_harmonic_pack,
     "op8_simhash": op8_simhash,
     "op9_prefix_chat": op9_prefix_chat,

@@ -45,4 +45,21 @@ SELECT doc_id, item_id, count(*) AS n_shared, n AS n_item, count(*) / n AS conta
 FROM docs JOIN items USING (shingle) JOIN sizes USING (item_id)
 GROUP BY doc_id, item_id, n
 HAVING count(*) * 5 >= n * 4""",
+    "op6_ball_tree": """
+WITH vectors AS (
+    SELECT DISTINCT vec_id,
+        list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT)
+               AS score
+    FROM vectors q, vectors c
+    WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+    FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
 }
