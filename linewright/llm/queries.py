@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_dir
-from . import ball_tree, contain_minhash, ecoc_language, harmonic_pack, kd_shards, prefix_chat, rlz_dedup, simhash, sql, token_files
+from . import ball_tree, contain_minhash, ecoc_language, harmonic_pack, kd_shards, patience, prefix_chat, rlz_dedup, simhash, sql, token_files
 from .common import staged, table
 
 
@@ -14,6 +14,10 @@ def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patience.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "llm-tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder)
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_prefix_chat": op9_prefix_chat,
     "op10_contain_minhash": op10_contain_minhash,
+    "op2_patience": op2_patience,
     "op3_token_files": op3_token_files,
 }
 ORACLE: dict[str, str] = dict(sql.ORACLE)
