@@ -12,7 +12,7 @@ still reaches. First every query searches the shard with its highest bound. The
 score found there goes along to the other shards, and a shard whose own ball can't reach
 it doesn't see the query at all.
 
-Defined cases: vectors that are null or hold a null or non-finite component take no
+Defined cases: vectors that are null, empty or hold a null or non-finite component take no
 part; vectors are compared with those of their own length only; ties go to the smaller
 id; rows that repeat an id and its vector count once; a null id takes no part; scores
 beyond 2^53 are refused, as they would not be exact; empty tables give no rows.
@@ -41,11 +41,11 @@ _HITS = "query bigint, vec_id bigint, score bigint"
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``vec_id, v``: whole-numbered vectors without null or non-finite components."""
+    """``vec_id, v``: whole-numbered vectors, none of them empty or with a null or non-finite part."""
     x = "CAST(x AS DOUBLE)"
     good = f"x IS NOT NULL AND NOT isnan({x}) AND abs({x}) < double('infinity')"
     return (
-        vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+        vectors.filter("vec_id IS NOT NULL AND size(embedding) > 0")
         .filter(f"forall(embedding, x -> coalesce({good}, false))")
         .selectExpr(
             "CAST(vec_id AS BIGINT) AS vec_id",
@@ -187,7 +187,8 @@ def _shards(points: DataFrame, pivots: int, shard_points: int) -> DataFrame:
         "point",
         "v",
         "n",
-        f"concat_ws('/', n, pivot, pmod({spread}, count DIV {shard_points} + 1)) AS shard",
+        "shiftleft(CAST(n AS BIGINT), 44) + shiftleft(CAST(pivot AS BIGINT), 36)"
+        f" + pmod({spread}, count DIV {shard_points} + 1) AS shard",
     )
 
 
@@ -234,7 +235,7 @@ def top_k(
 
     balls = staged(
         points.groupBy("shard").applyInPandas(
-            ball, "shard string, n int, c array<double>, r double"
+            ball, "shard bigint, n int, c array<double>, r double"
         ),
         "balls",
     )
@@ -248,7 +249,7 @@ def top_k(
 
         def measure(balls: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
             if not len(balls) or not len(queries):
-                return pd.DataFrame({"point": [], "shard": [], "bound": []})
+                return pd.DataFrame({"point": [], "shard": [], "bound": []}, dtype="int64")
             x = np.stack(queries["v"]).astype(np.float64)
             bound = x @ np.stack(balls["c"]).T
             bound += np.sqrt((x * x).sum(axis=1))[:, None] * balls["r"].to_numpy()
@@ -283,7 +284,7 @@ def top_k(
             left.withColumn("of_balls", F.col("of_balls").cast("int"))
             .groupBy(*key)
             .cogroup(right.groupBy(*key))
-            .applyInPandas(measure, "point bigint, shard string, bound double")
+            .applyInPandas(measure, "point bigint, shard bigint, bound double")
         )
 
     lowest = F.lit(float("-inf"))

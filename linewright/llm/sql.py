@@ -50,7 +50,7 @@ WITH vectors AS (
     SELECT DISTINCT vec_id,
         list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
     FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
     SELECT q.vec_id AS query_id, c.vec_id,
