@@ -18,17 +18,23 @@ from .operators.search import (
     search_logs,
 )
 from .operators.stats import file_summary, level_counts, line_counts
+from .operators.templates import parse_pattern, similar_lines
+from .operators.terms import Has, Matches, search_regex, search_terms
+from .operators.timeline import frequency, time_range, with_event_time
 from .plans.ingest import ingest, read_manifest, read_parsed, stale_files
 from .sources.listing import list_files
 from .sources.text_lines import number_lines, read_log_lines, scan_lines
 from .streaming.follow import follow, follow_segments, live_level_counts, tail_lines
 
 __all__ = [
+    "Has",
+    "Matches",
     "detect_formats",
     "export_lines",
     "file_summary",
     "follow",
     "follow_segments",
+    "frequency",
     "goto_line",
     "ingest",
     "level_counts",
@@ -43,6 +49,7 @@ __all__ = [
     "nth_match",
     "number_lines",
     "parse_logs",
+    "parse_pattern",
     "prev_match",
     "rank_matches",
     "read_log_lines",
@@ -51,6 +58,11 @@ __all__ = [
     "scan_lines",
     "search_counts",
     "search_logs",
+    "search_regex",
+    "search_terms",
+    "similar_lines",
     "stale_files",
     "tail_lines",
+    "time_range",
+    "with_event_time",
 ]

@@ -329,6 +329,55 @@ RANKED = (
     f"FROM ({MATCHES})"
 )
 
+# The instant of a timestamp text, by shape; DuckDB parses, what is out of range is null.
+_WHOLE = rf"^{DATE}[T ]{HMS}([.][0-9]+)?(Z|[+-][0-9]{{2}}:[0-9]{{2}})?$"
+
+
+def micros(stamp: str, year: int, date: str | None) -> str:
+    month = f"strptime(substr({stamp}, 1, 3) || ' 2000', '%b %Y')"
+    day = f"lpad(regexp_extract({stamp}, '^[A-Z][a-z]{{2}} *[^0-9 ]?([0-9]{{1,2}}) ', 1), 2, '0')"
+    clock = f"regexp_extract({stamp}, ' ({HMS})$', 1)"
+    full = (
+        f"CASE WHEN regexp_matches({stamp}, '^[0-9]{{4}}-') THEN {stamp} "
+        f"WHEN regexp_matches({stamp}, '^[0-9]{{2}}-') THEN '{year}-' || {stamp} "
+        f"WHEN regexp_matches({stamp}, '^{MON}') THEN '{year}-' || "
+        f"strftime({month}, '%m') || '-' || {day} || ' ' || {clock} "
+    )
+    if date is not None:
+        full += f"WHEN regexp_matches({stamp}, '^[0-9]{{2}}:') THEN '{date} ' || {stamp} "
+    full += "END"
+    local = f"regexp_replace({full}, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$', '')".replace("{{2}}", "{2}")
+    zone = rf"regexp_extract({full}, '([+-][0-9]{{2}}:[0-9]{{2}})$', 1)"
+    minutes = (
+        f"CASE WHEN {zone} = '' THEN 0 ELSE (CASE WHEN {zone}[1] = '-' THEN -1 ELSE 1 END) "
+        f"* (substr({zone}, 2, 2)::INT * 60 + substr({zone}, 5, 2)::INT) END"
+    )
+    return (
+        f"CASE WHEN regexp_matches({full}, '{_WHOLE}') THEN "
+        f"epoch_us(try_cast({local} AS TIMESTAMP)) - ({minutes})::BIGINT * 60000000 END"
+    )
+
+
+TIMED = (
+    f"SELECT path, line_number, level, {micros('ts_text', queries.YEAR, None)} AS micros "
+    f"FROM ({PARSED})"
+)
+
+
+def masked(value: str) -> str:
+    for pattern, mark in MASKS:
+        value = f"regexp_replace({value}, {lit(pattern)}, {lit(mark)}, 'g')"
+    return value
+
+
+# What varies between lines of one kind.
+MASKS = (('"[^"]*"', '"*"'), ("'[^']*'", "'*'"), ("0x[0-9A-Fa-f]+", "#"), ("[0-9]+", "#"))
+KINDS = (
+    f"SELECT template, count(*) AS n, min(struct_pack(path, line_number, value)) AS e FROM "
+    f"(SELECT *, {masked('value')} AS template FROM ({PARSED})) GROUP BY template"
+)
+_KIND = "template, n, e.path AS path, e.line_number AS line_number, e.value AS value"
+
 _offset, _limit = queries.PAGE
 _key = "path, line_number, "
 
@@ -413,6 +462,40 @@ ORACLE = {
         "SELECT doc_id AS path, k AS position, value "
         f"FROM ({_LINES}) WHERE {found('THe')}"
     ),
+    "search_regex": (
+        f"SELECT {_key}value FROM ({PARSED}) WHERE regexp_matches(value, {lit(queries.REGEX)})"
+    ),
+    "search_terms": (
+        f"SELECT {_key}value FROM ({PARSED}) WHERE (contains(lower(value), 'user=1') "
+        "AND NOT contains(lower(value), 'error')) "
+        f"OR regexp_matches(value, {lit(queries.TERM_REGEX)})"
+    ),
+    "parse_pattern": (
+        f"SELECT {_key}"
+        + ", ".join(
+            f"CASE WHEN regexp_matches(value, {lit(queries.USER_PATTERN)}) THEN "
+            f"regexp_extract(value, {lit(queries.USER_PATTERN)}, {i}) END AS {name}"
+            for i, name in enumerate(("clock", "word", "user"), 1)
+        ).replace("AS user", 'AS "user"')
+        + f" FROM ({with_odd('app.log')})"
+    ),
+    "similar_lines": f"SELECT {_KIND} FROM ({KINDS})",
+    "similar_lines_top": (
+        f"SELECT {_KIND} FROM ({KINDS}) ORDER BY n DESC, template LIMIT {queries.TOP}"
+    ),
+    "event_time": (
+        f"WITH p AS ({over(with_odd('app.log'), _key + TS_PLAIN + ' AS ts_text')}) SELECT "
+        f"{_key}{micros('ts_text', queries.YEAR, queries.DATE)} AS micros FROM p"
+    ),
+    "time_range": (
+        f"SELECT {_key}micros FROM ({TIMED}) WHERE "
+        f"micros >= epoch_us(TIMESTAMP '{queries.RANGE[0]}') "
+        f"AND micros < epoch_us(TIMESTAMP '{queries.RANGE[1]}')"
+    ),
+    "errors_over_time": (
+        "SELECT path, micros // 3600000000 * 3600 AS window_start, level, count(*) AS n "
+        f"FROM ({TIMED}) WHERE micros IS NOT NULL GROUP BY ALL"
+    ),
     "match_spans": spans(PARSED, queries.SPAN_NEEDLE, _SPAN_SUM),
     "match_spans_documents": spans(
         "SELECT doc_id AS path, 1::BIGINT AS line_number, text AS value FROM documents",

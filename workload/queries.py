@@ -30,6 +30,14 @@ RANK = 7
 PAGE = (100, 50)
 CURRENT = 500
 GOTO = 250
+# Patterns that Java and RE2 read alike.
+REGEX = r"user=[0-9]*7\b|Tag: (error|view)$"
+TERM_REGEX = "level\":\"WARN.*sign"
+USER_PATTERN = r"(?P<clock>[0-9]{2}:[0-9]{2}):[0-9.]+ (?P<word>[A-Za-z]+) user=(?P<user>[0-9]+)"
+TOP = 5
+YEAR = 2024
+DATE = "2024-02-03"
+RANGE = ("2024-01-05 00:00:00", "2024-01-20 12:30:00")
 
 
 # --- scans, sources, sinks -----------------------------------------------------
@@ -293,6 +301,59 @@ def log_view(spark, sf_dir) -> DataFrame:
     return lw.log_view(inputs.parsed_table(spark, sf_dir))
 
 
+def search_regex(spark, sf_dir) -> DataFrame:
+    matches = lw.search_regex(inputs.parsed_table(spark, sf_dir), REGEX)
+    return matches.select("path", "line_number", "value")
+
+
+def search_terms(spark, sf_dir) -> DataFrame:
+    wanted = lw.Has("USER=1") & ~lw.Has("error") | lw.Matches(TERM_REGEX)
+    matches = lw.search_terms(inputs.parsed_table(spark, sf_dir), wanted)
+    return matches.select("path", "line_number", "value")
+
+
+def parse_pattern(spark, sf_dir) -> DataFrame:
+    lines = inputs.with_odd(spark, sf_dir, "app.log")
+    return lw.parse_pattern(lines, USER_PATTERN).select(
+        "path", "line_number", "clock", "word", "user"
+    )
+
+
+def similar_lines(spark, sf_dir) -> DataFrame:
+    return lw.similar_lines(inputs.parsed_table(spark, sf_dir))
+
+
+def similar_lines_top(spark, sf_dir) -> DataFrame:
+    return lw.similar_lines(inputs.parsed_table(spark, sf_dir), TOP)
+
+
+# --- time ---------------------------------------------------------------------------
+
+
+def _timed(spark, sf_dir) -> DataFrame:
+    return lw.with_event_time(inputs.parsed_table(spark, sf_dir), year=YEAR)
+
+
+def event_time(spark, sf_dir) -> DataFrame:
+    """Every regular and odd line as plain text, with year and date given."""
+    parsed = lw.parse_logs(inputs.with_odd(spark, sf_dir, "app.log"), "Plain text")
+    timed = lw.with_event_time(parsed, year=YEAR, date=DATE)
+    return timed.select(
+        "path", "line_number", F.unix_micros("event_time").alias("micros")
+    )
+
+
+def time_range(spark, sf_dir) -> DataFrame:
+    return lw.time_range(_timed(spark, sf_dir), *RANGE).select(
+        "path", "line_number", F.unix_micros("event_time").alias("micros")
+    )
+
+
+def errors_over_time(spark, sf_dir) -> DataFrame:
+    counted = lw.frequency(_timed(spark, sf_dir), "1 hour")
+    return counted.withColumn("window_start", F.unix_seconds("window_start"))
+
+
 # --- counts -------------------------------------------------------------------------
 
 
@@ -462,6 +523,14 @@ QUERIES = {
     "search_substring": search_substring,
     "search_and_level": search_and_level,
     "search_documents": search_documents,
+    "search_regex": search_regex,
+    "search_terms": search_terms,
+    "parse_pattern": parse_pattern,
+    "similar_lines": similar_lines,
+    "similar_lines_top": similar_lines_top,
+    "event_time": event_time,
+    "time_range": time_range,
+    "errors_over_time": errors_over_time,
     "match_spans": match_spans,
     "match_spans_documents": match_spans_documents,
     "log_view": log_view,
