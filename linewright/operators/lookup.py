@@ -10,8 +10,6 @@ from ..session import fresh_dir
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Rough size of one row besides its text.
 _ROW_BYTES = 64
-# Pieces a key is spread over when the side is too large to broadcast.
-SPREAD = 32
 
 
 def store(side: DataFrame, purpose: str) -> DataFrame:
@@ -44,25 +42,15 @@ def attach(
     rows: DataFrame,
     side: DataFrame,
     on: list[str],
-    spread: str | None = None,
     limit: int | None = None,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join ``rows`` with ``side``, which has one row per value of ``on``.
+    """Join ``rows`` with ``side``, which has one row per value of ``on``.
 
     Below the limit the side is broadcast and ``rows`` do not move. Above it both
-    are shuffled; ``spread`` names a column of ``rows`` by which each key is cut
-    into pieces, so that one file holding a large share of all rows does not end
-    up in one task.
+    are shuffled, so no value of ``on`` should hold more rows than a task can take.
     """
     side, size = store_measured(side, "side")
     if size <= (BROADCAST_BYTES if limit is None else limit):
-        return rows.join(F.broadcast(side), on)
-    if spread is None:
-        return rows.join(side, on)
-    pieces = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-    piece = F.pmod(F.xxhash64(spread), F.lit(SPREAD)).cast("int")
-    return (
-        rows.withColumn("_piece", piece)
-        .join(side.withColumn("_piece", pieces), [*on, "_piece"])
-        .drop("_piece")
-    )
+        return rows.join(F.broadcast(side), on, how)
+    return rows.join(side, on, how)

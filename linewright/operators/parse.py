@@ -12,7 +12,10 @@ from ..functions import formats as fmt
 from ..functions import levels as lv
 from ..functions import sql
 from ..functions import timestamps as ts
-from .lookup import attach
+from . import lookup
+
+# Lines of a file that are shuffled together where the formats don't fit a broadcast.
+BLOCK_LINES = 1 << 19
 
 PARSED_COLUMNS = (
     "path",
@@ -36,8 +39,23 @@ def detect_formats(lines: DataFrame) -> DataFrame:
 
 
 def with_format(lines: DataFrame) -> DataFrame:
-    """``lines`` plus the format of each line's file."""
-    return attach(lines, detect_formats(lines), ["path"], spread="line_number")
+    """``lines`` plus the format of each line's file.
+
+    A file whose first line is not among ``lines`` (a page, a sample, a slice) keeps its
+    lines: its format is told from its name, else it is plain text. Formats too many to
+    broadcast are shuffled by blocks of lines, so a file of any length is spread.
+    """
+    formats, size = lookup.store_measured(detect_formats(lines), "formats")
+    if size <= lookup.BROADCAST_BYTES:
+        told = lines.join(F.broadcast(formats), "path", "left")
+    else:
+        block = F.expr(f"(line_number - 1) DIV {BLOCK_LINES}")
+        blocked = lines.withColumn("_block", block)
+        by_block = blocked.select("path", "_block").distinct()
+        by_block = by_block.join(formats, "path", "left")
+        told = blocked.join(by_block, ["path", "_block"], "left").drop("_block")
+    no_line = F.expr(fmt.format_name("path", "CAST(NULL AS TINYINT)"))
+    return told.withColumn("format", F.coalesce("format", no_line))
 
 
 def parse_logs(lines: DataFrame, format: str | None = None) -> DataFrame:

@@ -76,21 +76,13 @@ def nth_match(matches: DataFrame, rank: int) -> DataFrame:
 def next_match(matches: DataFrame, current: int) -> DataFrame:
     """First match of each file after line ``current``, from the top if none."""
     line = F.col("line_number")
-    after = F.min(F.when(line > current, line))
-    target = matches.groupBy("path").agg(
-        F.coalesce(after, F.min(line)).alias("line_number")
-    )
-    return _pick(matches, target)
+    return _pick(matches, F.min_by, F.when(line > current, line), line)
 
 
 def prev_match(matches: DataFrame, current: int) -> DataFrame:
     """Last match of each file before line ``current``, from the end if none."""
     line = F.col("line_number")
-    before = F.max(F.when(line < current, line))
-    target = matches.groupBy("path").agg(
-        F.coalesce(before, F.max(line)).alias("line_number")
-    )
-    return _pick(matches, target)
+    return _pick(matches, F.max_by, F.when(line < current, line), line)
 
 
 def goto_line(
@@ -98,17 +90,27 @@ def goto_line(
 ) -> DataFrame:
     """Line ``number`` of every file, clamped to 1..line count.
 
-    ``counts`` (``path, line_count``) saves a pass where a manifest knows them.
+    That is the last line up to the number, or the first; the bound on the line number
+    reaches the scan. ``counts`` (``path, line_count``) from a manifest name the line,
+    and then nothing is aggregated.
     """
+    number = max(number, 1)
+    upto = lines.filter(F.col("line_number") <= number)
     if counts is None:
-        counts = lines.groupBy("path").agg(F.max("line_number").alias("line_count"))
-    clamped = F.greatest(F.lit(1), F.least(F.lit(number), F.col("line_count")))
-    target = counts.filter("line_count > 0").select(
-        "path", clamped.cast("bigint").alias("line_number")
-    )
-    return _pick(lines, target)
+        return _pick(upto, F.max_by, F.col("line_number"))
+    clamped = F.least(F.lit(number), F.col("line_count")).cast("bigint")
+    target = counts.filter("line_count > 0").select("path", clamped.alias("line_number"))
+    return upto.join(target, ["path", "line_number"])
 
 
-def _pick(rows: DataFrame, target: DataFrame) -> DataFrame:
-    # At most one row per (path, line number): no key is hot, even if shuffled.
-    return attach(rows, target, ["path", "line_number"])
+def _pick(rows: DataFrame, choose, *orders) -> DataFrame:
+    """Of each file the row chosen by the first order that any of its rows has.
+
+    One pass: a task keeps one row per file and order.
+    """
+    row = F.struct(*[c for c in rows.columns if c != "path"])
+    best = rows.groupBy("path").agg(
+        *[choose(row, order).alias(f"_{i}") for i, order in enumerate(orders)]
+    )
+    chosen = F.coalesce(*[F.col(f"_{i}") for i in range(len(orders))])
+    return best.select("path", chosen.alias("_row")).select("path", "_row.*")

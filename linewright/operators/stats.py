@@ -15,12 +15,14 @@ def level_counts(parsed: DataFrame) -> DataFrame:
 
 
 def file_summary(files: DataFrame) -> DataFrame:
-    """``path, format, line_count, size_gb`` from rows with a ``file_size``.
+    """``path, format, line_count, file_size, size_gb`` from rows with a ``file_size``.
 
     Gigabytes are 10^9 bytes, to one decimal.
     """
     size = F.round(F.col("file_size") / F.lit(1e9), 1)
-    return files.select("path", "format", "line_count", size.alias("size_gb"))
+    return files.select(
+        "path", "format", "line_count", "file_size", size.alias("size_gb")
+    )
 
 
 def line_counts(parsed: DataFrame) -> DataFrame:

@@ -4,10 +4,13 @@ Layout below the table folder::
 
     lines/ingest_id=N/      parsed lines of the files taken in by ingest N
     manifest/ingest_id=N/   path, file_size, mtime_secs, format, line_count
+    claims/N                taken by the run that may write N
 
 The manifest rows of an ingest are written last and are what makes its lines
-visible: an ingest that died half-way leaves lines nobody reads. The newest
-manifest row of a path says which ingest holds its lines.
+visible: an ingest that died at any point leaves lines nobody reads, and a number
+nobody uses again. Each commit claims a number by creating a file that must not be
+there, so two runs at once never write to one place. The newest manifest row of a
+path says which ingest holds its lines.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions.formats import format_name
 from ..operators.lookup import BROADCAST_BYTES, store, store_measured
 from ..operators.parse import parse_logs
-from ..session import dir_exists, drop_dir
+from ..session import claim, dir_exists, drop_dir
 from ..sources.listing import glob_escape, list_files
 from ..sources.text_lines import number_lines
 
@@ -74,12 +77,16 @@ def ingest(
     Unchanged files are not read. A changed file is parsed again as a whole and
     its earlier lines go out of sight with the same commit.
     """
-    listing = store(list_files(spark, paths, **options), "listing")
-    commits = 0
+    # Listed and compared once, in order of path: a commit starts after the last one's
+    # path, and looks neither at the manifest nor at files that are done.
+    stale = stale_files(list_files(spark, paths, **options), read_manifest(spark, table))
+    stale = store(stale.orderBy("path"), "stale")
+    last_id = manifest_history(spark, table).agg(F.max("ingest_id")).first()[0]
+    next_id = 0 if last_id is None else last_id + 1
+    commits, done = 0, None
     while True:
-        history = manifest_history(spark, table)
-        stale = stale_files(listing, read_manifest(spark, table))
-        found = stale.orderBy("path").limit(max_files).collect()
+        rest = stale if done is None else stale.filter(F.col("path") > done)
+        found = rest.orderBy("path").limit(max_files).collect()
         batch, size = [], 0
         for row in found:
             if batch and size + row.file_size > max_bytes:
@@ -87,18 +94,22 @@ def ingest(
             batch.append(row)
             size += row.file_size
         if batch:
-            last = history.agg(F.max("ingest_id")).first()[0]
-            _commit(spark, batch, table, 0 if last is None else last + 1)
-            commits += 1
+            while not claim(spark, f"{table}/claims/{next_id}"):
+                next_id += 1
+            _commit(spark, batch, table, next_id, options)
+            commits, done = commits + 1, batch[-1].path
         if len(batch) == len(found) < max_files:
             return commits
 
 
-def _commit(spark: SparkSession, batch: list, table: str, ingest_id: int) -> None:
+def _commit(
+    spark: SparkSession, batch: list, table: str, ingest_id: int, options: dict
+) -> None:
     listed = spark.createDataFrame(
         batch, "path string, file_size bigint, mtime_secs bigint"
     )
-    numbered = number_lines(spark, [glob_escape(row.path) for row in batch])
+    files = [glob_escape(row.path) for row in batch]
+    numbered = number_lines(spark, files, **options)
     parsed = parse_logs(numbered.lines)
     parsed.write.mode("overwrite").parquet(f"{table}/lines/ingest_id={ingest_id}")
     no_line = F.expr(format_name("path", "CAST(NULL AS TINYINT)"))

@@ -15,9 +15,10 @@ def shared_dir(spark: SparkSession) -> str:
     without: it gets a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     made = tempfile.mkdtemp(prefix="linewright-")
     spark.conf.set("spark.checkpoint.dir", made)
@@ -34,6 +35,14 @@ def _file_system(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without scheme, completed by the default file system unless that is local."""
+    if ":" in path.split("/")[0]:
+        return path
+    default = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return path if default.startswith("file:") else default.rstrip("/") + path
+
+
 def dir_exists(spark: SparkSession, folder: str) -> bool:
     path, system = _file_system(spark, folder)
     return system.exists(path)
@@ -45,3 +54,29 @@ def drop_dir(spark: SparkSession, folder: str) -> None:
         raise ValueError(f"not an intermediate folder: {folder}")
     path, system = _file_system(spark, folder)
     system.delete(path, True)
+
+
+def list_dirs(spark: SparkSession, folder: str, marked: str) -> list[str]:
+    """Names of the subfolders that hold a file named ``marked``."""
+    path, system = _file_system(spark, folder)
+    if not system.exists(path):
+        return []
+    inner = spark._jvm.org.apache.hadoop.fs.Path
+    found = [f.getPath() for f in system.listStatus(path) if f.isDirectory()]
+    return [p.getName() for p in found if system.exists(inner(p, marked))]
+
+
+def drop_batch(spark: SparkSession, folder: str) -> None:
+    """Delete one batch of a sink's running totals."""
+    name = folder.rpartition("/")[2]
+    if not name.startswith("batch-"):
+        raise ValueError(f"not a batch of totals: {folder}")
+    path, system = _file_system(spark, folder)
+    system.delete(path, True)
+
+
+def claim(spark: SparkSession, file: str) -> bool:
+    """Create a file that must not exist; False if another run was first."""
+    path, system = _file_system(spark, file)
+    system.mkdirs(path.getParent())
+    return system.createNewFile(path)

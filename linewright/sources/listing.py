@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .text_lines import file_uri
+from .text_lines import file_uri, refuse_hidden
 
 
 def list_files(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
     """``path, file_size, mtime_secs``, one row per file; no content is read.
 
-    Spark's file sources leave out files of zero bytes, and so does this.
+    Folders are taken with all that lies below them, whatever the subfolders' names.
+    Spark's file sources leave out files of zero bytes, and names that start with ``_``
+    or ``.``; so does this, except that such a name given as a path is refused.
     """
-    reader = spark.read.format("binaryFile").options(**options)
+    refuse_hidden(paths)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = reader.options(**options)
     return (
         reader.load(paths)
         .select(

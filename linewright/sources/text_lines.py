@@ -18,8 +18,18 @@ def file_uri(column: str) -> Column:
     return F.expr(f"CASE WHEN contains({column}, '%') THEN {decoded} ELSE {column} END")
 
 
+def refuse_hidden(paths: str | list[str]) -> None:
+    """Spark reads no file or folder with such a name, and says nothing."""
+    for path in [paths] if isinstance(paths, str) else paths:
+        name = path.rstrip("/").rpartition("/")[2]
+        if name.startswith(("_", ".")) and name not in (".", ".."):
+            raise ValueError(f"a name that starts with _ or . is not read: {path}")
+
+
 def _scan(spark: SparkSession, paths: str | list[str], options: dict) -> DataFrame:
-    reader = spark.read.option("lineSep", "\n").options(**options)
+    refuse_hidden(paths)
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
+    reader = reader.options(**options)
     return reader.text(paths).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -30,8 +40,9 @@ def _scan(spark: SparkSession, paths: str | list[str], options: dict) -> DataFra
 def scan_lines(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
     """``path, value``: lines cut at LF only, cleaned, without numbers.
 
-    Every Hadoop URI, directory and glob works; large files are split for parallel
-    reading and compressed files are unpacked by their extension.
+    Every Hadoop URI, directory (with all below it) and glob works; large files are split
+    for parallel reading and compressed files are unpacked by their extension. Names
+    that start with ``_`` or ``.`` are left out, and refused where given as a path.
     """
     lines = _scan(spark, paths, options)
     return lines.select(file_uri("file").alias("path"), "value")

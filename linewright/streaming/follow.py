@@ -10,7 +10,8 @@ from ..functions.formats import detect_format
 from ..functions.text import clean_line
 from ..operators.parse import parse_logs, pin_level
 from ..sources.text_lines import file_uri
-from .tail import TailSource
+from ..session import qualified
+from .tail import TailSource, split_path
 
 
 def tail_lines(
@@ -18,13 +19,21 @@ def tail_lines(
     paths: list[str],
     starting: str = "start",
     task_bytes: int | None = None,
+    missing: str = "error",
 ) -> DataFrame:
-    """Stream of ``path, byte_offset, value, head`` from files that grow."""
+    """Stream of ``path, byte_offset, value, head`` from files that grow.
+
+    A path without a scheme is resolved as Spark does, by the default file system.
+    """
+    paths = [qualified(spark, path) for path in paths]
+    for path in paths:
+        split_path(path)  # an unknown scheme fails here, not in a task
     spark.dataSource.register(TailSource)
     reader = (
         spark.readStream.format(TailSource.name())
         .option("paths", json.dumps(list(paths)))
         .option("startingPosition", starting)
+        .option("missing", missing)
         .option("tasks", str(spark.sparkContext.defaultParallelism))
     )
     if task_bytes is not None:
@@ -54,7 +63,8 @@ def follow_segments(
     spark: SparkSession, folder: str, format: str, **options
 ) -> DataFrame:
     """Stream of parsed lines of the segment files that appear in a folder."""
-    reader = spark.readStream.option("lineSep", "\n").options(**options)
+    reader = spark.readStream.option("lineSep", "\n")
+    reader = reader.option("recursiveFileLookup", "true").options(**options)
     lines = reader.text(folder).select(
         file_uri("_metadata.file_path").alias("path"),
         F.expr(clean_line("value")).alias("value"),

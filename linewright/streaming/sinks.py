@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import drop_batch, list_dirs
 
 
 def append_available(stream: DataFrame, folder: str, checkpoint: str) -> None:
@@ -18,10 +22,19 @@ def append_available(stream: DataFrame, folder: str, checkpoint: str) -> None:
 
 
 def refresh_available(totals: DataFrame, folder: str, checkpoint: str) -> None:
-    """Keep the running totals of a stream in a Parquet folder, then stop."""
+    """Keep the running totals of a stream in a folder, then stop.
+
+    Each batch is a table of its own, complete once its writer has marked it so, and
+    the one before it stays until the next. :func:`read_totals` reads the newest complete
+    one, at any moment.
+    """
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(folder)
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{batch_id}")
+        for old in _batches(spark, folder):
+            if old < batch_id - 1:
+                drop_batch(spark, f"{folder}/batch-{old}")
 
     query = (
         totals.writeStream.outputMode("complete")
@@ -31,3 +44,17 @@ def refresh_available(totals: DataFrame, folder: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+
+
+def _batches(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete batches."""
+    names = list_dirs(spark, folder, marked="_SUCCESS")
+    return sorted(int(n[6:]) for n in names if re.fullmatch("batch-[0-9]+", n))
+
+
+def read_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest complete totals that :func:`refresh_available` keeps."""
+    found = _batches(spark, folder)
+    if not found:
+        raise FileNotFoundError(f"no complete totals in {folder}")
+    return spark.read.parquet(f"{folder}/batch-{found[-1]}")

@@ -1,12 +1,18 @@
 """A streaming source for files that grow in place.
 
 Spark's own file source takes each file once and never sees bytes appended to it.
-This one keeps, per file, the byte after the last complete line, and yields the
-lines completed since. Rows: ``path, byte_offset, value, head``; ``head`` is the
-start of the file's first line, from which the format is told.
-
-Lines are read by the executors, a range of bytes per task. Paths may be local
-(then every executor must see them) or URIs known to ``pyarrow.fs``.
+This one keeps, per file, its size and the byte after the last complete line, and
+yields the lines completed since. Rows: ``path, byte_offset, value, head``; ``head``
+is the start of the file's first line, from which the format is told.
+
+A file that is smaller than when last looked at was replaced and is read from its
+start. (One replaced by a file of the same size or a larger one can't be told from one
+that grew.) A path that is missing keeps its place while the query runs. At a restart its
+place would be lost and the file read again when it is back, so that is an error,
+unless the option ``missing`` is ``skip``.
+
+Lines are read by the executors, a range of bytes per task. Paths are local (then
+every executor must see them) or URIs; see :func:`open_file` for the schemes.
 """
 
 from __future__ import annotations
@@ -42,16 +48,52 @@ def open_file(path: str):
     """Random-access input of a local path or URI, and its current size."""
     from pyarrow import fs
 
-    if path.startswith("file:"):
-        system, inner = fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
-    elif "://" in path:
-        system, inner = fs.FileSystem.from_uri(path)
+    kind, authority, inner = split_path(path)
+    if kind == "local":
+        system = fs.LocalFileSystem()
+    elif kind == "s3":
+        system, inner = fs.S3FileSystem(), f"{authority}{inner}"
+    elif kind == "gs":
+        system, inner = fs.GcsFileSystem(), f"{authority}{inner}"
     else:
-        system, inner = fs.LocalFileSystem(), path
+        host, _, port = authority.partition(":")
+        system = fs.HadoopFileSystem(host or "default", int(port or 0))
     source = system.open_input_file(inner)
     return source, source.size()
 
 
+# URI schemes and the kind of file system that reads them.
+SCHEMES = {
+    "file": "local",
+    "s3": "s3",
+    "s3a": "s3",
+    "s3n": "s3",
+    "gs": "gs",
+    "hdfs": "hdfs",
+    "viewfs": "hdfs",
+}
+
+
+def split_path(path: str) -> tuple[str, str, str]:
+    """Kind of file system, authority and path of a decoded URI, taken as it stands.
+
+    Nothing is percent-decoded: listings hand out decoded URIs, whose blanks and
+    percent signs are part of the name. A path without scheme is local; ``follow``
+    completes it by the cluster's default file system first.
+    """
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return "local", "", path
+    kind = SCHEMES.get(scheme.lower())
+    if kind is None:
+        known = ", ".join(sorted(SCHEMES))
+        raise ValueError(f"can't follow files by {scheme}: (only {known}): {path}")
+    if kind == "local":
+        return kind, "", "/" + rest.lstrip("/")
+    authority, slash, inner = rest.removeprefix("//").partition("/")
+    return kind, authority, slash + inner
+
+
 def end_of_lines(path: str, seen: tuple | None = None) -> tuple | None:
     """``(size, byte after the last LF)`` of a file, None if there is no file.
 
@@ -76,30 +118,40 @@ def end_of_lines(path: str, seen: tuple | None = None) -> tuple | None:
         return size, floor
 
 
-def cut_ranges(start: dict, end: dict, task_bytes: int = TASK_BYTES) -> list[tuple]:
-    """``(path, lower, upper, stop)`` byte ranges between two offsets.
+def spans(start: dict, end: dict) -> list[tuple]:
+    """``(path, lower, stop)`` of the bytes between two offsets, by path.
 
-    A file that is shorter than before was replaced and is read from its start.
+    Offsets hold ``[size, end of lines]`` of each path. A file whose size is less than it
+    was, whatever its last line end, was replaced and is read from its start.
     """
-    ranges = []
+    found = []
     for path in sorted(end):
-        stop = end[path]
-        lower = start.get(path, 0)
-        if stop < lower:
+        size, stop = end[path]
+        old_size, lower = start.get(path, (0, 0))
+        if size < old_size:
             lower = 0
+        if lower < stop:
+            found.append((path, lower, stop))
+    return found
+
+
+def cut_ranges(start: dict, end: dict, task_bytes: int = TASK_BYTES) -> list[tuple]:
+    """``(path, lower, upper, stop, at a line's start)`` byte ranges between two offsets."""
+    ranges = []
+    for path, first, stop in spans(start, end):
+        lower = first
         while lower < stop:
             upper = min(lower + task_bytes, stop)
             # Where the range does not start a line, its first line belongs to
             # the range before.
-            ranges.append((path, lower, upper, stop, lower == start.get(path, 0)))
+            ranges.append((path, lower, upper, stop, lower == first))
             lower = upper
     return ranges
 
 
 def pack_ranges(start: dict, end: dict, task_bytes: int, tasks: int) -> list[list]:
     """Ranges for each task: large files are cut, small ones share a task."""
-    grown = [(start.get(p, 0), stop) for p, stop in end.items()]
-    total = sum(stop - lower if stop >= lower else stop for lower, stop in grown)
+    total = sum(stop - lower for _, lower, stop in spans(start, end))
     share = min(task_bytes, max(CHUNK, -(-total // tasks)))
     packed, size = [], share
     for one in cut_ranges(start, end, share):
@@ -117,15 +169,19 @@ def lines_in_range(source, lower: int, upper: int, stop: int, at_line: bool):
     position = lower
     if lower > 0 and not at_line:
         position = _after_newline(source, lower - 1, stop)
-    rest = b""
+    rest: list[bytes] = []
     read_to = position
     while position < upper:
         block = source.read_at(min(CHUNK, stop - read_to), read_to)
         if not block:
             return
         read_to += len(block)
-        pieces = (rest + block).split(b"\n")
-        rest = pieces.pop()
+        pieces = block.split(b"\n")
+        if len(pieces) == 1:  # a long line: joined once, when it ends
+            rest.append(block)
+            continue
+        pieces[0] = b"".join([*rest, pieces[0]])
+        rest = [pieces.pop()]
         for piece in pieces:
             if position >= upper:
                 return
@@ -203,9 +259,13 @@ class TailReader(DataSourceStreamReader):
         self.from_end = options.get("startingposition", "start") == "end"
         self.task_bytes = int(options.get("taskbytes", TASK_BYTES))
         self.tasks = int(options.get("tasks", 1))
+        self.skip_missing = options.get("missing", "error") == "skip"
         self.seen = {}
+        # Only a query without checkpoint asks for its initial offset.
+        self.fresh = False
 
     def initialOffset(self):
+        self.fresh = True
         return self.latestOffset() if self.from_end else {}
 
     def latestOffset(self):
@@ -214,9 +274,18 @@ class TailReader(DataSourceStreamReader):
 
         with ThreadPoolExecutor(STAT_THREADS) as pool:
             found = dict(pool.map(look, self.paths))
+        if not self.fresh and not self.skip_missing:
+            lost = [p for p in self.paths if not found[p] and p not in self.seen]
+            if lost:
+                raise FileNotFoundError(
+                    "missing at a restart, and its place would be lost: "
+                    f"{lost[0]} ({len(lost)} in all); put it back, leave it out of the "
+                    "paths, or set the option missing to skip"
+                )
+        self.fresh = True
         # A file that is missing right now keeps its last offset.
         self.seen.update({p: state for p, state in found.items() if state})
-        return {p: end for p, (_, end) in self.seen.items()}
+        return {p: list(state) for p, state in self.seen.items()}
 
     def partitions(self, start, end):
         packed = pack_ranges(start, end, self.task_bytes, self.tasks)
@@ -231,7 +300,8 @@ class TailSource(DataSource):
     """``spark.readStream.format("growing_files")``.
 
     Options: ``paths`` (JSON list), ``startingPosition`` (start or end),
-    ``taskBytes`` (most bytes one task reads), ``tasks`` (tasks wanted per batch).
+    ``taskBytes`` (most bytes one task reads), ``tasks`` (tasks wanted per batch),
+    ``missing`` (at a restart: error or skip).
     """
 
     @classmethod

@@ -53,7 +53,8 @@ def test_view_and_summary(spark, parsed):
         [("a", "JSON", 3, 1_250_000_000), ("b", "JSON", 0, 0)],
         "path string, format string, line_count bigint, file_size bigint",
     )
-    assert by_path(lw.file_summary(files), "size_gb") == {"a": (1.3,), "b": (0.0,)}
+    summary = by_path(lw.file_summary(files), "file_size", "size_gb")
+    assert summary == {"a": (1_250_000_000, 1.3), "b": (0, 0.0)}
 
 
 @pytest.mark.parametrize("block, limit", [(4, lookup.BROADCAST_BYTES), (64, -1)])
@@ -97,4 +98,77 @@ def test_large_side_is_not_broadcast(monkeypatch, lines):
         return df._jdf.queryExecution().logical().toString()
 
     assert "ResolvedHint" in plan(small) or "broadcast" in plan(small).lower()
-    assert "_piece" in plan(large)
+    assert "_block" in plan(large)
+
+
+def test_lines_without_a_first_line_stay(monkeypatch, lines):
+    frame = lines(['{"level":"error"}'] * 3, "a.jsonl").unionAll(lines(["INFO"] * 2, "b.log"))
+    frame = frame.unionAll(lines(["05-28 14:23:05.123 1 2 E T"] * 2, "c.log"))
+    some = frame.filter("line_number > 1 OR path = 'c.log'")
+    for limit in (lookup.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(lookup, "BROADCAST_BYTES", limit)
+        rows = lw.parse_logs(some).collect()
+        assert sorted((r.path, r.line_number, r.format, r.level) for r in rows) == [
+            ("a.jsonl", 2, "JSON", "error"),
+            ("a.jsonl", 3, "JSON", "error"),
+            ("b.log", 2, "Plain text", "info"),
+            ("c.log", 1, "Logcat", "error"),
+            ("c.log", 2, "Logcat", "error"),
+        ]
+
+
+def test_terms(lines):
+    frame = lines(["Timeout a", "timeout retry", "code=503", "CODE=7", None, ""])
+    tree = lw.Has("TIMEOUT") & ~lw.Has("retry") | lw.Matches("code=5[0-9]{2}")
+    found = lw.search_terms(frame, tree).collect()
+    assert sorted(r.line_number for r in found) == [1, 3]
+    found = lw.search_regex(frame, "^code", ignore_case=True).collect()
+    assert sorted(r.line_number for r in found) == [3, 4]
+    assert lw.search_terms(frame, lw.Has("")).count() == 6
+
+
+def test_event_times(spark):
+    from linewright.functions.times import event_time
+
+    cases = [
+        ("2024-02-29T01:02:03.5Z", "2024-02-29 01:02:03.5"),
+        ("2024-02-29T01:02:03+05:30", "2024-02-28 19:32:03"),
+        ("2023-02-29 01:02:03", None),
+        ("2024-01-02 25:00:00", None),
+        ("02-29 01:02:03.250", "2024-02-29 01:02:03.25"),
+        ("Feb  3 01:02:03", "2024-02-03 01:02:03"),
+        ("Feb 3 01:02:03", "2024-02-03 01:02:03"),
+        ("Jan  X5 01:02:03", "2024-01-05 01:02:03"),
+        ("Jan 15 01:02:03", "2024-01-15 01:02:03"),
+        ("01:02:03.004", "2020-05-06 01:02:03.004"),
+        ("2024-01-02", None),
+        ("noon", None),
+        (None, None),
+    ]
+    frame = spark.createDataFrame([(t,) for t, _ in cases], "t string")
+    asked = event_time("t", 2024, "2020-05-06")
+    got = [r[0] for r in frame.selectExpr(f"CAST({asked} AS STRING)").collect()]
+    assert got == [want for _, want in cases]
+    bare = [r[0] for r in frame.selectExpr(f"CAST({event_time('t')} AS STRING)").collect()]
+    assert [g is None for g in bare[:3]] == [False, False, True] and set(bare[4:]) == {None}
+    east = event_time("t", zone="+02:00")
+    moved = spark.sql(f"SELECT CAST({east} AS STRING) FROM VALUES ('2024-01-02 03:00:00') v(t)")
+    assert moved.first()[0] == "2024-01-02 01:00:00"
+
+
+def test_templates_and_patterns(lines):
+    frame = lines(['GET 12 "a b" 0xFf', 'GET 7 "" 0x0', "user 'x' 9", "none"])
+    kinds = {r.template: (r.n, r.line_number) for r in lw.similar_lines(frame).collect()}
+    assert kinds == {'GET # "*" #': (2, 1), "user '*' #": (1, 3), "none": (1, 4)}
+    assert [r.n for r in lw.similar_lines(frame, 1).collect()] == [2]
+    named = lw.parse_pattern(frame, r"(?P<verb>GET) (?:x)?(?P<code>[0-9]+)(?P<rest>z)?")
+    got = {r.line_number: (r.verb, r.code, r.rest) for r in named.collect()}
+    assert got == {
+        1: ("GET", "12", ""),
+        2: ("GET", "7", ""),
+        3: (None, None, None),
+        4: (None, None, None),
+    }
+    for pattern in ("no group", "(?P<value>x)"):
+        with pytest.raises(ValueError):
+            lw.parse_pattern(frame, pattern)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import linewright as lw
 from linewright.plans.ingest import manifest_history
-from linewright.session import drop_dir, fresh_dir, shared_dir
+from linewright.session import claim, drop_dir, fresh_dir, shared_dir
 
 
 def put(folder, name, data: bytes):
@@ -112,6 +112,22 @@ def test_listing(spark, tmp_path):
     ]
 
 
+def test_nested_folders_and_hidden_names(spark, tmp_path):
+    for name in ("y.log", "host=a/x.log", "deep/er/z.log", "_hidden.log", ".dot/w.log"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        put(tmp_path, name, name.encode() + b"\n")
+    seen = ["deep/er/z.log", "host=a/x.log", "y.log"]
+    listed = [r.path for r in lw.list_files(spark, str(tmp_path)).collect()]
+    assert sorted(p.partition(f"{tmp_path}/")[2] for p in listed) == seen
+    scanned = lw.scan_lines(spark, str(tmp_path)).collect()
+    assert sorted(r.value for r in scanned) == seen
+    numbered = lw.read_log_lines(spark, str(tmp_path)).collect()
+    assert sorted(r.value for r in numbered) == seen
+    for read in (lw.scan_lines, lw.read_log_lines, lw.list_files):
+        with pytest.raises(ValueError, match="_hidden"):
+            read(spark, str(tmp_path / "_hidden.log"))
+
+
 def test_export_keeps_order(spark, lines, tmp_path):
     texts = [f"line {i}" for i in range(1, 5001)]
     frame = lines(texts, "b.log").unionAll(lines(texts, "a.log")).repartition(16)
@@ -167,6 +183,25 @@ def test_ingest_follows_its_files(spark, tmp_path):
     assert before == 0 and lw.ingest(spark, str(source), table) == 1
 
 
+def test_ingest_after_crashes(spark, tmp_path):
+    source, table = tmp_path / "logs", str(tmp_path / "table")
+    for i in range(5):
+        put(source, f"f{i}.log", b"INFO %d\n" % i)
+    # Runs that died: after their claim, while writing lines, while writing the manifest.
+    for number, part in ((0, None), (1, "lines"), (2, "manifest")):
+        assert claim(spark, f"{table}/claims/{number}")
+        if part:
+            claim(spark, f"{table}/{part}/ingest_id={number}/_temporary/0/x")
+    assert not claim(spark, f"{table}/claims/0")
+    assert lw.ingest(spark, str(source), table, max_files=2) == 3
+    ids = {r.ingest_id for r in manifest_history(spark, table).collect()}
+    assert ids == {3, 4, 5}
+    assert sorted(r.value for r in lw.read_parsed(spark, table).collect()) == [
+        f"INFO {i}" for i in range(5)
+    ]
+    assert lw.ingest(spark, str(source), table) == 0
+
+
 def test_level_filter_reaches_the_stored_table(spark, tmp_path):
     source, table = tmp_path / "logs", str(tmp_path / "table")
     put(source, "a.log", b"INFO one\nERROR two\n")

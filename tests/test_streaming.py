@@ -38,9 +38,10 @@ def test_ranges_cover_every_line_once(tmp_path, monkeypatch, chunk):
         want.append((at, text))
         at += len(text) + 1
     for task_bytes in (1, 3, 50, 1000, 1 << 30):
-        assert read_all(str(path), {}, {str(path): end}, task_bytes) == want
+        assert read_all(str(path), {}, {str(path): (size, end)}, task_bytes) == want
     middle = want[100][0]
-    got = read_all(str(path), {str(path): middle}, {str(path): end}, 50)
+    start = {str(path): (middle, middle)}
+    got = read_all(str(path), start, {str(path): (size, end)}, 50)
     assert got == want[100:]
 
 
@@ -54,27 +55,28 @@ def test_file_uri_with_odd_characters(tmp_path):
 def test_line_rules(tmp_path):
     path = tmp_path / "a.log"
     path.write_bytes(b"a\r\n\xff\n\n\xc3\xa9\r\r\n")
-    end = {str(path): tail.end_of_lines(str(path))[1]}
+    end = {str(path): tail.end_of_lines(str(path))}
     assert read_all(str(path), {}, end, 100) == [(0, "a"), (3, ""), (5, ""), (6, "é\r")]
 
 
 def test_shorter_file_is_read_from_its_start():
-    assert tail.cut_ranges({"a": 100}, {"a": 30}, 20) == [
-        ("a", 0, 20, 30, False),
-        ("a", 20, 30, 30, False),
-    ]
-    assert tail.cut_ranges({"a": 30}, {"a": 30}, 20) == []
+    replaced = [("a", 0, 20, 30, True), ("a", 20, 30, 30, False)]
+    assert tail.cut_ranges({"a": (100, 100)}, {"a": (30, 30)}, 20) == replaced
+    # Longer than the old line end, but smaller than the old file with its open line.
+    assert tail.cut_ranges({"a": (50, 10)}, {"a": (40, 30)}, 20) == replaced
+    assert tail.cut_ranges({"a": (50, 10)}, {"a": (60, 30)}, 20) == [("a", 10, 30, 30, True)]
+    assert tail.cut_ranges({"a": (30, 30)}, {"a": (30, 30)}, 20) == []
     assert tail.end_of_lines("/no/such/file") is None
 
 
 def test_small_files_share_tasks():
-    end = {f"f{i:03d}": 10 for i in range(500)}
+    end = {f"f{i:03d}": (10, 10) for i in range(500)}
     assert len(tail.pack_ranges({}, end, tail.TASK_BYTES, 8)) == 1
-    big = {"a": 100 * tail.CHUNK, **end}
+    big = {"a": (100 * tail.CHUNK,) * 2, **end}
     packed = tail.pack_ranges({}, big, tail.TASK_BYTES, 8)
     assert 8 <= len(packed) <= 10
     assert sum(u - l for ranges in packed for _, l, u, _, _ in ranges) == sum(
-        big.values()
+        stop for _, stop in big.values()
     )
 
 
@@ -90,7 +92,7 @@ def test_follow_grow_partial_rotate_restart(spark, tmp_path):
         totals = lw.live_level_counts(parsed)
         sinks.refresh_available(totals, str(counts), str(counted))
         rows = spark.read.parquet(str(out)).collect()
-        levels = {r.level: r.n for r in spark.read.parquet(str(counts)).collect()}
+        levels = {r.level: r.n for r in sinks.read_totals(spark, str(counts)).collect()}
         return sorted((r.byte_offset, r.value, r.format, r.level) for r in rows), levels
 
     log.write_bytes(b"Jan 15 14:23:05 host p: error\nJan 15 14:23:06 host p: in")
@@ -120,8 +122,52 @@ def test_start_at_the_end(spark, tmp_path):
     log = tmp_path / "a.log"
     log.write_bytes(b"INFO old\n")
     reader = tail.TailReader({"paths": f'["{log}"]', "startingposition": "end"})
-    assert reader.initialOffset() == {str(log): 9}
-    assert reader.latestOffset() == {str(log): 9}
+    assert reader.initialOffset() == {str(log): [9, 9]}
+    assert reader.latestOffset() == {str(log): [9, 9]}
+
+
+def test_rotation_under_an_open_line(spark, tmp_path):
+    log, out, checkpoint = tmp_path / "a.log", tmp_path / "out", tmp_path / "cp"
+
+    def run():
+        stream = lw.follow(spark, [str(log)], "Plain text")
+        sinks.append_available(stream, str(out), str(checkpoint))
+        rows = spark.read.parquet(str(out)).collect()
+        return sorted((r.byte_offset, r.value) for r in rows)
+
+    log.write_bytes(b"".join(b"old line %02d\n" % i for i in range(10)) + b"x" * 90)
+    old = [(12 * i, f"old line {i:02d}") for i in range(10)]
+    assert run() == old
+    # Smaller than before, though longer than what was read.
+    log.write_bytes(b"".join(b"new line number %02d\n" % i for i in range(8)))
+    new = [(19 * i, f"new line number {i:02d}") for i in range(8)]
+    assert run() == sorted(old + new)
+    log.unlink()
+    with pytest.raises(Exception, match="missing at a restart"):
+        run()
+    log.write_bytes(b"".join(b"new line number %02d\n" % i for i in range(9)))
+    assert run() == sorted(old + new + [(19 * 8, "new line number 08")])
+
+
+def test_missing_paths():
+    reader = tail.TailReader({"paths": '["/no/such/file"]'})
+    assert reader.initialOffset() == {} and reader.latestOffset() == {}
+    restarted = tail.TailReader({"paths": '["/no/such/file"]'})
+    with pytest.raises(FileNotFoundError):
+        restarted.latestOffset()
+    skipping = tail.TailReader({"paths": '["/no/such/file"]', "missing": "skip"})
+    assert skipping.latestOffset() == {}
+
+
+def test_schemes():
+    assert tail.split_path("/a b%20/c.log") == ("local", "", "/a b%20/c.log")
+    assert tail.split_path("file:/a b") == ("local", "", "/a b")
+    assert tail.split_path("s3a://bucket/a b+%.log") == ("s3", "bucket", "/a b+%.log")
+    assert tail.split_path("hdfs://h:8020/x y") == ("hdfs", "h:8020", "/x y")
+    assert tail.split_path("gs://b/x") == ("gs", "b", "/x")
+    for path in ("wasbs://c@a/x", "dbfs:/x"):
+        with pytest.raises(ValueError, match=path.partition(":")[0]):
+            tail.split_path(path)
 
 
 def test_segments(spark, tmp_path):

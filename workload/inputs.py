@@ -131,9 +131,13 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_files(lines: DataFrame, folder: str, share: float = 1.0) -> None:
+def write_files(
+    lines: DataFrame, folder: str, share: float = 1.0, edits: tuple = ()
+) -> None:
     """Write ``<folder>/<file>.txt`` for every ``file``, lines by position.
 
+    ``edits`` are pairs of bytes to look for and to put in their place.
+
     ``share`` below 1 writes that part of the bytes only, as a file looks that is
     still growing. Each file is small and written whole, so a task may run twice.
     """
@@ -145,12 +149,14 @@ def write_files(lines: DataFrame, folder: str, share: float = 1.0) -> None:
         name = pdf["file"].iloc[0]
         texts = pdf.sort_values("position")["value"]
         data = "".join(text + "\n" for text in texts).encode("utf-8")
+        for old, new in edits:
+            data = data.replace(old, new)
         data = data[: int(len(data) * share)]
         if "://" in folder:
             system, inner = fs.FileSystem.from_uri(folder)
         else:
             system, inner = fs.LocalFileSystem(), folder.removeprefix("file:")
-        system.create_dir(inner, recursive=True)
+        system.create_dir(f"{inner}/{name}".rpartition("/")[0], recursive=True)
         with system.open_output_stream(f"{inner}/{name}.txt") as out:
             out.write(data)
         return pd.DataFrame({"file": [name], "size": [len(data)]})

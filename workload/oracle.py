@@ -217,11 +217,15 @@ FORMAT = (
 )
 
 
-def parsed(lines: str, keep: str = "path, line_number, value") -> str:
+def parsed(
+    lines: str, keep: str = "path, line_number, value", formats: str | None = None
+) -> str:
     """Parsed lines as a query; the format of the first line holds for the file."""
+    if formats is None:
+        formats = f"SELECT path, {FORMAT} AS format FROM t WHERE line_number = 1"
     return (
         f"WITH t AS (SELECT *, {TRIM} AS s FROM ({lines})), "
-        f"f AS (SELECT path, {FORMAT} AS format FROM t WHERE line_number = 1), "
+        f"f AS ({formats}), "
         f"j AS (SELECT t.*, f.format, {LEVEL_VALUE} AS jv FROM t JOIN f USING (path)) "
         f"SELECT {keep}, format, CASE format WHEN 'Logcat' THEN {LEVEL_LOGCAT} "
         f"WHEN 'Syslog' THEN {LEVEL_SYSLOG} WHEN 'JSON' THEN {_value_level('jv')} "
@@ -378,11 +382,17 @@ KINDS = (
 )
 _KIND = "template, n, e.path AS path, e.line_number AS line_number, e.value AS value"
 
+_FOLLOWED = "file_id, byte_offset, value, format, level, ts_text"
 _offset, _limit = queries.PAGE
 _key = "path, line_number, "
 
 ORACLE = {
     "scan_lines": f"SELECT {_FILE} AS file_id, value FROM ({_LINES})",
+    "scan_nested": f"SELECT {_FILE} AS file_id, value FROM ({_LINES})",
+    "scan_invalid": (
+        f"SELECT {_FILE} AS file_id, CASE WHEN contains(value, chr(233)) THEN '' "
+        f"ELSE value END AS value FROM ({_LINES})"
+    ),
     "line_numbers": (
         f"SELECT {_FILE} AS file_id, row_number() OVER "
         f"(PARTITION BY {_FILE} ORDER BY doc_id, k) AS line_number, value "
@@ -400,6 +410,10 @@ ORACLE = {
         "SELECT file_id, line_number, value, format, level, ts_text "
         f"FROM ({SEGMENTS})"
     ),
+    "ingest_after_crash": (
+        "SELECT file_id, line_number, value, format, level, ts_text "
+        f"FROM ({SEGMENTS})"
+    ),
     "stale_files": (
         "WITH l AS (SELECT doc_id AS path_id, "
         "n_chars + CASE WHEN doc_id % 7 = 3 THEN 1 ELSE 0 END AS file_size, "
@@ -410,6 +424,7 @@ ORACLE = {
     ),
     "file_summary": (
         "SELECT path, format, count(*) AS line_count, "
+        "sum(octet_length(encode(value)) + 1)::BIGINT AS file_size, "
         "round(sum(octet_length(encode(value)) + 1) / 1e9, 1) AS size_gb "
         f"FROM ({PARSED}) GROUP BY path, format"
     ),
@@ -423,6 +438,16 @@ ORACLE = {
         f"path, {FORMAT} AS format",
     ),
     "parse_logs": f"SELECT {_key}format, level, ts_text FROM ({PARSED})",
+    "parse_without_first_line": (
+        f"SELECT {_key}format, level, ts_text FROM ("
+        + parsed(
+            f"SELECT * FROM ({all_lines()}) WHERE line_number > 1",
+            formats="SELECT DISTINCT path, CASE WHEN regexp_matches(lower(path), "
+            "'[^/][.](json|jsonl|ndjson)$') THEN 'JSON' ELSE 'Plain text' END AS format "
+            "FROM t",
+        )
+        + ")"
+    ),
     "parse_fixed_format": over(
         with_odd("svc.jsonl"),
         f"{_key}'Plain text' AS format, {LEVEL_PLAIN} AS level, {TS_PLAIN} AS ts_text",
@@ -538,6 +563,20 @@ ORACLE = {
         f"SELECT file_id, byte_offset, value FROM ({APP_SEGMENTS}) "
         f"WHERE {found(*queries.SEARCH)}"
     ),
+    "follow_unfinished": (
+        f"WITH s AS ({SEGMENTS}), n AS (SELECT file_id, "
+        f"floor(max(byte_offset + octet_length(encode(value)) + 1) * {queries.UNFINISHED}) "
+        f"AS n FROM s GROUP BY file_id) SELECT {_FOLLOWED} FROM s JOIN n USING (file_id) "
+        "WHERE byte_offset + octet_length(encode(value)) + 1 <= n"
+    ),
+    "follow_rotated": (
+        f"SELECT {_FOLLOWED} FROM ({SEGMENTS}) UNION ALL SELECT {_FOLLOWED} FROM ("
+        + parsed(
+            segment(f"SELECT * FROM ({all_lines()}) WHERE (line_number - 1) % 3 = 0"),
+            "path, line_number, value, file_id, byte_offset",
+        )
+        + ")"
+    ),
     "follow_level_counts": (
         f"SELECT file_id, level, count(*) AS n FROM ({APP_SEGMENTS}) GROUP BY ALL"
     ),

@@ -19,6 +19,7 @@ from linewright.functions import (
     syslog_message,
     syslog_timestamp,
 )
+from linewright import session
 from linewright.streaming import sinks
 
 from . import inputs
@@ -36,6 +37,7 @@ TERM_REGEX = "level\":\"WARN.*sign"
 USER_PATTERN = r"(?P<clock>[0-9]{2}:[0-9]{2}):[0-9.]+ (?P<word>[A-Za-z]+) user=(?P<user>[0-9]+)"
 TOP = 5
 YEAR = 2024
+UNFINISHED = 0.71
 DATE = "2024-02-03"
 RANGE = ("2024-01-05 00:00:00", "2024-01-20 12:30:00")
 
@@ -50,6 +52,25 @@ def scan_lines(spark, sf_dir) -> DataFrame:
     return lines.select(inputs.file_id(F.col("path")).alias("file_id"), "value")
 
 
+def scan_nested(spark, sf_dir) -> DataFrame:
+    """Plain files, ``k=v`` folders and nested folders side by side."""
+    folder = inputs.run_dir(spark, "documents")
+    lines = inputs.document_lines(spark, sf_dir)
+    below = F.expr("element_at(array('', 'day=1/', 'a/b/'), CAST(file AS INT) % 3 + 1)")
+    inputs.write_files(lines.withColumn("file", F.concat(below, "file")), folder)
+    lines = lw.scan_lines(spark, folder)
+    return lines.select(inputs.file_id(F.col("path")).alias("file_id"), "value")
+
+
+def scan_invalid(spark, sf_dir) -> DataFrame:
+    """Lines that end in CR LF; those with an e acute lack its second byte."""
+    folder = inputs.run_dir(spark, "documents")
+    edits = ((b"\n", b"\r\n"), (b"\xc3\xa9", b"\xc3"))
+    inputs.write_files(inputs.document_lines(spark, sf_dir), folder, edits=edits)
+    lines = lw.scan_lines(spark, folder)
+    return lines.select(inputs.file_id(F.col("path")).alias("file_id"), "value")
+
+
 def line_numbers(spark, sf_dir) -> DataFrame:
     folder = inputs.run_dir(spark, "documents")
     inputs.write_files(inputs.document_lines(spark, sf_dir), folder)
@@ -111,6 +132,26 @@ def ingest_refresh(spark, sf_dir) -> DataFrame:
     )
 
 
+def ingest_after_crash(spark, sf_dir) -> DataFrame:
+    """Runs that died while writing lines and while writing the manifest, then a good one."""
+    source = inputs.run_dir(spark, "segments")
+    table = inputs.run_dir(spark, "table")
+    lines = _segments(spark, sf_dir)
+    inputs.write_files(lines, source)
+    for number, part in ((0, "lines"), (1, "manifest")):
+        session.claim(spark, f"{table}/claims/{number}")
+        session.claim(spark, f"{table}/{part}/ingest_id={number}/_temporary/left")
+    lw.ingest(spark, source, table)
+    return lw.read_parsed(spark, table).select(
+        inputs.file_id(F.col("path")).alias("file_id"),
+        "line_number",
+        "value",
+        "format",
+        "level",
+        "ts_text",
+    )
+
+
 def stale_files(spark, sf_dir) -> DataFrame:
     documents = inputs.table(spark, sf_dir, "documents")
     known = documents.filter("doc_id % 5 <> 4").select(
@@ -163,6 +204,14 @@ def parse_logs(spark, sf_dir) -> DataFrame:
     )
 
 
+def parse_without_first_line(spark, sf_dir) -> DataFrame:
+    """No file's first line is there: the name tells the format, else plain text."""
+    lines = inputs.all_lines(spark, sf_dir).filter("line_number > 1")
+    return lw.parse_logs(lines).select(
+        "path", "line_number", "format", "level", "ts_text"
+    )
+
+
 def parse_fixed_format(spark, sf_dir) -> DataFrame:
     lines = inputs.with_odd(spark, sf_dir, "svc.jsonl")
     return lw.parse_logs(lines, "no such format").select(
@@ -467,6 +516,46 @@ def follow_filter(spark, sf_dir) -> DataFrame:
     )
 
 
+def _follow_two(spark, paths, first, second) -> DataFrame:
+    """What a followed stream yields of two states of some files, one after the other."""
+    out, checkpoint = (inputs.run_dir(spark, p) for p in ("out", "checkpoint"))
+    for write in (first, second):
+        write()
+        sinks.append_available(lw.follow(spark, paths()), out, checkpoint)
+    return spark.read.parquet(out).select(
+        inputs.file_id(F.col("path")).alias("file_id"),
+        "byte_offset",
+        "value",
+        "format",
+        "level",
+        "ts_text",
+    )
+
+
+def follow_unfinished(spark, sf_dir) -> DataFrame:
+    """Files of all formats that end within a line: that line isn't there yet."""
+    source = inputs.run_dir(spark, "growing")
+    lines = _segments(spark, sf_dir)
+    return _follow_two(
+        spark,
+        lambda: inputs.file_paths(spark, source),
+        lambda: inputs.write_files(lines, source, share=0.3),
+        lambda: inputs.write_files(lines, source, share=UNFINISHED),
+    )
+
+
+def follow_rotated(spark, sf_dir) -> DataFrame:
+    """Files that are replaced by smaller ones: the lines of both are there."""
+    source = inputs.run_dir(spark, "growing")
+    lines = _segments(spark, sf_dir)
+    return _follow_two(
+        spark,
+        lambda: inputs.file_paths(spark, source),
+        lambda: inputs.write_files(lines, source),
+        lambda: inputs.write_files(lines.filter("position % 3 = 0"), source),
+    )
+
+
 def follow_level_counts(spark, sf_dir) -> DataFrame:
     out, checkpoint = (inputs.run_dir(spark, p) for p in ("out", "checkpoint"))
     _grow_and_follow(
@@ -476,7 +565,7 @@ def follow_level_counts(spark, sf_dir) -> DataFrame:
             lw.live_level_counts(s), out, checkpoint
         ),
     )
-    return spark.read.parquet(out).select(
+    return sinks.read_totals(spark, out).select(
         inputs.file_id(F.col("path")).alias("file_id"), "level", "n"
     )
 
@@ -496,15 +585,19 @@ def stream_segments(spark, sf_dir) -> DataFrame:
 
 QUERIES = {
     "scan_lines": scan_lines,
+    "scan_nested": scan_nested,
+    "scan_invalid": scan_invalid,
     "line_numbers": line_numbers,
     "export_filtered": export_filtered,
     "ingest_manifest": ingest_manifest,
     "ingest_refresh": ingest_refresh,
+    "ingest_after_crash": ingest_after_crash,
     "stale_files": stale_files,
     "file_summary": file_summary,
     "detect_format": detect_format,
     "detect_format_first_lines": detect_format_first_lines,
     "parse_logs": parse_logs,
+    "parse_without_first_line": parse_without_first_line,
     "parse_fixed_format": parse_fixed_format,
     "ts_plain": _timestamps("app.log", plain_timestamp),
     "ts_logcat": _timestamps("device.log", logcat_timestamp),
@@ -549,6 +642,8 @@ QUERIES = {
     "goto_line_clamped": goto_line_clamped,
     "follow_parse": follow_parse,
     "follow_filter": follow_filter,
+    "follow_unfinished": follow_unfinished,
+    "follow_rotated": follow_rotated,
     "follow_level_counts": follow_level_counts,
     "stream_segments": stream_segments,
 }
