@@ -34,9 +34,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Words, join_side, mix, signed, staged, steps
+from .common import KeySet, Words, mix, signed, staged, steps
 
 WINDOW = 50
 ANCHOR = 8
@@ -203,9 +203,8 @@ def _expand(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
                     names=["w1", "w2", "doc_id", "c1", "j"],
                 )
 
-    rows = join_side(
-        _keyed(docs), wanted, ["doc_id"], "inner", "24 + 32 * size(blocks)", "expand"
-    ).select("doc_id", "text", "blocks")
+    texts = KeySet(reps.select("doc_id").distinct(), "doc_id").among(_keyed(docs), "doc_id")
+    rows = texts.join(wanted, "doc_id").select("doc_id", "text", "blocks")
     schema = "w1 bigint, w2 bigint, doc_id bigint, c1 bigint, j smallint"
     return staged(rows.mapInArrow(windows, schema), "windows")
 
@@ -225,7 +224,9 @@ def copied_blocks(
         .filter("least < most")
         .select("h")
     )
-    blocks = staged(join_side(blocks, shared, ["h"], "inner", "16", "anchors"), "shared")
+    shared = staged(shared, "shared-anchors")
+    blocks = KeySet(shared, "h").among(blocks, "h").join(shared, "h")
+    blocks = staged(blocks.select("h", "doc_id", "t", "s", "m", "c1", "c2"), "shared")
     kinds = staged(
         blocks.groupBy("h", "c1", "c2").agg(
             F.min(F.struct("doc_id", "s")).alias("ref"), F.min("m").alias("m")
@@ -233,18 +234,21 @@ def copied_blocks(
         "block-kinds",
     )
     mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    reps = join_side(
-        kinds, mixed.select("h"), ["h"], "left_semi", "16", "mixed-anchors"
-    ).select("ref.doc_id", "ref.s", "m", "c1", "c2")
-    windows = _expand(docs, reps, window)
+    reps = kinds.join(mixed, "h", "left_semi").select(
+        "ref.doc_id", "ref.s", "m", "c1", "c2"
+    )
+    windows = _expand(docs, staged(reps, "boundary-blocks"), window)
     firsts = (
         windows.groupBy("w1", "w2")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .filter("first < last")
         .drop("last")
     )
+    firsts = staged(firsts, "shared-windows")
     marks = (
-        windows.join(firsts, ["w1", "w2"])
+        KeySet(firsts, "w1")
+        .among(windows, "w1")
+        .join(firsts, ["w1", "w2"])
         .filter("doc_id > first")
         .select("doc_id", "c1", "j", F.col("first").alias("ref_doc"))
         .dropDuplicates(["doc_id", "c1", "j"])
@@ -318,11 +322,19 @@ def _kept(words: Words, doc: int, spans: list) -> tuple[bytes, int]:
     return b" ".join(pieces), int(gone.sum())
 
 
-def _with_found(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``docs`` plus ``_rlz_text`` and ``_rlz_found``."""
+def _with_found(
+    docs: DataFrame, window: int, anchor: int
+) -> tuple[KeySet, DataFrame, DataFrame]:
+    """Which documents may have copies; ``docs`` ready to be told so; those with theirs.
+
+    ``_rlz_text`` is the text, ``_rlz_hash`` what the set is asked for, ``_rlz_found`` the
+    copied windows. Only texts that may have copies are shuffled.
+    """
     found = factors(docs, window, anchor).selectExpr(
         "doc_id AS _rlz_doc", "t AS _rlz_t", "found AS _rlz_found"
     )
+    found = staged(found, "factors")
+    some = KeySet(found.select("_rlz_doc").distinct(), "_rlz_doc")
     rows = docs.withColumns(
         {
             "_rlz_doc": F.col("doc_id").cast("bigint"),
@@ -330,14 +342,9 @@ def _with_found(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             "_rlz_t": F.xxhash64(F.coalesce("text", F.lit(""))),
         }
     )
-    return join_side(
-        rows,
-        found,
-        ["_rlz_doc", "_rlz_t"],
-        "left",
-        "40 + 32 * size(_rlz_found)",
-        "factors",
-    )
+    all_rows = rows.withColumn("_rlz_hash", F.xxhash64("_rlz_doc"))
+    told = some.among(rows, "_rlz_doc").join(found, ["_rlz_doc", "_rlz_t"], "left")
+    return some, all_rows, told
 
 
 def digest(
@@ -345,45 +352,57 @@ def digest(
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, factors`` of every document."""
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, found = batch.column("_rlz_text"), batch.column("_rlz_found")
-            for a, b in steps(texts, _STEP):
-                words = Words(texts.slice(a, b - a))
-                removed, digests, lists = [], [], []
-                for i, rows in enumerate(found.slice(a, b - a).to_pylist()):
-                    spans = parse_factors(
-                        [(x["s"], x["m"], x["ref_doc"], x["ref_s"]) for x in rows or ()],
-                        window,
-                    )
-                    kept, n = _kept(words, i, spans)
-                    removed.append(n)
-                    digests.append(hashlib.sha256(kept).hexdigest())
-                    lists.append(
-                        [
-                            dict(start=s, length=n, ref_doc=d, ref_start=r)
-                            for s, n, d, r in spans
-                        ]
-                    )
-                yield pa.RecordBatch.from_arrays(
+    def rows_of(ids: pa.Array, texts: pa.Array, lists: list) -> Iterator[pa.RecordBatch]:
+        for a, b in steps(texts, _STEP):
+            words = Words(texts.slice(a, b - a))
+            removed, digests, parsed = [], [], []
+            for i, rows in enumerate(lists[a:b]):
+                spans = parse_factors(
+                    [(x["s"], x["m"], x["ref_doc"], x["ref_s"]) for x in rows or ()],
+                    window,
+                )
+                kept, n = _kept(words, i, spans)
+                removed.append(n)
+                digests.append(hashlib.sha256(kept).hexdigest())
+                parsed.append(
                     [
-                        batch.column("doc_id").slice(a, b - a),
-                        pa.array(np.diff(words.first).astype(np.int64)),
-                        pa.array(removed, pa.int64()),
-                        pa.array(digests, pa.string()),
-                        pa.array(lists, _FACTOR_TYPE),
-                    ],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "factors"],
+                        dict(start=s, length=n, ref_doc=d, ref_start=r)
+                        for s, n, d, r in spans
+                    ]
                 )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids.slice(a, b - a),
+                    pa.array(np.diff(words.first).astype(np.int64)),
+                    pa.array(removed, pa.int64()),
+                    pa.array(digests, pa.string()),
+                    pa.array(parsed, _FACTOR_TYPE),
+                ],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256", "factors"],
+            )
 
-    rows = _with_found(docs, window, anchor).select(
-        F.col("_rlz_doc").alias("doc_id"), "_rlz_text", "_rlz_found"
-    )
-    return rows.mapInArrow(
-        measure,
+    some, rows, told = _with_found(docs, window, anchor)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            free = pa.array(~some.holds(batch.column("_rlz_hash").to_numpy()))
+            batch = batch.filter(free)
+            yield from rows_of(
+                batch.column("_rlz_doc"), batch.column("_rlz_text"), [None] * len(batch)
+            )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("_rlz_found").to_pylist()
+            yield from rows_of(batch.column("_rlz_doc"), batch.column("_rlz_text"), found)
+
+    schema = (
         "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, "
-        f"factors {_FACTORS}",
+        f"factors {_FACTORS}"
     )
+    free = rows.select("_rlz_doc", "_rlz_text", "_rlz_hash").mapInArrow(whole, schema)
+    told = told.select("_rlz_doc", "_rlz_text", "_rlz_found").mapInArrow(cut, schema)
+    return free.unionByName(told)
 
 
 _FACTOR_TYPE = pa.list_(
@@ -427,15 +446,23 @@ def remove_copies(
                 names=[*names, "_rlz_kept"],
             )
 
-    rows = _with_found(docs, window, anchor).drop("_rlz_doc", "_rlz_t")
-    schema = docs.select(*docs.columns, F.lit("").alias("_rlz_kept")).schema
+    some, rows, told = _with_found(docs, window, anchor)
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            free = pa.array(~some.holds(batch.column("_rlz_hash").to_numpy()))
+            yield batch.drop_columns(["_rlz_hash"]).filter(free)
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_rlz_kept", T.StringType())])
     new = {"text": F.coalesce("_rlz_kept", "text")}
     if "n_chars" in docs.columns:
         length = F.length("_rlz_kept").cast(docs.schema["n_chars"].dataType)
         new["n_chars"] = F.coalesce(length, "n_chars")
-    return (
-        rows.select(*docs.columns, "_rlz_text", "_rlz_found")
+    told = (
+        told.select(*docs.columns, "_rlz_text", "_rlz_found")
         .mapInArrow(rewrite, schema)
         .withColumns(new)
         .select(*docs.columns)
     )
+    free = rows.select(*docs.columns, "_rlz_hash").mapInArrow(untouched, docs.schema)
+    return free.unionByName(told)
