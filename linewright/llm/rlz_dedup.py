@@ -41,7 +41,7 @@ from .common import KeySet, Words, mix, signed, staged, steps
 WINDOW = 50
 ANCHOR = 8
 # Bytes of text parsed at once.
-_STEP = 4 << 20
+_STEP = 1 << 20
 
 
 def _anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
