@@ -22,6 +22,7 @@ from .operators.templates import parse_pattern, similar_lines
 from .operators.terms import Has, Matches, search_regex, search_terms
 from .operators.timeline import frequency, time_range, with_event_time
 from .plans.ingest import ingest, read_manifest, read_parsed, stale_files
+from .session import scratch
 from .sources.listing import list_files
 from .sources.text_lines import number_lines, read_log_lines, scan_lines
 from .streaming.follow import follow, follow_segments, live_level_counts, tail_lines
@@ -56,6 +57,7 @@ __all__ = [
     "read_manifest",
     "read_parsed",
     "scan_lines",
+    "scratch",
     "search_counts",
     "search_logs",
     "search_regex",

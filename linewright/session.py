@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -25,9 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_scopes: list[list[str]] = []
+
+
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
     """A folder name below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/linewright/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/linewright/{purpose}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(folder)
+    return folder
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owns the intermediate tables that are made within: they go at its end.
+
+    Numbered lines, stored sides and staged tables rest on such folders, so what is built
+    within must have been written or collected by then. Scopes nest.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            drop_dir(spark, folder)
 
 
 def _file_system(spark: SparkSession, folder: str):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import linewright as lw
+from linewright import session
 from linewright.plans.ingest import manifest_history
 from linewright.session import claim, drop_dir, fresh_dir, shared_dir
 
@@ -220,3 +221,29 @@ def test_shared_folder(spark):
     drop_dir(spark, folder)
     with pytest.raises(ValueError):
         drop_dir(spark, "/somewhere/else")
+
+
+def test_scratch_leaves_nothing(spark, tmp_path):
+    source, table = tmp_path / "logs", str(tmp_path / "table")
+    for i in range(4):
+        put(source, f"f{i}.log", b"INFO a\nERROR b\n" * 20)
+    shared = shared_dir(spark)
+
+    def folders():
+        path, system = session._file_system(spark, f"{shared}/linewright")
+        return {f.getPath().getName() for f in system.listStatus(path)}
+
+    spark.range(1).write.parquet(fresh_dir(spark, "kept"))
+    before = folders()
+    with lw.scratch(spark):
+        lw.ingest(spark, str(source), table)
+        put(source, "f1.log", b"WARN c\n")
+        lw.ingest(spark, str(source), table)
+        lines = lw.read_parsed(spark, table).select("path", "line_number", "value")
+        parsed = lw.parse_logs(lines)
+        assert lw.match_page(parsed, 0, 5).count() == 16
+        with lw.scratch(spark):
+            assert lw.read_log_lines(spark, str(source)).count() == 121
+        assert lw.next_match(parsed, 3).count() == 4
+        assert folders() > before
+    assert folders() == before
