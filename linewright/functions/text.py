@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import sql
-from .patterns import LEADING_WS, quoted
+from .patterns import LEADING_WS
 
 _BLOCK = 256
 
@@ -41,9 +41,11 @@ def match_spans(value: str, needle: str) -> str:
     """
     if needle == "":
         return "CAST(array() AS array<int>)"
-    low = needle.lower()
-    step = f"char_length(lower({sql.text(needle)}))"
-    pieces = f"split(lower({value}), {sql.text(quoted(low))}, -1)"
+    # Lower-cased by the engine, as the text is; nothing in it then ends the quotation.
+    low = f"lower({sql.text(needle)})"
+    step = f"char_length({low})"
+    pattern = f"concat({sql.text(chr(92) + 'Q')}, {low}, {sql.text(chr(92) + 'E')})"
+    pieces = f"split(lower({value}), {pattern}, -1)"
     # All pieces but the last are followed by a match.
     few = (
         "aggregate(slice(p, 1, size(p) - 1), CAST(array() AS array<int>), (acc, x) -> "

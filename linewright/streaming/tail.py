@@ -218,34 +218,64 @@ def head_of(source, stop: int) -> str:
 
 
 def read_range(path, lower, upper, stop, at_line):
-    """Record batches of the lines that start in one byte range of a file."""
+    """Record batches of the lines that start in one byte range of a file.
+
+    Blocks are cut into lines, stripped and checked as a whole; only a block that holds
+    invalid bytes is looked at line by line.
+    """
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     source, _ = open_file(path)
     with source:
         head = head_of(source, stop)
-        offsets, values = [], []
-
-        def batch():
-            n = len(values)
-            columns = [
-                pa.array([path] * n, pa.string()),
-                pa.array(offsets, pa.int64()),
-                pa.array(values, pa.string()),
-                pa.array([head] * n, pa.string()),
-            ]
-            return pa.RecordBatch.from_arrays(
-                columns, names=["path", "byte_offset", "value", "head"]
-            )
-
-        for offset, line in lines_in_range(source, lower, upper, stop, at_line):
-            offsets.append(offset)
-            values.append(shown(line))
-            if len(values) == BATCH_LINES:
-                yield batch()
-                offsets, values = [], []
-        if values:
-            yield batch()
+        position = lower
+        if lower > 0 and not at_line:
+            position = _after_newline(source, lower - 1, stop)
+        for start, block in _whole_lines(source, position, upper, stop):
+            lines = pc.split_pattern(pa.array([block], pa.large_binary()), b"\n")
+            lines = lines.flatten()
+            lines = lines.slice(0, len(lines) - 1)
+            widths = pc.binary_length(lines).to_numpy() + 1
+            offsets = start + np.cumsum(widths) - widths
+            n = int(np.searchsorted(offsets, upper))
+            try:
+                values = lines.slice(0, n).cast(pa.large_string())
+                values = pc.replace_substring_regex(values, r"\r\z", "").cast(pa.string())
+            except pa.ArrowInvalid:
+                texts = [shown(line) for line in lines.slice(0, n).to_pylist()]
+                values = pa.array(texts, pa.string())
+            for at in range(0, n, BATCH_LINES):
+                some = values.slice(at, BATCH_LINES)
+                columns = [
+                    pa.repeat(path, len(some)),
+                    pa.array(offsets[at : at + len(some)], pa.int64()),
+                    some,
+                    pa.repeat(head, len(some)),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    columns, names=["path", "byte_offset", "value", "head"]
+                )
+
+
+def _whole_lines(source, position: int, upper: int, stop: int):
+    """``(byte offset, bytes)`` of runs of whole lines, until one starts past the range."""
+    rest: list[bytes] = []
+    read_to = position
+    while position < upper:
+        block = source.read_at(min(CHUNK, stop - read_to), read_to)
+        if not block:
+            return
+        read_to += len(block)
+        cut = block.rfind(b"\n") + 1
+        if not cut:  # a long line: joined once, when it ends
+            rest.append(block)
+            continue
+        whole = b"".join([*rest, block[:cut]])
+        rest = [block[cut:]]
+        yield position, whole
+        position += len(whole)
 
 
 class ByteRanges(InputPartition):

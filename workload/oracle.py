@@ -580,6 +580,11 @@ ORACLE = {
     "follow_level_counts": (
         f"SELECT file_id, level, count(*) AS n FROM ({APP_SEGMENTS}) GROUP BY ALL"
     ),
+    "follow_errors_over_time": (
+        "SELECT file_id, micros // 3600000000 * 3600 AS window_start, level, count(*) AS n "
+        f"FROM (SELECT file_id, level, {micros('ts_text', queries.YEAR, None)} AS micros "
+        f"FROM ({APP_SEGMENTS})) WHERE micros IS NOT NULL GROUP BY ALL"
+    ),
     "stream_segments": (
         f"{with_trim(file_lines('app.log') + ' UNION ALL ' + file_lines('svc.jsonl'))} "
         f"SELECT {_SEGMENT} AS file_id, value, {LEVEL_PLAIN} AS level, "

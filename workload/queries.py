@@ -570,6 +570,22 @@ def follow_level_counts(spark, sf_dir) -> DataFrame:
     )
 
 
+def follow_errors_over_time(spark, sf_dir) -> DataFrame:
+    out, checkpoint = (inputs.run_dir(spark, p) for p in ("out", "checkpoint"))
+
+    def run(stream: DataFrame) -> None:
+        counted = lw.frequency(lw.with_event_time(stream), "1 hour", late="1 day")
+        sinks.refresh_available(counted, out, checkpoint)
+
+    _grow_and_follow(spark, sf_dir, run)
+    return sinks.read_totals(spark, out).select(
+        inputs.file_id(F.col("path")).alias("file_id"),
+        F.unix_seconds("window_start").alias("window_start"),
+        "level",
+        "n",
+    )
+
+
 def stream_segments(spark, sf_dir) -> DataFrame:
     source, out, checkpoint = (
         inputs.run_dir(spark, p) for p in ("segments", "out", "checkpoint")
@@ -645,5 +661,6 @@ QUERIES = {
     "follow_unfinished": follow_unfinished,
     "follow_rotated": follow_rotated,
     "follow_level_counts": follow_level_counts,
+    "follow_errors_over_time": follow_errors_over_time,
     "stream_segments": stream_segments,
 }
