@@ -12,6 +12,25 @@ def _shingles(table: str, key: str) -> str:
           WHERE len(w) > 0)"""
 
 
+# What the chat template breaks up inside texts: each takes one more character.
+_MARKS = [
+    first + rest
+    for first in "<["
+    for rest in ("s>", "/s>", "inst]", "inst:", "/inst]", "/inst:", "sys>", "/sys>",
+                 "<sys>", "</sys>")
+]
+
+
+def _escaped_chars(column: str) -> str:
+    marks = " + ".join(
+        f"(length({column}) - length(replace(lower({column}), '{m}', ''))) // {len(m)}"
+        for m in _MARKS
+    )
+    return f"(length(replace({column}, chr(92), chr(92) || chr(92))) + {marks})"
+
+
+_ORDER = "ORDER BY turn NULLS FIRST, role, text"
+
 ORACLE = {
     "op1_rlz_dedup": r"""
 WITH words AS (
@@ -62,4 +81,21 @@ ranked AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
     FROM pairs)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op9_prefix_chat": f"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+    SELECT *, {_escaped_chars("text")} + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15
+        WHEN 'assistant' THEN 6 ELSE 16 + {_escaped_chars("role")} END AS chars
+    FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (role = 'assistant'), ''))
+        AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id""",
 }
