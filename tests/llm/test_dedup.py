@@ -170,7 +170,6 @@ def test_links_in_crowded_buckets(spark, bucket):
     signed = simhash.signed(np.array(prints, dtype=np.uint64)).tolist()
     nodes = spark.createDataFrame(list(zip(signed, range(len(signed)))), "fp bigint, node bigint")
     links = simhash.close_links(nodes, bucket=bucket).collect()
-    assert all((named[r.a] ^ named[r.b]).bit_count() <= 3 for r in links) or links
     root = {i: i for i in named}
 
     def find(x):
