@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,45 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# What a worker keeps from task to task, while they are of one kind.
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """The worker's object of this key, made by its first task of this kind."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def drop_kept() -> None:
+    _kept.clear()
+
+
+def frugal(work: Callable, keeps: bool = False) -> Callable:
+    """A task's work that gives its memory back when it is done.
+
+    Python workers outlive their tasks; what the allocators keep for later would count
+    against the executor all the while. Only work that ``keeps`` leaves what :func:`kept`
+    made for the next task, and the next one of another kind drops that first.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        if not keeps:
+            drop_kept()
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``offsets, bytes`` of a string array; nulls count as empty texts."""
     if isinstance(texts, pa.ChunkedArray):
@@ -208,4 +249,4 @@ class KeySet:
                     yield batch.drop_columns(["_key_hash"]).filter(pa.array(held))
 
         hashed = rows.withColumn("_key_hash", F.expr(f"xxhash64(CAST({key} AS BIGINT))"))
-        return hashed.mapInArrow(keep, rows.schema)
+        return hashed.mapInArrow(frugal(keep), rows.schema)

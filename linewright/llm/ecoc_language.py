@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import steps, text_buffers
+from .common import frugal, steps, text_buffers
 
 UNKNOWN = "und"
 # Bound on the labelled rows the classifiers are fitted on, over all languages.
@@ -180,7 +180,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                     names=["lang", "x"],
                 )
 
-    got = sample.mapInArrow(measure, "lang string, x binary").toArrow()
+    got = sample.mapInArrow(frugal(measure), "lang string, x binary").toArrow()
     raw = b"".join(v.as_py() for v in got["x"])
     x = np.frombuffer(raw, dtype=np.float16).reshape(-1, FEATURES).astype(np.float32)
     place_of = {name: i for i, name in enumerate(languages)}
@@ -240,7 +240,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         F.lit(0.0).alias("score"),
         F.lit(True).alias("ambiguous"),
     ).schema
-    return rows.mapInArrow(decode, schema)
+    return rows.mapInArrow(frugal(decode), schema)
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import steps
+from .common import frugal, steps
 from .license_texts import TEMPLATES
 
 COVERAGE = 0.8
@@ -194,7 +194,7 @@ def scan(
         F.coalesce("text", F.lit("")).alias("text"),
     )
     return rows.mapInArrow(
-        search,
+        frugal(search),
         "doc_id bigint, license string, start bigint, end bigint, n_matched bigint, "
         "coverage double",
     )

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import partitions
+from .common import frugal, partitions
 
 # The turns each conversation is made of, in SQL: opening and closing of a role.
 TEMPLATE = {
@@ -227,7 +227,7 @@ def digest(turns: DataFrame, examples: DataFrame) -> DataFrame:
             yield flush()
 
     return rows.mapInArrow(
-        sums,
+        frugal(sums),
         "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, "
         "loss_sha256 string, formatted_chars bigint",
     )

@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_dir
-from . import ball_tree, contain_minhash, ecoc_language, harmonic_pack, kd_shards, patience, prefix_chat, rlz_dedup, simhash, sql, token_files
+from . import (
+    ball_tree,
+    contain_minhash,
+    ecoc_language,
+    harmonic_pack,
+    kd_shards,
+    patience,
+    prefix_chat,
+    rlz_dedup,
+    simhash,
+    sql,
+    token_files,
+)
 from .common import staged, table
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import KeySet, Words, mix, signed, staged, steps
+from .common import KeySet, Words, frugal, mix, signed, staged, steps
 
 WINDOW = 50
 ANCHOR = 8
@@ -157,7 +157,7 @@ def index_blocks(
                 )
 
     rows = _keyed(docs.filter("doc_id IS NOT NULL"))
-    return staged(rows.mapInArrow(cut, _BLOCK), "blocks")
+    return staged(rows.mapInArrow(frugal(cut), _BLOCK), "blocks")
 
 
 def _expand(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _expand(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
     texts = KeySet(reps.select("doc_id").distinct(), "doc_id").among(_keyed(docs), "doc_id")
     rows = texts.join(wanted, "doc_id").select("doc_id", "text", "blocks")
     schema = "w1 bigint, w2 bigint, doc_id bigint, c1 bigint, j smallint"
-    return staged(rows.mapInArrow(windows, schema), "windows")
+    return staged(rows.mapInArrow(frugal(windows), schema), "windows")
 
 
 def copied_blocks(
@@ -400,8 +400,8 @@ def digest(
         "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, "
         f"factors {_FACTORS}"
     )
-    free = rows.select("_rlz_doc", "_rlz_text", "_rlz_hash").mapInArrow(whole, schema)
-    told = told.select("_rlz_doc", "_rlz_text", "_rlz_found").mapInArrow(cut, schema)
+    free = rows.select("_rlz_doc", "_rlz_text", "_rlz_hash").mapInArrow(frugal(whole), schema)
+    told = told.select("_rlz_doc", "_rlz_text", "_rlz_found").mapInArrow(frugal(cut), schema)
     return free.unionByName(told)
 
 
@@ -460,9 +460,9 @@ def remove_copies(
         new["n_chars"] = F.coalesce(length, "n_chars")
     told = (
         told.select(*docs.columns, "_rlz_text", "_rlz_found")
-        .mapInArrow(rewrite, schema)
+        .mapInArrow(frugal(rewrite), schema)
         .withColumns(new)
         .select(*docs.columns)
     )
-    free = rows.select(*docs.columns, "_rlz_hash").mapInArrow(untouched, docs.schema)
+    free = rows.select(*docs.columns, "_rlz_hash").mapInArrow(frugal(untouched), docs.schema)
     return free.unionByName(told)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.lookup import BROADCAST_BYTES, store_measured
-from .common import Words, partitions, signed, staged, steps
+from .common import Words, frugal, partitions, signed, staged, steps
 from .components import components
 
 SEED = 42
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     rows = docs.filter("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "text"
     )
-    return rows.mapInArrow(compute, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(frugal(compute), "doc_id bigint, fp bigint")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -271,7 +271,7 @@ def close_links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
         if held is not None and held.num_rows:
             yield links(held, _groups(held))
 
-    return dealt.mapInArrow(compare, "a bigint, b bigint")
+    return dealt.mapInArrow(frugal(compare), "a bigint, b bigint")
 
 
 def _groups(rows: pa.Table) -> np.ndarray:
