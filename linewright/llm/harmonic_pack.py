@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.lookup import attach
-from .common import staged, steps
-from .tokens import END_ID, TOKENIZER, BatchEncoder
+from .common import frugal, staged, steps
+from .tokens import END_ID, TOKENIZER, encoder
 
 CAPACITY = 4096
 # Share of a sequence that a class may leave empty before a rest is cut again.
@@ -76,12 +76,12 @@ def cut_documents(
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BatchEncoder(tokenizer, tokenizer_dir)
+        words = encoder(tokenizer, tokenizer_dir)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             for a, b in steps(batch.column("text")):
-                offsets, ids = encoder.encode_ended(
+                offsets, ids = words.encode_ended(
                     batch.column("text").slice(a, b - a), end_id
                 )
                 plain = np.ascontiguousarray(ids, dtype="<u4")
@@ -122,7 +122,7 @@ def cut_documents(
         F.coalesce("text", F.lit("")).alias("text"),
     )
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    return staged(texts.mapInArrow(pieces, schema), "pieces")
+    return staged(texts.mapInArrow(frugal(pieces, keeps=True), schema), "pieces")
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import partitions, steps
-from .tokens import END_ID, TOKENIZER, BatchEncoder
+from .common import frugal, partitions, steps
+from .tokens import END_ID, TOKENIZER, encoder
 
 SCHEMA = "doc_id bigint, part int, local_start bigint, n_tokens int, ids array<int>"
 LAYOUT = {
@@ -55,12 +55,12 @@ def write_token_files(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BatchEncoder(tokenizer, tokenizer_dir)
+        words = encoder(tokenizer, tokenizer_dir)
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column("text")
             for a, b in steps(texts):
-                offsets, ids = encoder.encode_ended(texts.slice(a, b - a), end_id)
+                offsets, ids = words.encode_ended(texts.slice(a, b - a), end_id)
                 rows = b - a
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -86,7 +86,7 @@ def write_token_files(
         .repartitionByRange(n, "doc_id", "_tie")
         .sortWithinPartitions("doc_id", "_tie")
     )
-    encoded = ordered.mapInArrow(encode, SCHEMA)
+    encoded = ordered.mapInArrow(frugal(encode, keeps=True), SCHEMA)
     encoded.write.options(**LAYOUT).parquet(folder)
 
 
@@ -127,7 +127,7 @@ def id_checksums(files: DataFrame) -> DataFrame:
             )
 
     rows = files.select("doc_id", "part", "local_start", "ids").mapInArrow(
-        sums,
+        frugal(sums),
         "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids_crc32 bigint",
     )
     return rows.join(F.broadcast(read_starts(files)), "part").select(

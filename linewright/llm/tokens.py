@@ -9,20 +9,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 # A worker forgets its words beyond this number, to bound its memory.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 # A word that the vocabulary holds as one token; it parts the words of one call.
 _MARK = "\x01"
-_JOINED = 500
+_JOINED = 2000
 
 
 class BatchEncoder:
     """Encodes as the tokenizers library does, ``add_special_tokens=False``.
 
     The tokenizer looks at nothing across white space, so each distinct word is
-    encoded once per worker by the library and looked up afterwards. Texts that
+    encoded once per worker by the library and looked up afterwards (:func:`encoder`
+    keeps one from task to task). Texts that
     hold the opening of a special token's string go to the library whole.
     """
 
@@ -52,10 +55,9 @@ class BatchEncoder:
         if self.mark is None:
             return self._encode(words)
         result: list[list[int]] = []
-        groups = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
-        for group, ids in zip(
-            groups, self._encode([f" {_MARK} ".join(g) for g in groups]), strict=True
-        ):
+        for i in range(0, len(words), _JOINED):
+            group = words[i : i + _JOINED]
+            ids = self._encode([f" {_MARK} ".join(group)])[0]
             ids = np.array(ids, dtype=np.int32)
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(group) - 1:  # a word holds the mark itself
@@ -127,9 +129,10 @@ class BatchEncoder:
         length = sizes[place]
         ends = np.zeros(len(place) + 1, dtype=np.int64)
         np.cumsum(length, out=ends[1:])
-        ids = np.repeat(starts[place] - ends[:-1], length)
-        ids += np.arange(len(ids))
-        ids = values[ids].astype(np.int32, copy=True)
+        # Places in a step's ids and in the remembered values both fit 32 bits.
+        ids = np.repeat((starts[place] - ends[:-1]).astype(np.int32), length)
+        ids += np.arange(len(ids), dtype=np.int32)
+        ids = values[ids]
         # The views above keep the arrays from growing.
         del starts, sizes, values
         return ends[cuts], ids
@@ -147,4 +150,9 @@ class BatchEncoder:
         return moved, ended
 
 
+def encoder(name: str = TOKENIZER, folder: str | None = None) -> BatchEncoder:
+    """The worker's encoder, with the words its earlier tasks have met."""
+    return kept(("tokens", name, folder), lambda: BatchEncoder(name, folder))
+
+
 _NONE = np.zeros(0, dtype=np.int64)
