@@ -61,15 +61,20 @@ def frugal(work: Callable, keeps: bool = False) -> Callable:
         try:
             yield from work(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return what the allocators hold for later to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``offsets, bytes`` of a string array; nulls count as empty texts."""
     if isinstance(texts, pa.ChunkedArray):

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import frugal, steps, text_buffers
+from .common import frugal, give_back, steps, text_buffers
 
 UNKNOWN = "und"
 # Bound on the labelled rows the classifiers are fitted on, over all languages.
@@ -181,13 +181,18 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                 )
 
     got = sample.mapInArrow(frugal(measure), "lang string, x binary").toArrow()
-    raw = b"".join(v.as_py() for v in got["x"])
-    x = np.frombuffer(raw, dtype=np.float16).reshape(-1, FEATURES).astype(np.float32)
     place_of = {name: i for i, name in enumerate(languages)}
     labels = np.array([place_of[v] for v in got["lang"].to_pylist()], dtype=np.int64)
+    x = np.frombuffer(b"".join(v.as_py() for v in got["x"]), dtype=np.float16)
+    x = x.reshape(-1, FEATURES)
+    del got
     # The order rows arrive in must not matter.
-    order = np.lexsort((x[:, 1], x[:, 0], x.sum(axis=1), labels))
-    return fit(x[order], labels[order], languages)
+    order = np.lexsort((x[:, 1], x[:, 0], x.sum(axis=1, dtype=np.float32), labels))
+    x = x[order].astype(np.float32)
+    model = fit(x, labels[order], languages)
+    del x
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
