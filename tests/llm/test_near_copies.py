@@ -1,0 +1,73 @@
+import random
+import re
+
+from linewright.llm import simhash
+
+from .conftest import prose
+from .test_dedup import WORD
+
+
+def shingle_set(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return frozenset()
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def brute_similar(rows):
+    """doc id -> least id it hangs together with, over all pairs at 0.8 or more."""
+    sets = {d: shingle_set(t) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            a, b = sets[i], sets[j]
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in ids}
+
+
+def near_copies():
+    """Texts with a few words changed, among them chains and pairs just below 0.8."""
+    r, rows = random.Random(11), []
+    for i in range(30):
+        base = prose(2000 + i, 60 + 20 * (i % 10)).split()
+        rows.append((i, " ".join(base)))
+        for j in range(4):
+            words = list(base)
+            for at in r.sample(range(len(words)), 1 + len(words) * j // 100):
+                words[at] = f"changed{r.randrange(1000)}"
+            rows.append((100 + 4 * i + j, " ".join(words).upper()))
+    return rows
+
+
+def test_keep_first_finds_pairs_at_four_fifths(docs):
+    rows = near_copies()
+    roots = brute_similar(rows)
+    kept = {r.doc_id for r in simhash.keep_first(docs(rows)).collect()}
+    assert kept == {d for d in roots if roots[d] == d}
+    # Some of them differ in more bits than op8's digest allows.
+    narrow = {r.doc_id: r for r in simhash.near_duplicates(docs(rows)).collect()}
+    assert any(roots[d] != d and narrow[d].component_id == d for d in roots)
+
+
+def test_large_groups_hang_together(docs):
+    # Two cores that are too far apart, with copies of either in between.
+    base = prose(77, 120).split()
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for j in range(i % 9):
+            words[j * 13] = f"w{j}"
+        words[-1 - i % 20] = f"tail{i}"
+        rows.append((1000 - i, " ".join(words)))
+    roots = brute_similar(rows)
+    kept = {r.doc_id for r in simhash.keep_first(docs(rows)).collect()}
+    assert kept == {d for d in roots if roots[d] == d}
