@@ -1,6 +1,9 @@
 """Public licence notices looked for by default.
 
 Fixed values: the notices' words as their authors publish them.
+
+``MARKS`` are the words that name a licence and its version, or that only it has: each
+must stand in a text without a gap, or the text has another licence.
 """
 
 TEMPLATES = {
@@ -43,3 +46,14 @@ Permission to use, copy, modify, and/or distribute this software for any purpose
 without fee is hereby granted, provided that the above copyright notice and this permission
 notice appear in all copies.""",
 }
+
+MARKS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0 (short)": ("apache", "2 0"),
+    "Apache-2.0": ("apache", "2 0"),
+    "MIT (short)": ("mit license",),
+    "MIT": ("this permission notice shall be included",),
+    "GPL-3.0 (short)": ("gnu general public license", "version 3"),
+    "GPL-3.0": ("gnu general public license", "version 3"),
+    "CC-BY-NC-4.0 (short)": ("cc by nc 4 0",),
+    "ISC": ("permission notice appear in all",),
+}

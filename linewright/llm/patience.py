@@ -13,6 +13,11 @@ on behind what was found, so a notice given several times is found each time. Be
 that, texts without any of a few words of each notice, as many as a notice may miss
 and one more, are passed over: they can't reach the coverage either.
 
+Which licence. A notice's marks, the words that name it and its version, must be aligned
+without a gap; a text that misses one, or has a word in between, has another licence. Of
+two licences' notices where the words of one are nearly all words of the other as
+well (nine in ten, with its marks), only the one with more words is found.
+
 Words are runs of letters and digits in lower case. Every text is read whole, in one
 pass without a shuffle. Defined cases: null and empty texts and templates find nothing;
 a null ``doc_id`` is kept; repeated rows are each scanned; stretches of one notice don't
@@ -31,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import frugal, steps
-from .license_texts import TEMPLATES
+from .license_texts import MARKS, TEMPLATES
 
 COVERAGE = 0.8
 _WORD = re.compile(r"[^\W_]+")
@@ -98,8 +103,11 @@ def align(text: list[str], notice: list[str]) -> list[tuple[int, int]]:
 class Notice:
     """A template with what the search for it needs."""
 
-    def __init__(self, name: str, text: str, coverage: float = COVERAGE):
+    def __init__(
+        self, name: str, text: str, coverage: float = COVERAGE, marks: tuple[str, ...] = ()
+    ):
         self.name = name
+        self.licence = name.split(" (")[0]
         self.words = words_of(text)
         self.counts = Counter(self.words)
         self.needed = max(1, -int(-len(self.words) * coverage // 1))
@@ -107,9 +115,33 @@ class Notice:
         # A text that covers enough has one of any so many words; long ones are rare.
         rare = sorted(self.words, key=lambda w: (-len(w), w))
         self.signs = set(rare[: len(self.words) - self.needed + 1])
+        self.marks = [words_of(m) for m in marks]
+        self.must = {w for m in self.marks for w in m}
+        # A mark's longest word must be there too, and alone tells more than a few signs.
+        named = max(self.must, key=lambda w: (len(w), w), default="")
+        if len(named) >= 4:
+            self.signs = {named}
+
+    def marked(self, matched: list[tuple[int, int]]) -> list[int] | None:
+        """Places in the text of the notice's marks, if all are aligned without a gap."""
+        places, of = [], {j: i for i, j in matched}
+        for mark in self.marks:
+            size = len(mark)
+            for at in range(len(self.words) - size + 1):
+                if self.words[at : at + size] == mark and at in of:
+                    own = list(range(of[at], of[at] + size))
+                    if [of.get(at + x) for x in range(size)] == own:
+                        places += own
+                        break
+            else:
+                return None
+        return places
 
-    def find(self, text: list[str]) -> list[tuple[int, int, int]]:
-        """``(start, end, matched)`` of each stretch of the text that covers enough."""
+    def find(self, text: list[str]) -> list[tuple[int, int, int, set, list]]:
+        """``(start, end, matched, places, marks)`` of each stretch that covers enough.
+
+        ``places`` are those of the matched words in the text, ``marks`` those of the marks.
+        """
         places = [i for i, w in enumerate(text) if w in self.counts]
         result, first = [], 0
         while len(places) - first >= self.needed:
@@ -119,9 +151,12 @@ class Notice:
             at, end = found
             start = places[at]
             matched = align(text[start : start + self.width], self.words)
-            if len(matched) >= self.needed:
+            marks = self.marked(matched) if len(matched) >= self.needed else None
+            if marks is not None:
                 head, last = start + matched[0][0], start + matched[-1][0] + 1
-                result.append((head, last, len(matched)))
+                places_of = {start + i for i, _ in matched}
+                own = [start + i for i in marks]
+                result.append((head, last, len(matched), places_of, own))
                 first = bisect_left(places, last)
             else:
                 first = at + 1
@@ -147,17 +182,39 @@ class Notice:
         return best[:2] if best else None
 
 
+def own_finds(found: list[tuple]) -> list[tuple]:
+    """Of ``(notice, start, end, matched, places, marks)``, those no other licence explains."""
+    left = []
+    for x in found:
+        n, start, end, matched, places, marks = x
+        if not any(
+            y[0].licence != n.licence
+            and (y[3], y[3] / len(y[0].words)) > (matched, matched / len(n.words))
+            and y[1] < end
+            and start < y[2]
+            and len(places & y[4]) * 10 >= len(places) * 9
+            and y[4].issuperset(marks)
+            for y in found
+        ):
+            left.append(x)
+    return left
+
+
 def scan(
     docs: DataFrame,
     templates: dict[str, str] | None = None,
     coverage: float = COVERAGE,
+    marks: dict[str, tuple[str, ...]] | None = None,
 ) -> DataFrame:
     """``doc_id, license, start, end, n_matched, coverage`` of each notice in each text.
 
-    ``start`` and ``end`` count the text's words.
+    ``start`` and ``end`` count the text's words. ``marks`` are phrases of the templates that
+    must be found whole, by name; without any given, templates by default names have theirs.
     """
     templates = TEMPLATES if templates is None else templates
-    notices = [Notice(name, text, coverage) for name, text in templates.items()]
+    if marks is None:
+        marks = {n: MARKS.get(n, ()) for n, t in templates.items() if TEMPLATES.get(n) == t}
+    notices = [Notice(n, t, coverage, marks.get(n, ())) for n, t in templates.items()]
     notices = [n for n in notices if n.words]
     signs = sorted({w for n in notices for w in n.signs})
     pattern = "|".join(re.escape(w) for w in signs) or r"[^\s\S]"
@@ -171,9 +228,11 @@ def scan(
                 for i in pc.indices_nonzero(likely).to_pylist():
                     words = words_of(texts[i].as_py())
                     there = set(words)
+                    found = []
                     for n in notices:
-                        if n.signs & there:
-                            rows += [(a + i, n, *x) for x in n.find(words)]
+                        if n.signs & there and n.must <= there:
+                            found += [(n, *x) for x in n.find(words)]
+                    rows += [(a + i, *x[:4]) for x in own_finds(found)]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column("doc_id").take(
