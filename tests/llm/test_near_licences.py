@@ -1,7 +1,7 @@
 import pytest
 
 from linewright.llm.license_texts import MARKS, TEMPLATES
-from linewright.llm.patience import Notice, own_finds, words_of
+from linewright.llm.patience import Notice, own_finds, scan, words_of
 
 from .conftest import prose
 
@@ -20,15 +20,36 @@ def test_every_notice_gives_its_licence_only(name):
 
 
 @pytest.mark.parametrize(
-    "line",
+    "line, want",
     [
-        "Released under the BSD License.",
-        "Licensed under CC BY 4.0.",
-        "Licensed under CC BY-SA 4.0.",
-        "Licensed under CC BY-NC 2.5.",
-        "Licensed under the Apache License, Version 1.1.",
-        "This work is licensed under the GNU General Public License, version 2.",
+        ("Released under the BSD License.", {"BSD"}),
+        ("Released under the Zlib License.", set()),
+        ("Licensed under CC BY 4.0.", {"CC-BY-4.0"}),
+        ("Licensed under CC BY-SA 4.0.", {"CC-BY-SA-4.0"}),
+        ("Licensed under CC BY-NC-SA 4.0.", {"CC-BY-NC-SA-4.0"}),
+        ("Licensed under CC BY-NC 2.5.", set()),
+        ("Licensed under the Apache License, Version 1.1.", set()),
+        ("Licensed under the Eclipse License, Version 2.0.", set()),
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", {"LGPL-3.0"}),
+        ("This work is licensed under the GNU General Public License, version 1.", set()),
+        ("Licensed under the Apache License, Version 2.0. Released under the MIT License.",
+         {"Apache-2.0", "MIT"}),
     ],
 )
-def test_lines_of_other_licences(line):
-    assert licences(line) == set()
+def test_lines_of_other_licences(line, want):
+    assert licences(line) == want
+
+
+def test_gnu_headers_by_version():
+    text = TEMPLATES["GPL-3.0"]
+    assert licences(text.replace("version 3", "version 1")) == set()
+    assert licences(text.replace("GNU General", "GNU Library General")) == set()
+
+
+def test_scan_names_the_right_licence(docs):
+    lines = ["Licensed under CC BY-SA 4.0.", TEMPLATES["BSD-3-Clause"]]
+    found = scan(docs(list(enumerate(lines)))).collect()
+    assert {(r.doc_id, r.license) for r in found} == {
+        (0, "CC-BY-SA-4.0 (short)"), (1, "BSD-3-Clause"),
+    }
