@@ -83,8 +83,10 @@ class BatchEncoder:
         ended: list[tuple[str, str]] = []
         for word in words:
             if word not in index:
-                # A letter and a mark after it are always apart in this tokenizer.
-                if word[-1:] in (".", ",") and word[-2:-1].isalpha():
+                # An ASCII letter and a mark after it are always apart in this tokenizer
+                # (others may end in a combining character once in lower case).
+                before = word[-2:-1]
+                if word[-1:] in (".", ",") and before.isascii() and before.isalpha():
                     ended.append((word, word[:-1]))
                     word = word[:-1]
                     if word in index:
@@ -115,8 +117,10 @@ class BatchEncoder:
             np.cumsum([len(x) for x in whole], out=offsets[1:])
             ids = np.fromiter((i for x in whole for i in x), np.int32, offsets[-1])
             return offsets, ids
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(texts)
         words, cuts = lists.flatten(), lists.offsets.to_numpy()
+        # The library composes characters before it lower-cases them.
+        words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
         cuts = cuts - cuts[0]
         coded = words.dictionary_encode()
         if len(self.index) > CACHE_WORDS:
