@@ -356,7 +356,7 @@ def _band_keys(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, n, fp, bands``: each row's set by name, size, fingerprint and band keys."""
+    """``doc_id, text_hash, node, n, fp, bands``: each row's set by name, size, fingerprint and band keys."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,17 +367,19 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
+                        batch.column("text_hash").slice(a, b - a),
                         pa.array(signed(_set_names(hashes, n))),
                         pa.array(n.astype(np.int64)),
                         pa.array(signed(_majority(hashes, n))),
                         pa.ListArray.from_arrays(cuts, pa.array(keys)),
                     ],
-                    names=["doc_id", "node", "n", "fp", "bands"],
+                    names=["doc_id", "text_hash", "node", "n", "fp", "bands"],
                 )
 
     return docs.mapInArrow(
         frugal(compute),
-        "doc_id bigint, node bigint, n bigint, fp bigint, bands array<bigint>",
+        "doc_id bigint, text_hash bigint, node bigint, n bigint, fp bigint, "
+        "bands array<bigint>",
     )
 
 
@@ -415,11 +417,12 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar_groups(rows: DataFrame) -> DataFrame:
-    """``doc_id, node, root`` of ``doc_id, text``: ``root`` is the same for rows that hang together.
+    """``doc_id, text_hash, node, root``: ``root`` is the same for rows that hang together.
 
     Rows hang together over links between sets of shingles; equal sets are one node.
     """
-    found = staged(_sketches(rows), "near-sketches")
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    found = staged(_sketches(hashed), "near-sketches")
     nodes = found.groupBy("node").agg(
         F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")
     )
@@ -491,7 +494,7 @@ def similar_groups(rows: DataFrame) -> DataFrame:
     more = staged(_similar(staged(apart, "near-pairs"), sets), "near-links")
     roots = components(links.union(more))
     return found.join(roots, "node", "left").selectExpr(
-        "doc_id", "node", "coalesce(root, node) AS root"
+        "doc_id", "text_hash", "node", "coalesce(root, node) AS root"
     )
 
 
@@ -504,13 +507,23 @@ def keep_first(docs: DataFrame) -> DataFrame:
     does in all but one of 2,800 cases, and more similar ones in more, and differ in at most
     ``WIDE_RADIUS`` bits of a five-word fingerprint (about ten are expected at 0.8).
 
-    Texts without words are one group. Rows with a null ``doc_id`` belong to no group and
-    stay.
+    Defined cases: texts without words are one group; rows with a null ``doc_id`` belong to
+    no group and stay; rows that share an id but not a text are documents of their own, and
+    of those with the least id in one group the one whose text has the least hash stays; rows
+    that repeat an id and its text stay or go together.
     """
     rows = docs.filter("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "text"
     )
     groups = staged(similar_groups(rows), "near-groups")
-    first = groups.groupBy("root").agg(F.min("doc_id").alias("first"))
-    heads = groups.join(first, "root").filter("doc_id <> first").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_anti").select(*docs.columns)
+    first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    gone = (
+        groups.join(first, "root")
+        .filter("doc_id <> first.doc_id OR text_hash <> first.text_hash")
+        .selectExpr("doc_id AS _near_id", "text_hash AS _near_hash")
+        .distinct()
+    )
+    same = (F.col("doc_id").cast("bigint") == F.col("_near_id")) & (
+        F.xxhash64("text") == F.col("_near_hash")
+    )
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

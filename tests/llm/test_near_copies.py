@@ -71,3 +71,11 @@ def test_large_groups_hang_together(docs):
     roots = brute_similar(rows)
     kept = {r.doc_id for r in simhash.keep_first(docs(rows)).collect()}
     assert kept == {d for d in roots if roots[d] == d}
+
+
+def test_texts_that_share_an_id_are_decided_each(docs):
+    a, b = prose(5, 90), prose(6, 90)
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (4, None), (4, "")]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_first(docs(rows)).collect()]
+    assert sorted(k for k in kept if k[0] < 4) == [(1, a), (2, b)]
+    assert [k[0] for k in kept if k[0] == 4] == [4]
