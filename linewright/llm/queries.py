@@ -7,15 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import fresh_dir
 from . import (
     ball_tree,
+    centroid_matrix,
     contain_minhash,
     ecoc_language,
     harmonic_pack,
     kd_shards,
+    mask_ranking,
     patience,
     prefix_chat,
     rlz_dedup,
     simhash,
     sql,
+    token_counts,
     token_files,
 )
 from .common import staged, table
@@ -77,6 +80,21 @@ def op10_contain_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroid_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return centroid_matrix.digest(*centroid_matrix.cluster(vectors))
+
+
+def op12_mask_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_ranking.rank_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op4_ecoc_language": op4_ecoc_language,
@@ -88,5 +106,8 @@ QUERIES = {
     "op10_contain_minhash": op10_contain_minhash,
     "op2_patience": op2_patience,
     "op3_token_files": op3_token_files,
+    "op11_centroid_matrix": op11_centroid_matrix,
+    "op12_mask_ranking": op12_mask_ranking,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLE: dict[str, str] = dict(sql.ORACLE)

@@ -29,6 +29,30 @@ def _escaped_chars(column: str) -> str:
     return f"(length(replace({column}, chr(92), chr(92) || chr(92))) + {marks})"
 
 
+def _centroid_rounds(rounds: int) -> str:
+    """Lloyd's rounds over ``parts`` (row, component, whole number), one after the other."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+    SELECT r, c, d FROM (
+        SELECT r, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place FROM (
+            SELECT p.r, k.c, sum((p.x - k.x) * (p.x - k.x)) AS d
+            FROM parts p JOIN centre{r} k USING (j) GROUP BY p.r, k.c))
+    WHERE place = 1)""")
+        if r < rounds:
+            steps.append(f"""
+mean{r} AS (
+    SELECT c, j, sum(x) AS s, count(*) AS n FROM near{r} JOIN parts USING (r) GROUP BY c, j),
+centre{r + 1} AS MATERIALIZED (
+    SELECT k.c, k.j, CASE WHEN n IS NULL THEN k.x ELSE (s - ((s % n) + n) % n) // n END AS x
+    FROM centre{r} k LEFT JOIN mean{r} USING (c, j))""")
+    return ",".join(steps)
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 _ORDER = "ORDER BY turn NULLS FIRST, role, text"
 
 ORACLE = {
@@ -98,4 +122,56 @@ SELECT conv_id, count(*) AS n_turns,
         AS loss_sha256,
     CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id""",
+    "op11_centroid_matrix": f"""
+WITH kept AS (
+    SELECT row_number() OVER () AS r, vec_id,
+        list_transform(embedding, lambda x: 1024 * CAST(x AS DOUBLE)) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+    SELECT r, j, CAST(floor(v[j]) AS HUGEINT) AS x
+    FROM (SELECT r, v, unnest(range(1, 65)) AS j FROM kept)),
+first AS (
+    SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS c
+    FROM kept),
+centre0 AS MATERIALIZED (SELECT c, j, x FROM first JOIN parts USING (r) WHERE c < 8),
+{_centroid_rounds(10)},
+digests AS (
+    SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS h
+    FROM centre10 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+    CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM near10 JOIN kept USING (r) JOIN digests USING (c)""",
+    "op12_mask_ranking": f"""
+WITH docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLDED}, '{_TERM}') AS ts
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+totals AS (SELECT count(*) AS n_docs, sum(len(ts)) AS n_terms FROM docs WHERE len(ts) > 0),
+found AS MATERIALIZED (
+    SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM docs) GROUP BY r, t),
+weights AS (
+    SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT)
+        AS w
+    FROM found, totals GROUP BY t, n_docs),
+items AS (
+    SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_FOLDED}, '{_TERM}') AS ts
+    FROM (SELECT DISTINCT item_id, text FROM benchmark
+          WHERE item_id IS NOT NULL AND text IS NOT NULL)),
+asked AS (
+    SELECT q, t, count(*) * w AS gain
+    FROM (SELECT q, unnest(ts) AS t FROM items) JOIN weights USING (t) GROUP BY q, t, w),
+parts AS (
+    SELECT r, t, CAST((1000000000 * tf)
+        // (1000 * tf + 12 * (75 + (25 * len(ts) * n_docs) // n_terms)) AS BIGINT) AS part
+    FROM found JOIN docs USING (r), totals),
+scored AS (
+    SELECT q, r, CAST(sum(gain * part) AS BIGINT) AS score
+    FROM asked JOIN parts USING (t) GROUP BY q, r),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank
+    FROM scored JOIN docs USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM ranked JOIN items USING (q) WHERE rank <= 20""",
 }

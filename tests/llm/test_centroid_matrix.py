@@ -1,0 +1,111 @@
+import hashlib
+import math
+import random
+
+import pytest
+
+from linewright.llm.centroid_matrix import cluster, digest
+
+SCHEMA = "vec_id bigint, embedding array<double>"
+
+
+def brute(rows, clusters=8, rounds=10, length=64):
+    def whole(v):
+        if v is None or len(v) != length:
+            return None
+        if any(x is None or not math.isfinite(x) or math.isinf(1024 * x) for x in v):
+            return None
+        return [math.floor(1024 * x) for x in v]
+
+    kept = [(i, v, raw) for i, raw in rows if (v := whole(raw)) is not None]
+
+    def place(row):
+        if row[0] is None:
+            return (1, "", row[2])
+        return (0, hashlib.sha256(f"3:{row[0]}".encode()).hexdigest(), row[2])
+
+    centres = [list(v) for _, v, _ in sorted(kept, key=place)[:clusters]]
+
+    def nearest(v):
+        d = [sum((a - b) ** 2 for a, b in zip(v, c)) for c in centres]
+        return d.index(min(d)), min(d)
+
+    for _ in range(rounds):
+        groups = {}
+        for _, v, _ in kept:
+            groups.setdefault(nearest(v)[0], []).append(v)
+        for c, members in groups.items():
+            centres[c] = [sum(x) // len(members) for x in zip(*members)]
+    found = [(i, *nearest(v)) for i, v, _ in kept]
+    return found, centres
+
+
+def expected(rows, **options):
+    found, centres = brute(rows, **options)
+    long = lambda x: x if x < 1 << 63 else None
+    result = []
+    for i, c, d in found:
+        own = sum(x for _, k, x in found if k == c)
+        every = sum(x for _, _, x in found)
+        sha = hashlib.sha256(",".join(map(str, centres[c])).encode()).hexdigest()
+        result.append((i, c, long(d), long(own), long(every), sha))
+    return result
+
+
+def order(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, x) for x in r))
+
+
+def vectors(n, seed, scale=1.0, length=64):
+    r = random.Random(seed)
+    centres = [[r.gauss(0, scale) for _ in range(length)] for _ in range(5)]
+    return [
+        (i, [x + r.gauss(0, scale / 4) for x in r.choice(centres)]) for i in range(n)
+    ]
+
+
+def check(spark, rows, **options):
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    frame = frame.selectExpr("*", "1 AS cluster", "2 AS v", "3 AS dots", "4 AS x")
+    got = [tuple(r) for r in digest(*cluster(frame, **options)).collect()]
+    assert order(got) == order(expected(rows, **options))
+    return got
+
+
+def test_against_brute_force(spark):
+    rows = vectors(300, 1)
+    v = rows[0][1]
+    rows += [(400, None), (401, []), (402, v[:63]), (403, [*v, 1.0]), (404, [None, *v[1:]])]
+    rows += [(405, [math.nan, *v[1:]]), (406, [math.inf, *v[1:]]), (None, v), rows[7], rows[7]]
+    rows += [(7, rows[9][1]), (500, [-0.0] * 64), (501, [-1e-9] * 64), (502, [0.0] * 64)]
+    check(spark, rows)
+
+
+@pytest.mark.parametrize("n", [1, 3, 8])
+def test_few_vectors(spark, n):
+    check(spark, vectors(n, n))
+
+
+def test_ties_and_empty_clusters(spark):
+    # Equal vectors: the first centroid takes all, the others stay as they are.
+    got = check(spark, [(i, [0.25] * 64) for i in range(40)])
+    assert {r[1] for r in got} == {0}
+
+
+def test_other_sizes(spark):
+    check(spark, vectors(60, 5, length=3), clusters=2, rounds=4, length=3)
+    check(spark, vectors(60, 6, length=1), clusters=1, rounds=2, length=1)
+
+
+def test_numbers_beyond_64_bits(spark):
+    # Some distances still fit a long, others don't; the centroids stay exact.
+    rows = vectors(60, 8, scale=1e6) + [(100, [3e38] * 64), (101, [-1e300] * 64)]
+    got = check(spark, rows)
+    assert any(r[2] is not None for r in got)
+    rows = vectors(40, 9) + [(100, [1e305] * 63 + [1.7e308]), (101, [70_000.0] * 64)]
+    check(spark, rows)
+
+
+def test_empty_table(spark):
+    frame = spark.createDataFrame([], SCHEMA)
+    assert digest(*cluster(frame)).collect() == []
