@@ -13,7 +13,9 @@ only the links that join its parts, never all its pairs.
 
 Defined cases: a null or empty text or one of white space has fingerprint zero,
 which links like any other; rows with a null ``doc_id`` are left out of the result, as
-they can't name a group; repeated rows keep their number; an empty table gives no rows.
+they can't name a group; repeated rows keep their number; a very long text is a step by
+itself; distances that tie are all links alike; an empty table gives no rows; columns besides
+``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.lookup import BROADCAST_BYTES, store_measured
-from .common import Words, frugal, mix, partitions, signed, staged, steps
+from .common import Words, frugal, join_side, partitions, signed, staged, steps
 from .components import components
 
 SEED = 42
@@ -34,13 +36,6 @@ SHINGLE = 3
 RADIUS = 3
 # Larger buckets are compared in parts of this many fingerprints, two parts at a time.
 BUCKET = 8192
-# Near copies of :func:`keep_first`: four of five shingles of five words in common.
-WIDE_SHINGLE = 5
-_PART, _WHOLE = 4, 5
-SIMILAR = _PART / _WHOLE
-BANDS, BAND_ROWS = 20, 5
-WIDE_RADIUS = 24
-_ODD = 0x9E3779B97F4A7C15
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -102,22 +97,30 @@ def _majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return result
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: fingerprints of whole texts, as signed 64-bit values."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *others: str) -> DataFrame:
+    """``doc_id, fp``: fingerprints of whole texts, as signed 64-bit values.
+
+    ``others`` are SQL of named whole numbers that go along with each row.
+    """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            along = [name for name in batch.schema.names if name != "text"]
             for a, b in steps(batch.column("text"), 2 << 20):
                 fp = fingerprints_of(batch.column("text").slice(a, b - a), shingle)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(signed(fp))],
-                    names=["doc_id", "fp"],
+                    [
+                        *(batch.column(name).slice(a, b - a) for name in along),
+                        pa.array(signed(fp)),
+                    ],
+                    names=[*along, "fp"],
                 )
 
-    rows = docs.filter("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "text"
+    rows = docs.filter("doc_id IS NOT NULL").selectExpr(
+        "CAST(doc_id AS BIGINT) AS doc_id", *others, "text"
     )
-    return rows.mapInArrow(frugal(compute), "doc_id bigint, fp bigint")
+    names = ", ".join(f"{name} bigint" for name in rows.columns if name != "text")
+    return rows.mapInArrow(frugal(compute), f"{names}, fp bigint")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -319,211 +322,55 @@ def digest(groups: DataFrame) -> DataFrame:
     )
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``hashes, n``: each text's distinct five-word shingles, in rising order."""
-    hashes, n = shingle_hashes(texts, WIDE_SHINGLE)
-    doc = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((hashes, doc))
-    hashes, doc = hashes[order], doc[order]
-    fresh = np.ones(len(hashes), dtype=bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-    return hashes[fresh], np.bincount(doc[fresh], minlength=len(n))
-
-
-def _set_names(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, from the sum of its mixed members and its size."""
-    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(mix(hashes ^ np.uint64(_ODD)), out=sums[1:])
-    ends = np.cumsum(n)
-    return mix((sums[ends] - sums[ends - n]) ^ mix(n.astype(np.uint64)))
-
-
-def _band_keys(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """``keys[i, band]``: sets with equal least hashes throughout a band share its key."""
-    some = np.flatnonzero(n)
-    keys = np.zeros((len(n), BANDS), dtype=np.uint64)
-    if not len(some):
-        return keys
-    first = np.cumsum(n[some]) - n[some]
-    for band in range(BANDS):
-        key = np.full(len(some), band + 1, dtype=np.uint64)
-        for row in range(BAND_ROWS):
-            salt = mix(np.array([band * BAND_ROWS + row + 1], dtype=np.uint64))
-            least = np.minimum.reduceat(mix(hashes ^ salt), first)
-            key = mix(key * np.uint64(_ODD) + least)
-        keys[some, band] = key
-    return keys
-
-
-def _sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, node, n, fp, bands``: each row's set by name, size, fingerprint and band keys."""
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in steps(batch.column("text"), 1 << 20):
-                hashes, n = shingle_sets(batch.column("text").slice(a, b - a))
-                keys = signed(_band_keys(hashes, n).reshape(-1))
-                cuts = pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(a, b - a),
-                        batch.column("text_hash").slice(a, b - a),
-                        pa.array(signed(_set_names(hashes, n))),
-                        pa.array(n.astype(np.int64)),
-                        pa.array(signed(_majority(hashes, n))),
-                        pa.ListArray.from_arrays(cuts, pa.array(keys)),
-                    ],
-                    names=["doc_id", "text_hash", "node", "n", "fp", "bands"],
-                )
-
-    return docs.mapInArrow(
-        frugal(compute),
-        "doc_id bigint, text_hash bigint, node bigint, n bigint, fp bigint, "
-        "bands array<bigint>",
-    )
-
-
-def _sets(docs: DataFrame) -> DataFrame:
-    """``node, members``: the shingle hashes of each row's set."""
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in steps(batch.column("text"), 1 << 20):
-                hashes, n = shingle_sets(batch.column("text").slice(a, b - a))
-                cuts = np.zeros(len(n) + 1, dtype=np.int32)
-                np.cumsum(n, out=cuts[1:])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(_set_names(hashes, n))),
-                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(signed(hashes))),
-                    ],
-                    names=["node", "members"],
-                )
-
-    return docs.select("text").mapInArrow(frugal(compute), "node bigint, members array<bigint>")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of sets with a Jaccard similarity of at least ``SIMILAR``."""
-    one = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    shared = f"size(array_intersect(x, y)) * {_PART + _WHOLE}L"
-    return (
-        pairs.join(one, "a")
-        .join(two, "b")
-        .filter(f"{shared} >= {_PART} * (size(x) + size(y))")
-        .select("a", "b")
-    )
-
-
-def similar_groups(rows: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, node, root``: ``root`` is the same for rows that hang together.
+def first_of_groups(
+    docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE
+) -> DataFrame:
+    """``id, hash, n``: of each group the row with the least id, and how often it is there.
 
-    Rows hang together over links between sets of shingles; equal sets are one node.
+    Rows are named by their id and a hash of their text. Groups are those of
+    :func:`near_duplicates`, over fingerprints instead of ids, so that rows which share an
+    id but not a text do not join their groups.
     """
-    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
-    found = staged(_sketches(hashed), "near-sketches")
-    nodes = found.groupBy("node").agg(
-        F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")
-    )
-    keyed = staged(
-        nodes.filter("n > 0").selectExpr("node", "n", "fp", "explode(bands) AS key"),
-        "near-bands",
-    )
-    shared = keyed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n", "fp")).alias("head")
-    )
-    keyed = staged(
-        keyed.join(shared.filter("size > 1"), "key").select(*keyed.columns, "head"),
-        "near-buckets",
+    named = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
+    prints = staged(
+        fingerprints(named, shingle, "xxhash64(text) AS hash")
+        .groupBy("fp", "doc_id", "hash")
+        .agg(F.count(F.lit(1)).alias("n")),
+        "near-prints",
     )
-    # The texts of sets that share a bucket, each set once.
-    in_buckets = keyed.select("node").distinct()
-    texts = rows.join(
-        found.select("doc_id", "node")
-        .join(in_buckets, "node", "left_semi")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"))
-        .select("doc_id")
-        .distinct(),
-        "doc_id",
-        "left_semi",
-    )
-    sets = _sets(texts).join(in_buckets, "node", "left_semi").dropDuplicates(["node"])
-    sets = staged(sets, "near-sets")
-
-    def close(n: str, m: str, fp: str, gp: str) -> str:
-        return (
-            f"least({n}, {m}) * {_WHOLE} >= greatest({n}, {m}) * {_PART}"
-            f" AND bit_count({fp} ^ {gp}) <= {WIDE_RADIUS}"
-        )
-
-    # Each set with the first of each of its buckets: that joins most of a large group.
-    heads = (
-        keyed.filter("node <> head.node")
-        .filter(close("n", "head.n", "fp", "head.fp"))
-        .selectExpr("head.node AS a", "node AS b")
-        .distinct()
-    )
-    links = staged(_similar(heads, sets), "near-links")
-    roots = components(links)
-    # Then all pairs of a bucket that do not hang together yet.
-    labelled = staged(
-        keyed.join(roots, "node", "left").selectExpr(
-            "key", "node", "n", "fp", "head.node AS head", "coalesce(root, node) AS root"
-        ),
-        "near-labels",
-    )
-    open_keys = (
-        labelled.groupBy("key")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .filter("low <> high")
-        .select("key")
-    )
-    left = staged(labelled.join(open_keys, "key", "left_semi"), "near-open")
-    right = left.selectExpr(
-        "key", "node AS node2", "n AS n2", "fp AS fp2", "root AS root2"
-    )
-    apart = (
-        left.join(right.hint("shuffle_merge"), "key")
-        .filter("node < node2 AND root <> root2 AND node <> head")
-        .filter(close("n", "n2", "fp", "fp2"))
-        .selectExpr("node AS a", "node2 AS b")
-        .distinct()
-    )
-    more = staged(_similar(staged(apart, "near-pairs"), sets), "near-links")
-    roots = components(links.union(more))
-    return found.join(roots, "node", "left").selectExpr(
-        "doc_id", "text_hash", "node", "coalesce(root, node) AS root"
+    # A fingerprint of any number of rows is one node from here on.
+    least = F.min(F.struct("doc_id", "hash", "n")).alias("first")
+    nodes = staged(prints.groupBy("fp").agg(least), "near-nodes")
+    roots = components(close_links(nodes.selectExpr("fp", "fp AS node"), radius))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return (
+        rooted.groupBy(F.coalesce("root", "fp").alias("root"))
+        .agg(F.min("first").alias("first"))
+        .selectExpr("first.doc_id AS id", "first.hash AS hash", "first.n AS n")
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One document of each group of near copies: the one with the least id.
 
-    Near copies have sets of five-word shingles (words as for fingerprints) with a
-    Jaccard similarity of at least 0.8, checked exactly; groups hang together over them.
-    Candidates share the five least hashes of one of ``BANDS`` bands, which a pair at 0.8
-    does in all but one of 2,800 cases, and more similar ones in more, and differ in at most
-    ``WIDE_RADIUS`` bits of a five-word fingerprint (about ten are expected at 0.8).
+    Near copies are rows whose fingerprints hang together within ``radius`` bits, as for
+    :func:`near_duplicates`.
 
     Defined cases: texts without words are one group; rows with a null ``doc_id`` belong to
     no group and stay; rows that share an id but not a text are documents of their own, and
-    of those with the least id in one group the one whose text has the least hash stays; rows
-    that repeat an id and its text stay or go together.
+    of those with the least id in one group the one whose text has the least hash stays; of
+    rows that repeat an id and its text one stays; a very long text is one row like any
+    other; extra columns keep their names and values, whatever they are called.
     """
-    rows = docs.filter("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "text"
-    )
-    groups = staged(similar_groups(rows), "near-groups")
-    first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    gone = (
-        groups.join(first, "root")
-        .filter("doc_id <> first.doc_id OR text_hash <> first.text_hash")
-        .selectExpr("doc_id AS _near_id", "text_hash AS _near_hash")
-        .distinct()
-    )
-    same = (F.col("doc_id").cast("bigint") == F.col("_near_id")) & (
-        F.xxhash64("text") == F.col("_near_hash")
+    stay = staged(first_of_groups(docs, radius, shingle), "near-firsts")
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").cast("bigint").alias("id"),
+        F.xxhash64("text").alias("hash"),
     )
-    return docs.join(gone, same, "left_anti").select(*docs.columns)
+    kept = join_side(rows, stay, ["id", "hash"], "left", "24", "near-firsts")
+    once = kept.filter("id IS NULL OR n = 1")
+    if not stay.filter("n > 1").isEmpty():
+        again = kept.filter("n > 1").dropDuplicates(["id", "hash"])
+        once = once.unionByName(again)
+    return once.select("row.*")
