@@ -204,6 +204,21 @@ def join_side(
     return rows.join(stored, on, how)
 
 
+class Aside:
+    """The columns a stage doesn't look at, under names that its own can't clash with."""
+
+    def __init__(self, docs: DataFrame, known: tuple[str, ...]):
+        self.names = docs.columns
+        self.inner = [
+            name if name in known else f"other_{i}" for i, name in enumerate(self.names)
+        ]
+        self.docs = docs.toDF(*self.inner)
+
+    def back(self, rows: DataFrame) -> DataFrame:
+        """The rows with the table's own columns only, by their names."""
+        return rows.select(*self.inner).toDF(*self.names)
+
+
 class KeySet:
     """Which 64-bit keys may be in a side, in sixteen bits a key: a Bloom filter.
 

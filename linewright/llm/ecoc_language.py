@@ -4,7 +4,8 @@ Each language has a codeword. For every bit of it a logistic classifier over has
 byte n-grams tells whether a text's language has that bit set; the language whose
 codeword costs least under the classifiers' losses, each weighted by how reliable its
 bit proved in training, is the answer. An answer is ambiguous if another codeword costs
-nearly as little.
+nearly as little, and a text is rejected if even the nearest codeword costs as much as
+it would under classifiers that know nothing: its bits are no language's.
 
 Texts are counted whole: A-Z in lower case (other letters by Unicode's rules), ASCII
 other than letters as a space, square roots of the counts of byte pairs and triples
@@ -15,7 +16,9 @@ everything else sees every row.
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without
 any labelled row every text is; with one language every text with a letter is in it.
 Rows with a null ``doc_id`` or ``lang`` are not learned from but predicted; repeated rows
-keep their number; an empty table gives no rows; other columns take no part.
+keep their number; a very long text is counted whole, in a step by itself; of languages that
+cost the same the first by name is the answer; an empty table gives no rows; other columns
+take no part.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import frugal, give_back, steps, text_buffers
+from .common import Aside, frugal, give_back, steps, text_buffers
 
 UNKNOWN = "und"
 # Bound on the labelled rows the classifiers are fitted on, over all languages.
@@ -36,6 +39,7 @@ SAMPLE_ROWS = 4000
 FEATURES = 4096
 # A second codeword of more than this share of the posterior makes an answer ambiguous.
 AMBIGUOUS = 0.4
+_NEW = ("lang_pred", "score", "ambiguous", "rejected")
 
 # Letters stay, other ASCII is a space, bytes of longer characters stay.
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
@@ -105,6 +109,10 @@ class Model:
     bias: np.ndarray
     trust: np.ndarray
 
+    def undecided(self) -> float:
+        """The loss of any codeword where no classifier leans to either side."""
+        return float(self.trust.sum() * np.log(2))
+
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Weighted logistic loss of each row under each language's codeword."""
         margins = x @ self.weights + self.bias
@@ -196,7 +204,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` plus ``lang_pred, score, ambiguous`` of each whole text."""
+    """``docs`` plus ``lang_pred, score, ambiguous, rejected`` of each whole text."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], dtype=object)
@@ -204,12 +212,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = batch.column("_lid_text")
             some = batch.column("_lid_letter").to_numpy(zero_copy_only=False)
-            best, score, unsure = [], [], []
+            best, score, unsure, none = [], [], [], []
             for a, b in steps(texts, 1 << 20):
                 if not last:
                     best.append(np.full(b - a, last))
                     score.append(np.zeros(b - a))
                     unsure.append(np.zeros(b - a, dtype=bool))
+                    none.append(np.zeros(b - a, dtype=bool))
                     continue
                 loss = model.losses(features_of(texts.slice(a, b - a)))
                 low = loss.min(axis=1, keepdims=True)
@@ -221,6 +230,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 best.append(np.where(known, loss.argmin(axis=1), last))
                 score.append(np.where(known, order[:, -1], 0.0))
                 unsure.append(known & (second > AMBIGUOUS))
+                far = low[:, 0] >= model.undecided()
+                none.append(known & far & (last > 1))
             join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
             carried = [c for c in batch.schema.names if not c.startswith("_lid_")]
             yield pa.RecordBatch.from_arrays(
@@ -229,11 +240,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     pa.array(names[join(best, np.int64)].tolist(), pa.string()),
                     pa.array(join(score, np.float64)),
                     pa.array(join(unsure, bool)),
+                    pa.array(join(none, bool)),
                 ],
-                names=[*carried, "lang_pred", "score", "ambiguous"],
+                names=[*carried, *_NEW],
             )
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
+    kept = [c for c in docs.columns if c not in _NEW]
     rows = docs.select(
         *kept,
         F.coalesce("text", F.lit("")).alias("_lid_text"),
@@ -244,24 +256,31 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         F.lit("").alias("lang_pred"),
         F.lit(0.0).alias("score"),
         F.lit(True).alias("ambiguous"),
+        F.lit(True).alias("rejected"),
     ).schema
     return rows.mapInArrow(frugal(decode), schema)
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, ambiguous``, learned from the rows themselves."""
+    """``doc_id, held_out, lang_pred, score, ambiguous, rejected``, learned from the rows."""
     model = learn(docs, sample_rows)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return predict(rows, model).select(
-        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous"
+        "doc_id", held_out().alias("held_out"), *_NEW
     )
 
 
 def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents with a language: those that are ``und`` go.
+    """The documents with a language: those without a letter go, and those that are rejected.
 
     An ambiguous document stays: it has words of a known language, only too few to
-    tell which.
+    tell which. Where nothing could be learned, every document with a letter stays. Extra
+    columns keep their names and values, whatever they are called.
     """
-    found = predict(docs, learn(docs, sample_rows))
-    return found.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    aside = Aside(docs, ("doc_id", "text", "lang"))
+    model = learn(aside.docs, sample_rows)
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    if not model.languages:
+        return docs.filter(letter)
+    found = predict(aside.docs, model)
+    return aside.back(found.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("rejected")))

@@ -36,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import KeySet, Words, frugal, mix, signed, staged, steps
+from .common import Aside, KeySet, Words, frugal, mix, signed, staged, steps
 
 WINDOW = 50
 ANCHOR = 8
@@ -420,11 +420,17 @@ _FACTOR_TYPE = pa.list_(
 def remove_copies(
     docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 ) -> DataFrame:
-    """``docs`` with the copied words gone from ``text``; other columns as they are.
+    """``docs`` with the words of every factor gone from ``text``; other columns as they are.
 
     A text that loses words is given as its kept words joined by one space; any other
-    text, null included, stays as it is. ``n_chars``, where there is one, follows.
+    text, null included, stays as it is. ``n_chars``, where there is one, follows. Extra
+    columns keep their names and values, whatever they are called.
     """
+    aside = Aside(docs, ("doc_id", "text", "n_chars"))
+    return aside.back(_remove_copies(aside.docs, window, anchor))
+
+
+def _remove_copies(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -437,7 +443,8 @@ def remove_copies(
                     continue
                 words = Words(texts.slice(a, b - a))
                 for i, rows in enumerate(lists.to_pylist()):
-                    spans = [(x["s"], x["m"] + window - 1) for x in rows or ()]
+                    copied = [(x["s"], x["m"], x["ref_doc"], x["ref_s"]) for x in rows or ()]
+                    spans = parse_factors(copied, window)
                     kept = _kept(words, i, spans)[0].decode() if spans else None
                     result.append(kept)
             names = [c for c in batch.schema.names if c not in ("_rlz_text", "_rlz_found")]
