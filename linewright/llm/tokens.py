@@ -14,7 +14,7 @@ from .common import kept
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 # A worker forgets its words beyond this number, to bound its memory.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 # A word that the vocabulary holds as one token; it parts the words of one call.
 _MARK = "\x01"
 _JOINED = 2000
