@@ -21,6 +21,7 @@ from .operators.stats import file_summary, level_counts, line_counts
 from .operators.templates import parse_pattern, similar_lines
 from .operators.terms import Has, Matches, search_regex, search_terms
 from .operators.timeline import frequency, time_range, with_event_time
+from .plans.compact import compact, snapshot
 from .plans.ingest import ingest, read_manifest, read_parsed, stale_files
 from .session import scratch
 from .sources.listing import list_files
@@ -30,6 +31,7 @@ from .streaming.follow import follow, follow_segments, live_level_counts, tail_l
 __all__ = [
     "Has",
     "Matches",
+    "compact",
     "detect_formats",
     "export_lines",
     "file_summary",
@@ -63,6 +65,7 @@ __all__ = [
     "search_regex",
     "search_terms",
     "similar_lines",
+    "snapshot",
     "stale_files",
     "tail_lines",
     "time_range",

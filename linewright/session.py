@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -79,14 +80,28 @@ def drop_dir(spark: SparkSession, folder: str) -> None:
     system.delete(path, True)
 
 
-def list_dirs(spark: SparkSession, folder: str, marked: str) -> list[str]:
-    """Names of the subfolders that hold a file named ``marked``."""
+def list_dirs(spark: SparkSession, folder: str, marked: str | None = None) -> list[str]:
+    """Names of the subfolders, of all or of those that hold a file named ``marked``."""
     path, system = _file_system(spark, folder)
     if not system.exists(path):
         return []
     inner = spark._jvm.org.apache.hadoop.fs.Path
     found = [f.getPath() for f in system.listStatus(path) if f.isDirectory()]
-    return [p.getName() for p in found if system.exists(inner(p, marked))]
+    if marked is not None:
+        found = [p for p in found if system.exists(inner(p, marked))]
+    return [p.getName() for p in found]
+
+
+# The parts of an ingested table that a compaction may drop.
+_PART = re.compile("/(lines/ingest_id=[0-9]+|manifest/ingest_id=[0-9]+|snapshots/[0-9]+)$")
+
+
+def drop_part(spark: SparkSession, folder: str) -> None:
+    """Delete one replaced part of an ingested table."""
+    if not _PART.search(folder):
+        raise ValueError(f"not a part of a table: {folder}")
+    path, system = _file_system(spark, folder)
+    system.delete(path, True)
 
 
 def drop_batch(spark: SparkSession, folder: str) -> None:

@@ -93,6 +93,20 @@ def number_lines(
 
     rows = spark.read.schema(_STAGED).parquet(folder)
     rows = rows.withColumn("position", F.col("_metadata.row_index"))
+    splits = (
+        split_counts(rows)
+        .withColumn("path", file_uri("file"))
+        .withColumn("format", F.expr(format_name("path", "sniffed")))
+    )
+    return numbered(rows, splits, folder, broadcast_limit)
+
+
+def split_counts(rows: DataFrame) -> DataFrame:
+    """``file, block, n, shift, sniffed`` of staged rows: one row per split.
+
+    ``shift`` added to a row's position in its staged file is its line number in the
+    file, ``sniffed`` is what the file's first split says.
+    """
     splits = rows.groupBy("file", "block").agg(
         F.min("position").alias("first_position"),
         F.count(F.lit(1)).alias("n"),
@@ -100,18 +114,23 @@ def number_lines(
     )
     file = Window.partitionBy("file").orderBy("block")
     before = file.rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select(
+    return splits.select(
         "file",
-        file_uri("file").alias("path"),
         "block",
         "n",
         (
             F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_position") + 1
         ).alias("shift"),
         F.first("sniffed").over(file).alias("sniffed"),
-    ).withColumn("format", F.expr(format_name("path", "sniffed")))
-    splits, size = store_measured(splits, "splits")
+    )
+
 
+def numbered(
+    rows: DataFrame, splits: DataFrame, folder: str, broadcast_limit: int
+) -> NumberedLines:
+    """Staged rows with the numbers that ``splits`` (path, format, shift, n) give them."""
+    splits = splits.select("file", "path", "block", "n", "shift", "format")
+    splits, size = store_measured(splits, "splits")
     shifts = splits.select("file", "block", "path", "shift", "format")
     if size <= broadcast_limit:
         shifts = F.broadcast(shifts)

@@ -410,6 +410,21 @@ ORACLE = {
         "SELECT file_id, line_number, value, format, level, ts_text "
         f"FROM ({SEGMENTS})"
     ),
+    "ingest_append": (
+        f"WITH s AS (SELECT *, byte_offset + octet_length(encode(value)) + 1 AS stop "
+        f"FROM ({SEGMENTS})), n AS (SELECT file_id, max(stop) AS n FROM s GROUP BY file_id) "
+        "SELECT file_id, (CASE "
+        + " ".join(
+            f"WHEN stop <= floor(n * {share}) THEN {i}"
+            for i, share in enumerate(queries.GROWTH)
+        )
+        + " END)::BIGINT AS taken_in, line_number, value, format, level, ts_text "
+        "FROM s JOIN n USING (file_id)"
+    ),
+    "ingest_compacted": (
+        "SELECT file_id, line_number, value, format, level, ts_text "
+        f"FROM ({SEGMENTS})"
+    ),
     "ingest_after_crash": (
         "SELECT file_id, line_number, value, format, level, ts_text "
         f"FROM ({SEGMENTS})"

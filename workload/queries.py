@@ -20,6 +20,7 @@ from linewright.functions import (
     syslog_timestamp,
 )
 from linewright import session
+from linewright.plans import ingest
 from linewright.streaming import sinks
 
 from . import inputs
@@ -38,6 +39,7 @@ USER_PATTERN = r"(?P<clock>[0-9]{2}:[0-9]{2}):[0-9.]+ (?P<word>[A-Za-z]+) user=(
 TOP = 5
 YEAR = 2024
 UNFINISHED = 0.71
+GROWTH = (0.35, 0.6, 1.0)
 DATE = "2024-02-03"
 RANGE = ("2024-01-05 00:00:00", "2024-01-20 12:30:00")
 
@@ -132,6 +134,47 @@ def ingest_refresh(spark, sf_dir) -> DataFrame:
     )
 
 
+def ingest_append(spark, sf_dir) -> DataFrame:
+    """Files that grow twice: which commit holds each line tells that only new ones were read."""
+    source = inputs.run_dir(spark, "segments")
+    table = inputs.run_dir(spark, "table")
+    lines = _segments(spark, sf_dir)
+    for share in GROWTH:
+        inputs.write_files(lines, source, share=share)
+        lw.ingest(spark, source, table)
+    current = ingest.current_lines(spark, table, ingest.live_rows(spark, table))
+    return current.select(
+        inputs.file_id(F.col("path")).alias("file_id"),
+        F.col("ingest_id").alias("taken_in"),
+        "line_number",
+        "value",
+        "format",
+        "level",
+        "ts_text",
+    )
+
+
+def ingest_compacted(spark, sf_dir) -> DataFrame:
+    """Files that are replaced, compacted, appended to and compacted again."""
+    source = inputs.run_dir(spark, "segments")
+    table = inputs.run_dir(spark, "table")
+    lines = _segments(spark, sf_dir)
+    inputs.write_files(lines.filter("position % 3 = 0"), source)
+    lw.ingest(spark, source, table)
+    for share in (0.6, 1.0):
+        inputs.write_files(lines, source, share=share)
+        lw.ingest(spark, source, table)
+        lw.compact(spark, table)
+    return lw.read_parsed(spark, table).select(
+        inputs.file_id(F.col("path")).alias("file_id"),
+        "line_number",
+        "value",
+        "format",
+        "level",
+        "ts_text",
+    )
+
+
 def ingest_after_crash(spark, sf_dir) -> DataFrame:
     """Runs that died while writing lines and while writing the manifest, then a good one."""
     source = inputs.run_dir(spark, "segments")
@@ -607,6 +650,8 @@ QUERIES = {
     "export_filtered": export_filtered,
     "ingest_manifest": ingest_manifest,
     "ingest_refresh": ingest_refresh,
+    "ingest_append": ingest_append,
+    "ingest_compacted": ingest_compacted,
     "ingest_after_crash": ingest_after_crash,
     "stale_files": stale_files,
     "file_summary": file_summary,
