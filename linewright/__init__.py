@@ -1,6 +1,8 @@
 """Log files as Spark tables and streams: scan, detect, parse, search, follow."""
 
+from .operators.carried import carry_event_time, with_rolling_year
 from .operators.export import export_lines
+from .operators.grams import gram_index, search_indexed
 from .operators.parse import detect_formats, parse_logs
 from .operators.positions import (
     goto_line,
@@ -10,7 +12,9 @@ from .operators.positions import (
     prev_match,
     rank_matches,
 )
+from .operators.saved import SavedSearch, save_search
 from .operators.search import (
+    live_search_counts,
     log_view,
     match_count,
     match_spans,
@@ -20,9 +24,22 @@ from .operators.search import (
 from .operators.stats import file_summary, level_counts, line_counts
 from .operators.templates import parse_pattern, similar_lines
 from .operators.terms import Has, Matches, search_regex, search_terms
-from .operators.timeline import frequency, time_range, with_event_time
+from .operators.timeline import (
+    frequency,
+    read_timed,
+    store_timed,
+    time_range,
+    with_event_time,
+)
 from .plans.compact import compact, snapshot
-from .plans.ingest import ingest, read_manifest, read_parsed, stale_files
+from .plans.ingest import (
+    index_table,
+    ingest,
+    read_manifest,
+    read_parsed,
+    search_table,
+    stale_files,
+)
 from .session import scratch
 from .sources.listing import list_files
 from .sources.text_lines import number_lines, read_log_lines, scan_lines
@@ -31,6 +48,8 @@ from .streaming.follow import follow, follow_segments, live_level_counts, tail_l
 __all__ = [
     "Has",
     "Matches",
+    "SavedSearch",
+    "carry_event_time",
     "compact",
     "detect_formats",
     "export_lines",
@@ -39,11 +58,14 @@ __all__ = [
     "follow_segments",
     "frequency",
     "goto_line",
+    "gram_index",
+    "index_table",
     "ingest",
     "level_counts",
     "line_counts",
     "list_files",
     "live_level_counts",
+    "live_search_counts",
     "log_view",
     "match_count",
     "match_page",
@@ -58,16 +80,22 @@ __all__ = [
     "read_log_lines",
     "read_manifest",
     "read_parsed",
+    "read_timed",
+    "save_search",
     "scan_lines",
     "scratch",
     "search_counts",
+    "search_indexed",
     "search_logs",
     "search_regex",
+    "search_table",
     "search_terms",
     "similar_lines",
     "snapshot",
     "stale_files",
+    "store_timed",
     "tail_lines",
     "time_range",
     "with_event_time",
+    "with_rolling_year",
 ]

@@ -15,13 +15,36 @@ _ZONED = r"(?:Z|[+-][0-9]{2}:[0-9]{2})\z"
 _WHOLE = rf"^{P.DATE}[T ]{P.HMS}(?:\.[0-9]+)?(?:Z|[+-][0-9]{{2}}:[0-9]{{2}})?\z"
 
 
+def stamp_month(stamp: str) -> str:
+    """Month, 1 to 12, of a stamp that has one but no year; else null."""
+    name = f"array_position(array({sql.texts(_MONTHS)}), left({stamp}, 3))"
+    return sql.case(
+        [
+            (
+                f"{stamp} RLIKE {sql.text('^(?:0[1-9]|1[0-2])-')}",
+                f"CAST(left({stamp}, 2) AS INT)",
+            ),
+            (f"{stamp} RLIKE {sql.text('^' + P.MONTH)}", f"CAST({name} AS INT)"),
+        ]
+    )
+
+
 def event_time(
-    stamp: str, year: int | None = None, date: str | None = None, zone: str = "UTC"
+    stamp: str,
+    year: int | str | None = None,
+    date: str | None = None,
+    zone: str = "UTC",
 ) -> str:
-    """Timestamp, or null, for a column of timestamp texts of any format."""
+    """Timestamp, or null, for a column of timestamp texts of any format.
+
+    ``year`` is a number, or SQL for one.
+    """
     branches = [(f"{stamp} RLIKE {sql.text('^[0-9]{4}-')}", stamp)]
     if year is not None:
-        head = sql.text(f"{year:04d}-")
+        if isinstance(year, str):
+            head = f"concat(lpad(CAST({year} AS STRING), 4, '0'), '-')"
+        else:
+            head = sql.text(f"{year:04d}-")
         branches.append(
             (f"{stamp} RLIKE {sql.text('^[0-9]{2}-')}", f"concat({head}, {stamp})")
         )

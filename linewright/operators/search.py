@@ -59,6 +59,25 @@ def search_counts(
     )
 
 
+def live_search_counts(
+    parsed: DataFrame, query: str = "", level: str | None = None
+) -> DataFrame:
+    """The counts of :func:`search_counts` in one aggregation, as streams need them.
+
+    State is six numbers per file. The predicate is evaluated once per line: the explode
+    of one element keeps it from being copied into each count.
+    """
+    counted = search_predicate(query, level) if query != "" else F.lit(True)
+    lines = parsed.select("path", "level", F.explode(F.array(counted)).alias("hit"))
+    return lines.groupBy("path").agg(
+        F.count_if("hit").alias("all"),
+        *[
+            F.count_if(F.col("hit") & (F.col("level") == name)).alias(name)
+            for name in COUNTED_LEVELS
+        ],
+    )
+
+
 def match_spans(parsed: DataFrame, needle: str) -> DataFrame:
     """``path, line_number, spans``: 1-based starts of every highlighted match."""
     return parsed.select(

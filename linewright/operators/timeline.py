@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.times import event_time
 
+# Timestamps of this kind have bounds in every row group; Spark's default kind has none.
+_KIND = "spark.sql.parquet.outputTimestampType"
+
 
 def with_event_time(
     parsed: DataFrame,
@@ -35,6 +38,27 @@ def time_range(timed: DataFrame, start=None, end=None) -> DataFrame:
     return timed.filter(inside)
 
 
+def store_timed(timed: DataFrame, folder: str) -> None:
+    """Write lines with their ``event_time`` so that a range of it skips what lies outside.
+
+    Lines are laid out in ranges of path and line number, and so mostly of time: each
+    row group has the least and the greatest instant in it.
+    """
+    spark = timed.sparkSession
+    before = spark.conf.get(_KIND)
+    spark.conf.set(_KIND, "TIMESTAMP_MICROS")
+    try:
+        timed.repartitionByRange("path", "line_number").sortWithinPartitions(
+            "path", "line_number"
+        ).write.parquet(folder)
+    finally:
+        spark.conf.set(_KIND, before)
+
+
+def read_timed(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
 def frequency(
     timed: DataFrame, window: str = "1 minute", late: str | None = None
 ) -> DataFrame:

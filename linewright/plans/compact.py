@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.lookup import store
-from ..session import claim, drop_part, list_dirs
+from ..session import claim, dir_exists, drop_part, list_dirs
 from .ingest import (
     DONE,
     LIVE_SCHEMA,
@@ -29,6 +29,7 @@ from .ingest import (
     folder_numbers,
     live_rows,
     newest_snapshot,
+    write_index,
 )
 
 # Folders of fewer lines than this are put together.
@@ -107,6 +108,8 @@ def _rewrite(spark: SparkSession, table: str, rows: DataFrame, number: int) -> N
     current_lines(spark, table, rows).drop("ingest_id").write.mode("overwrite").parquet(
         f"{table}/lines/ingest_id={number}"
     )
+    if dir_exists(spark, f"{table}/index"):
+        write_index(spark, table, number)
 
 
 def _write_snapshot(
@@ -143,6 +146,7 @@ def drop_replaced(spark: SparkSession, table: str) -> None:
     covered = _snapshot_part(spark, table, number, "covered", "ingest_id bigint").collect()
     for folder in sorted(row.folder for row in gone):
         drop_part(spark, f"{table}/lines/ingest_id={folder}")
+        drop_part(spark, f"{table}/index/ingest_id={folder}")
     there = set(folder_numbers(spark, f"{table}/manifest"))
     for commit in sorted(there & {row.ingest_id for row in covered}):
         drop_part(spark, f"{table}/manifest/ingest_id={commit}")

@@ -5,6 +5,7 @@ Layout below the table folder::
     lines/ingest_id=N/      parsed lines that commit N wrote
     manifest/ingest_id=N/   what commit N took in: one row per file
     claims/N                taken by the run that may write N
+    index/ingest_id=N/      the pieces of those lines, where the table is indexed
     snapshots/N/            what all earlier commits come to (see ``plans.compact``)
 
 The manifest rows of a commit are written last and are what makes its lines
@@ -26,8 +27,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.formats import format_name
+from ..operators.grams import GRAMS_SCHEMA, gram_index, search_indexed
 from ..operators.lookup import BROADCAST_BYTES, store, store_measured
 from ..operators.parse import BLOCK_LINES, parse_logs
+from ..operators.search import search_logs
 from ..session import claim, dir_exists, drop_dir, list_dirs
 from ..sources.byte_ranges import line_ends, read_appended, resume_places
 from ..sources.listing import glob_escape, list_files
@@ -120,6 +123,7 @@ def ingest(
     table: str,
     max_files: int = MAX_FILES,
     max_bytes: int = MAX_BYTES,
+    index: bool = False,
     **options,
 ) -> int:
     """Take in new and changed files; returns how many commits that took.
@@ -127,13 +131,14 @@ def ingest(
     Unchanged files are not read. A file that was appended to is read on from its last
     line end, and the bytes before it are only compared with what was kept of them. Any
     other changed file is parsed again as a whole, and its earlier lines go out of sight with
-    the same commit.
+    the same commit. With ``index``, or where the table has one, the new lines are indexed.
     """
     # Listed and compared once, in order of path: a commit starts after the last one's
     # path, and looks neither at the manifest nor at files that are done.
     known = read_manifest(spark, table)
     stale = stale_files(list_files(spark, paths, **options), known)
     stale = store(_with_places(stale, known).orderBy("path"), "stale")
+    index = index or dir_exists(spark, f"{table}/index")
     next_id = _next_id(spark, table)
     commits, done = 0, None
     while True:
@@ -149,7 +154,7 @@ def ingest(
         if batch:
             while not claim(spark, f"{table}/claims/{next_id}"):
                 next_id += 1
-            _commit(spark, batch, stale.schema, table, next_id, options)
+            _commit(spark, batch, stale.schema, table, next_id, index, options)
             commits, done = commits + 1, batch[-1].path
         if len(batch) == len(found) < max_files:
             break
@@ -184,7 +189,13 @@ def _with_places(stale: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _commit(
-    spark: SparkSession, batch: list, schema, table: str, ingest_id: int, options: dict
+    spark: SparkSession,
+    batch: list,
+    schema,
+    table: str,
+    ingest_id: int,
+    index: bool,
+    options: dict,
 ) -> None:
     listed = spark.createDataFrame(batch, schema)
     whole = [glob_escape(row.path) for row in batch if row.resume_at is None]
@@ -197,6 +208,8 @@ def _commit(
     files = reduce(DataFrame.unionByName, [part.files for part in parts])
     parsed = parse_logs(lines)
     parsed.write.mode("overwrite").parquet(f"{table}/lines/ingest_id={ingest_id}")
+    if index:
+        write_index(spark, table, ingest_id)
     # Only now is it known whether a file stayed as it was while it was read.
     ends = line_ends(listed.selectExpr("path", "file_size", "resume_at IS NULL AS exact"))
     read = files.selectExpr("path", "format AS told", "line_count AS n")
@@ -221,6 +234,41 @@ def _commit(
         drop_dir(spark, part.folder)
 
 
+def write_index(spark: SparkSession, table: str, folder: int) -> None:
+    """Index the lines of one folder, from the folder itself."""
+    held = spark.read.schema(LINES_SCHEMA).parquet(f"{table}/lines/ingest_id={folder}")
+    pieces = gram_index(held.select("path", "line_number", "value"))
+    pieces.write.mode("overwrite").parquet(f"{table}/index/ingest_id={folder}")
+
+
+def index_table(spark: SparkSession, table: str) -> int:
+    """Index every folder of current lines that has no index yet; returns how many."""
+    live = live_rows(spark, table).filter("live_last >= first_line")
+    folders = {row.folder for row in live.select("folder").distinct().collect()}
+    missing = sorted(folders - set(folder_numbers(spark, f"{table}/index", "_SUCCESS")))
+    for folder in missing:
+        write_index(spark, table, folder)
+    return len(missing)
+
+
+def search_table(
+    spark: SparkSession, table: str, query: str, level: str | None = None
+) -> DataFrame:
+    """``search_logs`` over the current lines, by the index as far as there is one."""
+    rows = store(live_rows(spark, table), "live-rows")
+    lines = current_lines(spark, table, rows)
+    indexed = set(folder_numbers(spark, f"{table}/index", "_SUCCESS"))
+    live = rows.filter("live_last >= first_line").select("folder").distinct().collect()
+    without = sorted({row.folder for row in live} - indexed)
+    if indexed:
+        pieces = spark.read.schema(GRAMS_SCHEMA).parquet(f"{table}/index")
+        others = f"ingest_id IN ({', '.join(map(str, without))})" if without else "false"
+        lines = search_indexed(lines, pieces, query, level, others)
+    else:
+        lines = search_logs(lines, query, level)
+    return lines.drop("ingest_id")
+
+
 def read_parsed(spark: SparkSession, table: str) -> DataFrame:
     """The current parsed lines of every file.
 

@@ -93,7 +93,7 @@ def list_dirs(spark: SparkSession, folder: str, marked: str | None = None) -> li
 
 
 # The parts of an ingested table that a compaction may drop.
-_PART = re.compile("/(lines/ingest_id=[0-9]+|manifest/ingest_id=[0-9]+|snapshots/[0-9]+)$")
+_PART = re.compile("/((lines|index|manifest)/ingest_id=[0-9]+|snapshots/[0-9]+)$")
 
 
 def drop_part(spark: SparkSession, folder: str) -> None:

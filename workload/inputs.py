@@ -99,6 +99,37 @@ def with_odd(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
     return file_lines(spark, sf_dir, path).unionAll(odd_lines(spark, sf_dir))
 
 
+# Where the stamps of ``yearless_lines`` start, and seconds from line to line.
+FIRST_YEAR, STEP_SECS = 2019, 37_003
+FIRST_TIME = f"{FIRST_YEAR}-11-05 08:00:00"
+
+
+def yearless_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of two files whose stamps go on for years without naming one.
+
+    Every fifth line has no stamp, and every seventh is a day late.
+    """
+    late = "CASE WHEN event_id % 7 = 3 THEN 86400 ELSE 0 END"
+    time = f"timestamp_seconds(unix_seconds(TIMESTAMP '{FIRST_TIME}') + event_id * {STEP_SECS} - {late})"
+    events = table(spark, sf_dir, "events").withColumn("t", F.expr(time))
+    shapes_of = {
+        "sys.txt": "date_format(t, 'MMM dd HH:mm:ss'), ' host app: '",
+        "device.log": "date_format(t, 'MM-dd HH:mm:ss.SSS'), '  1  2 I Tag: '",
+    }
+    frames = [
+        events.select(
+            F.lit(path).alias("path"),
+            (F.col("event_id") + 1).alias("line_number"),
+            F.expr(
+                f"concat(CASE WHEN event_id % 5 = 4 THEN '  at ' ELSE concat({stamp}) END, "
+                "event_type)"
+            ).alias("value"),
+        )
+        for path, stamp in shapes_of.items()
+    ]
+    return frames[0].unionAll(frames[1])
+
+
 _stored: dict[tuple, DataFrame] = {}
 
 

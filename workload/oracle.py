@@ -368,6 +368,13 @@ TIMED = (
 )
 
 
+UNSTAMPED = (
+    "SELECT path, line_number, CASE WHEN line_number % 3 = 2 "
+    "THEN '  at frame ' || line_number ELSE value END AS value "
+    f"FROM ({with_odd('app.log')})"
+)
+
+
 def masked(value: str) -> str:
     for pattern, mark in MASKS:
         value = f"regexp_replace({value}, {lit(pattern)}, {lit(mark)}, 'g')"
@@ -502,6 +509,25 @@ ORACLE = {
         "SELECT doc_id AS path, k AS position, value "
         f"FROM ({_LINES}) WHERE {found('THe')}"
     ),
+    "search_indexed": (
+        f"SELECT {_key}value FROM ({PARSED}) WHERE {found(queries.RARE)}"
+    ),
+    "search_table": (
+        "SELECT file_id, line_number, value, level "
+        f"FROM ({SEGMENTS}) WHERE {found(queries.RARE)}"
+    ),
+    "saved_page": (
+        f"SELECT * FROM ({RANKED}) WHERE (match_rank > {_offset} "
+        f"AND match_rank <= {_offset + _limit}) OR (match_rank > {5 * _offset} "
+        f"AND match_rank <= {5 * _offset + _limit})"
+    ),
+    "saved_and": (
+        f"SELECT {_key}value FROM ({PARSED}) WHERE {found(*queries.SEARCH)}"
+    ),
+    "saved_combined": (
+        f"SELECT path, count(*) AS matches FROM ({PARSED}) WHERE "
+        f"({found(queries.NEEDLE)} OR {found('', 'warn')}) AND NOT {found('7')} GROUP BY path"
+    ),
     "search_regex": (
         f"SELECT {_key}value FROM ({PARSED}) WHERE regexp_matches(value, {lit(queries.REGEX)})"
     ),
@@ -532,6 +558,21 @@ ORACLE = {
         f"micros >= epoch_us(TIMESTAMP '{queries.RANGE[0]}') "
         f"AND micros < epoch_us(TIMESTAMP '{queries.RANGE[1]}')"
     ),
+    "time_range_filled": (
+        f"WITH p AS ({over(UNSTAMPED, _key + TS_PLAIN + ' AS ts_text')}), "
+        f"t AS (SELECT {_key}{micros('ts_text', queries.YEAR, queries.DATE)} AS own FROM p), "
+        f"c AS (SELECT {_key}own IS NOT NULL AS own_time, last_value(own IGNORE NULLS) OVER "
+        "(PARTITION BY path ORDER BY line_number ROWS UNBOUNDED PRECEDING) AS micros FROM t) "
+        f"SELECT {_key}own_time, micros FROM c WHERE "
+        f"micros >= epoch_us(TIMESTAMP '{queries.RANGE[0]}') "
+        f"AND micros < epoch_us(TIMESTAMP '{queries.RANGE[1]}')"
+    ),
+    "event_time_rollover": (
+        "SELECT path, event_id + 1 AS line_number, CASE WHEN event_id % 5 <> 4 THEN "
+        f"epoch_us(TIMESTAMP '{inputs.FIRST_TIME}') + 1000000 * (event_id * {inputs.STEP_SECS} "
+        "- CASE WHEN event_id % 7 = 3 THEN 86400 ELSE 0 END) END AS micros "
+        "FROM events, (VALUES ('sys.txt'), ('device.log')) AS f(path)"
+    ),
     "errors_over_time": (
         "SELECT path, micros // 3600000000 * 3600 AS window_start, level, count(*) AS n "
         f"FROM ({TIMED}) WHERE micros IS NOT NULL GROUP BY ALL"
@@ -595,6 +636,11 @@ ORACLE = {
     "follow_level_counts": (
         f"SELECT file_id, level, count(*) AS n FROM ({APP_SEGMENTS}) GROUP BY ALL"
     ),
+    "follow_search_counts": (
+        "SELECT file_id, count(*) FILTER (WHERE hit) AS n_all, "
+        f"{_COUNTS} FROM (SELECT file_id, level, {found('1')} AS hit "
+        f"FROM ({APP_SEGMENTS})) GROUP BY file_id"
+    ),
     "follow_errors_over_time": (
         "SELECT file_id, micros // 3600000000 * 3600 AS window_start, level, count(*) AS n "
         f"FROM (SELECT file_id, level, {micros('ts_text', queries.YEAR, None)} AS micros "

@@ -20,6 +20,8 @@ from linewright.functions import (
     syslog_timestamp,
 )
 from linewright import session
+from linewright.operators.lookup import store
+from linewright.operators.search import COUNTED_LEVELS
 from linewright.plans import ingest
 from linewright.streaming import sinks
 
@@ -28,6 +30,7 @@ from . import inputs
 NEEDLE = "error"
 SEARCH = ("USER=1", "error")
 SPAN_NEEDLE = "er"
+RARE = "user=17"
 RANK = 7
 PAGE = (100, 50)
 CURRENT = 500
@@ -357,6 +360,53 @@ def search_documents(spark, sf_dir) -> DataFrame:
     return matches.select("path", F.col("position").cast("bigint"), "value")
 
 
+def search_indexed(spark, sf_dir) -> DataFrame:
+    """The substring search by an index of the stored lines."""
+    parsed = inputs.parsed_table(spark, sf_dir)
+    index = store(lw.gram_index(parsed), "index")
+    matches = lw.search_indexed(parsed, index, RARE)
+    return matches.select("path", "line_number", "value")
+
+
+def search_table(spark, sf_dir) -> DataFrame:
+    """The same over a table that was indexed at ingest, and grew and was compacted since."""
+    source = inputs.run_dir(spark, "segments")
+    table = inputs.run_dir(spark, "table")
+    lines = _segments(spark, sf_dir)
+    for share in (0.6, 1.0):
+        inputs.write_files(lines, source, share=share)
+        lw.ingest(spark, source, table, index=True)
+    lw.compact(spark, table)
+    matches = lw.search_table(spark, table, RARE.upper())
+    return matches.select(
+        inputs.file_id(F.col("path")).alias("file_id"), "line_number", "value", "level"
+    )
+
+
+def _saved(spark, sf_dir, *search):
+    return lw.save_search(lw.search_logs(inputs.parsed_table(spark, sf_dir), *search))
+
+
+def saved_page(spark, sf_dir) -> DataFrame:
+    """A page of a saved search, and one further on."""
+    saved = _saved(spark, sf_dir, NEEDLE)
+    lines = inputs.parsed_table(spark, sf_dir)
+    pages = [saved.page(lines, offset, PAGE[1]) for offset in (PAGE[0], 5 * PAGE[0])]
+    return pages[0].union(pages[1]).select("path", "line_number", "value", "match_rank")
+
+
+def saved_and(spark, sf_dir) -> DataFrame:
+    both = _saved(spark, sf_dir, SEARCH[0]) & _saved(spark, sf_dir, "", SEARCH[1])
+    found = both.lines(inputs.parsed_table(spark, sf_dir))
+    return found.select("path", "line_number", "value")
+
+
+def saved_combined(spark, sf_dir) -> DataFrame:
+    """Matches per file of one search or another, but not of a third."""
+    either = _saved(spark, sf_dir, NEEDLE) | _saved(spark, sf_dir, "", "warn")
+    return (either - _saved(spark, sf_dir, "7")).matches()
+
+
 def _span_columns(spans: DataFrame) -> DataFrame:
     total = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     return spans.select(
@@ -441,6 +491,31 @@ def time_range(spark, sf_dir) -> DataFrame:
     )
 
 
+def time_range_filled(spark, sf_dir) -> DataFrame:
+    """A range over stored lines, where lines without a stamp have that of the line before."""
+    lines = inputs.with_odd(spark, sf_dir, "app.log")
+    unstamped = "concat('  at frame ', line_number)"
+    lines = lines.withColumn(
+        "value", F.expr(f"CASE WHEN line_number % 3 = 2 THEN {unstamped} ELSE value END")
+    )
+    parsed = lw.parse_logs(lines, "Plain text")
+    timed = lw.carry_event_time(lw.with_event_time(parsed, year=YEAR, date=DATE))
+    folder = inputs.run_dir(spark, "timed")
+    lw.store_timed(timed.select("path", "line_number", "own_time", "event_time"), folder)
+    return lw.time_range(lw.read_timed(spark, folder), *RANGE).select(
+        "path", "line_number", "own_time", F.unix_micros("event_time").alias("micros")
+    )
+
+
+def event_time_rollover(spark, sf_dir) -> DataFrame:
+    """Stamps of two files that leave out the year, over many years."""
+    lines = inputs.yearless_lines(spark, sf_dir)
+    timed = lw.with_rolling_year(lw.parse_logs(lines), inputs.FIRST_YEAR)
+    return timed.select(
+        "path", "line_number", F.unix_micros("event_time").alias("micros")
+    )
+
+
 def errors_over_time(spark, sf_dir) -> DataFrame:
     counted = lw.frequency(_timed(spark, sf_dir), "1 hour")
     return counted.withColumn("window_start", F.unix_seconds("window_start"))
@@ -613,6 +688,20 @@ def follow_level_counts(spark, sf_dir) -> DataFrame:
     )
 
 
+def follow_search_counts(spark, sf_dir) -> DataFrame:
+    out, checkpoint = (inputs.run_dir(spark, p) for p in ("out", "checkpoint"))
+    _grow_and_follow(
+        spark,
+        sf_dir,
+        lambda s: sinks.refresh_available(
+            lw.live_search_counts(s, "1").withColumnRenamed("all", "n_all"), out, checkpoint
+        ),
+    )
+    return sinks.read_totals(spark, out).select(
+        inputs.file_id(F.col("path")).alias("file_id"), "n_all", *COUNTED_LEVELS
+    )
+
+
 def follow_errors_over_time(spark, sf_dir) -> DataFrame:
     out, checkpoint = (inputs.run_dir(spark, p) for p in ("out", "checkpoint"))
 
@@ -677,6 +766,11 @@ QUERIES = {
     "search_substring": search_substring,
     "search_and_level": search_and_level,
     "search_documents": search_documents,
+    "search_indexed": search_indexed,
+    "search_table": search_table,
+    "saved_page": saved_page,
+    "saved_and": saved_and,
+    "saved_combined": saved_combined,
     "search_regex": search_regex,
     "search_terms": search_terms,
     "parse_pattern": parse_pattern,
@@ -684,6 +778,8 @@ QUERIES = {
     "similar_lines_top": similar_lines_top,
     "event_time": event_time,
     "time_range": time_range,
+    "time_range_filled": time_range_filled,
+    "event_time_rollover": event_time_rollover,
     "errors_over_time": errors_over_time,
     "match_spans": match_spans,
     "match_spans_documents": match_spans_documents,
@@ -706,6 +802,7 @@ QUERIES = {
     "follow_unfinished": follow_unfinished,
     "follow_rotated": follow_rotated,
     "follow_level_counts": follow_level_counts,
+    "follow_search_counts": follow_search_counts,
     "follow_errors_over_time": follow_errors_over_time,
     "stream_segments": stream_segments,
 }
