@@ -14,8 +14,9 @@ it doesn't see the query at all.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no
 part; vectors are compared with those of their own length only; ties go to the smaller
-id; rows that repeat an id and its vector count once; a null id takes no part; scores
-beyond 2^53 are refused, as they would not be exact; empty tables give no rows.
+id; rows that repeat an id and its vector count once; a null id takes no part; where scores
+may pass 2^53 they are computed in whole numbers of 64 bits, and where they may pass those
+too, as no long holds them, the search is refused; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -54,12 +55,17 @@ def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     )
 
 
+# Stands for no score yet; its negative is a number too.
+_NONE = -np.iinfo(np.int64).max
+
+
 class BallTree:
     """Nodes over a shard's points; leaves hold at most ``LEAF`` of them."""
 
-    def __init__(self, points: np.ndarray):
-        self.order = np.arange(len(points))
-        self.points = points
+    def __init__(self, whole: np.ndarray):
+        self.order = np.arange(len(whole))
+        self.whole = whole
+        self.points = points = whole.astype(np.float64)
         self.nodes: list[tuple] = []
         # (first, last, centre, radius, left, right)
         pending = [(0, len(points), -1, 0)]
@@ -82,14 +88,22 @@ class BallTree:
             middle = (a + b) // 2
             pending += [(middle, b, me, 1), (a, middle, me, 0)]
 
-    def search(self, queries: np.ndarray, kth: np.ndarray, k: int):
+    def search(self, asked: np.ndarray, kth: np.ndarray, k: int):
         """Rows and scores of the ``k`` best points per query, among those above ``kth``.
 
         ``kth`` is a score already reached ``k`` times elsewhere: points below it are not
         looked for, points equal to it are, as a smaller id may win.
         """
-        n = len(queries)
-        best = np.full((n, k), -np.inf)
+        n = len(asked)
+        queries = asked.astype(np.float64)
+        # Products in floating point are exact below 2^53, and fast.
+        largest = np.abs(queries).max() * np.abs(self.points).max() * queries.shape[1]
+        if largest >= 2**63:
+            raise ValueError("scores beyond 64 bits")
+        left_side, right_side = (
+            (queries, self.points) if largest < 2**53 else (asked, self.whole)
+        )
+        best = np.full((n, k), _NONE, dtype=np.int64)
         rows = np.full((n, k), -1, dtype=np.int64)
         kth = kth.astype(np.float64).copy()
         norms = np.sqrt((queries * queries).sum(axis=1))
@@ -111,17 +125,19 @@ class BallTree:
             a, b, _, _, left, right = self.nodes[node]
             if left < 0:
                 own = self.order[a:b]
-                scores = queries[which] @ self.points[own].T
+                scores = (left_side[which] @ right_side[own].T).astype(np.int64)
                 merged = np.concatenate([best[which], scores], axis=1)
                 names = np.concatenate(
                     [rows[which], np.broadcast_to(own, scores.shape)], axis=1
                 )
                 # Higher scores first, then the smaller row: rows are in order of id.
-                names = np.where(np.isinf(merged), np.iinfo(np.int64).max, names)
+                names = np.where(names < 0, np.iinfo(np.int64).max, names)
                 top = np.lexsort((names, -merged), axis=1)[:, :k]
                 best[which] = np.take_along_axis(merged, top, axis=1)
-                rows[which] = np.take_along_axis(names, top, axis=1)
-                kth[which] = np.maximum(kth[which], best[which, -1])
+                names = np.take_along_axis(names, top, axis=1)
+                rows[which] = np.where(best[which] == _NONE, -1, names)
+                last = best[which, -1].astype(np.float64)
+                kth[which] = np.maximum(kth[which], np.where(last > _NONE, last, -np.inf))
                 continue
             low, high = bounds(left, which), bounds(right, which)
             nodes = [(left, which, low), (right, which, high)]
@@ -135,19 +151,16 @@ def _search_block(points: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
     if not len(points) or not len(queries):
         return pd.DataFrame({"query": [], "vec_id": [], "score": []}, dtype="int64")
     points = points.sort_values("point")
-    tree = BallTree(np.stack(points["v"]).astype(np.float64))
-    rows, best = tree.search(
-        np.stack(queries["v"]).astype(np.float64), queries["kth"].to_numpy(), k
-    )
-    found = np.isfinite(best)
-    if found.any() and np.abs(best[found]).max() >= 2**53:
-        raise ValueError("scores beyond 2^53 can't be exact")
+    tree = BallTree(np.stack(points["v"]).astype(np.int64))
+    asked = np.stack(queries["v"]).astype(np.int64)
+    rows, best = tree.search(asked, queries["kth"].to_numpy(), k)
+    found = rows >= 0
     which = np.nonzero(found)[0]
     return pd.DataFrame(
         {
             "query": queries["point"].to_numpy()[which],
             "vec_id": points["point"].to_numpy()[rows[found]],
-            "score": best[found].astype(np.int64),
+            "score": best[found],
         }
     )
 
@@ -192,6 +205,15 @@ def _shards(points: DataFrame, pivots: int, shard_points: int) -> DataFrame:
     )
 
 
+def repeated(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """``point, v, shard, block``: points once per block of queries that asks their shard."""
+    wanted = asked.select("shard", "block").distinct()
+    blocks = wanted.groupBy("shard").agg(F.collect_list("block").alias("blocks"))
+    size = "8 + 4 * size(blocks)"
+    joined = join_side(points.select("point", "v", "shard"), blocks, ["shard"], "inner", size, "asked")
+    return joined.select("point", "v", "shard", F.explode("blocks").alias("block"))
+
+
 def top_k(
     vectors: DataFrame,
     is_query: str,
@@ -298,11 +320,12 @@ def top_k(
     width = k + 1
 
     def search(asked: DataFrame) -> DataFrame:
-        """``asked``: point, v, shard, kth. Points are repeated for every block of queries."""
+        """``asked``: point, v, shard, kth. A shard goes to the blocks of queries that ask it."""
         block = f"CAST(pmod(xxhash64(point), {blocks}) AS INT)"
-        every = f"explode(sequence(0, {blocks - 1}))"
-        left = points.selectExpr("point", "v", "shard", f"{every} AS block")
-        right = asked.selectExpr("point", "v", "shard", "kth", f"{block} AS block")
+        right = staged(
+            asked.selectExpr("point", "v", "shard", "kth", f"{block} AS block"), "asked"
+        )
+        left = repeated(points, right)
         return (
             left.groupBy("shard", "block")
             .cogroup(right.groupBy("shard", "block"))

@@ -11,17 +11,21 @@ n rows, not n squared; :func:`example_texts` spells examples out where wanted.
 
 Any other role is written ``[INST:role]``. Inside texts and roles a backslash is put after
 the first character of whatever looks like one of these marks, and backslashes are
-doubled, so marks stand only where the template puts them and the texts can be got back.
+doubled, as is a backslash put before a bracket that closes in a role. So marks stand only
+where the template puts them, and :func:`digest` gets roles, texts and replies back from
+the formatted text and the examples' places in it, and from nothing else.
 
 Defined cases: a null text or role is empty; turns are ordered by turn number (null
 first), then role and text; repeated rows are turns of their own; rows with a null
 ``conv_id`` form one conversation; a conversation without assistant turn has no example;
-an empty table gives no rows; other columns are ignored.
+a very long text is a turn like any other; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +54,11 @@ def unescape(column: str) -> str:
     return rf"regexp_replace({column}, '(?s)\\\\(.)', '$1')"
 
 
+def escape_role(column: str) -> str:
+    """SQL for a role in its mark, which the first bare bracket closes."""
+    return rf"replace({escape(column)}, ']', '\\]')"
+
+
 def _by_role(which: int, other: str) -> str:
     cases = " ".join(
         f"WHEN '{role}' THEN {_quoted(marks[which])}" for role, marks in TEMPLATE.items()
@@ -66,7 +75,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
     ``body`` is the escaped text. Positions count from 0 in a conversation.
     """
-    opening = _by_role(0, f"concat('[INST:', {escape('role')}, '] ')")
+    opening = _by_role(0, f"concat('[INST:', {escape_role('role')}, '] ')")
     closing = _by_role(1, "' [/INST]'")
     rows = conversations.selectExpr(
         "CAST(conv_id AS BIGINT) AS conv_id",
@@ -157,73 +166,118 @@ def example_texts(turns: DataFrame, examples: DataFrame) -> DataFrame:
     )
 
 
+def formatted(turns: DataFrame) -> DataFrame:
+    """``conv_id, start, piece``: the formatted conversations, in pieces one after the other."""
+    return turns.selectExpr("conv_id", "start", "concat(opening, body, closing) AS piece")
+
+
+# A turn in the template: one of the openings, an escaped text, the closing that goes with it.
+_TURN = re.compile(
+    r"<<SYS>> (?P<system>.*?) <</SYS>>\n"
+    r"|\[INST\] (?P<user>.*?) \[/INST\]"
+    r"|\[INST:(?P<role>(?:[^\\\]]|\\.)*)\] (?P<other>.*?) \[/INST\]"
+    r"| (?P<assistant>.*?) </s>",
+    re.DOTALL,
+)
+_ESCAPED = re.compile(r"\\(.)", re.DOTALL)
+
+
+class Conversation:
+    """Reads one formatted conversation back, piece by piece."""
+
+    def __init__(self, conv_id: int | None):
+        self.conv_id = conv_id
+        self.rest, self.at = "", 0
+        self.turns = self.loss = 0
+        self.whole, self.trained = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, piece: str) -> None:
+        self.parse()
+        self.rest += piece
+
+    def parse(self) -> None:
+        """Take the turns that are complete off what has been read."""
+        done = 0
+        while found := _TURN.match(self.rest, done):
+            name = found.lastgroup
+            role = _ESCAPED.sub(r"\1", found["role"]) if name == "other" else name
+            text = _ESCAPED.sub(r"\1", found[name])
+            self.whole.update(f"{role}\n{text}\n".encode())
+            self.turns += 1
+            done = found.end()
+        self.rest, self.at = self.rest[done:], self.at + done
+
+    def train(self, place: int, length: int) -> None:
+        """A stretch of the formatted text that the loss mask covers."""
+        start = place - self.at
+        if start < 0 or start + length > len(self.rest):
+            raise ValueError(f"no such place in conversation {self.conv_id}: {place}")
+        text = _ESCAPED.sub(r"\1", self.rest[start : start + length])
+        self.loss += len(text)
+        self.trained.update(text.encode())
+
+    def close(self) -> tuple:
+        self.parse()
+        if self.rest:
+            raise ValueError(f"conversation {self.conv_id} is not in the template")
+        return (
+            self.conv_id,
+            self.turns,
+            self.whole.hexdigest(),
+            self.loss,
+            self.trained.hexdigest(),
+            self.at,
+        )
+
+
 def digest(turns: DataFrame, examples: DataFrame) -> DataFrame:
-    """What the stored turns and examples say, per conversation.
+    """What the formatted conversations and the examples' places say, per conversation.
 
-    Rows stream past in order, so a long conversation is never held whole.
+    Only the formatted text is read of the turns. It streams past in order, a piece at a
+    time, so a long conversation is never held whole; each place comes after its piece.
     """
-    marked = examples.select("conv_id", "position", "context_chars", "target_chars")
+    pieces = formatted(turns).selectExpr(
+        "conv_id", "start AS place", "0 AS kind", "piece", "CAST(NULL AS BIGINT) AS length"
+    )
+    places = examples.selectExpr(
+        "conv_id",
+        "context_chars AS place",
+        "1 AS kind",
+        "CAST(NULL AS STRING) AS piece",
+        "target_chars AS length",
+    )
     rows = (
-        turns.withColumnsRenamed({"conv_id": "_c", "position": "_p"})
-        .join(
-            marked,
-            F.col("_c").eqNullSafe(F.col("conv_id")) & (F.col("_p") == F.col("position")),
-            "left",
-        )
-        .selectExpr(
-            "_c AS conv_id",
-            "_p AS position",
-            "role",
-            f"{unescape('body')} AS text",
-            # The part of the turn that the loss mask covers, by its place.
-            f"""{unescape('''substring(concat(opening, body, closing),
-                CAST(context_chars - start + 1 AS INT), CAST(target_chars AS INT))''')}
-                AS trained""",
-            "length(opening) + length(body) + length(closing) AS chars",
-        )
+        pieces.unionByName(places)
         .repartition(partitions(turns.sparkSession), "conv_id")
-        .sortWithinPartitions("conv_id", "position")
+        .sortWithinPartitions("conv_id", "place", "kind")
     )
+    names = ["conv_id", "place", "kind", "piece", "length"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256"]
-        names += ["formatted_chars"]
-        open_, done = None, []
-
-        def close() -> None:
-            conv, n, text, loss, trained, chars = open_
-            done.append((conv, n, text.hexdigest(), loss, trained.hexdigest(), chars))
+        reader, done = None, []
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*done, strict=True)) if done else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-            kinds += [pa.int64()]
             done.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names
+                [pa.array(c, f.type) for c, f in zip(columns, _DIGEST, strict=True)],
+                schema=_DIGEST,
             )
 
         for batch in batches:
-            for conv, role, text, trained, chars in zip(
-                *(
-                    batch.column(c).to_pylist()
-                    for c in ("conv_id", "role", "text", "trained", "chars")
-                ),
-                strict=True,
-            ):
-                if open_ is None or open_[0] != conv:
-                    if open_ is not None:
-                        close()
-                    open_ = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                open_[1] += 1
-                open_[2].update(f"{role}\n{text}\n".encode())
-                open_[5] += chars
-                if trained is not None:
-                    open_[3] += len(trained)
-                    open_[4].update(trained.encode())
+            columns = (batch.column(c).to_pylist() for c in names)
+            for conv, place, kind, piece, length in zip(*columns, strict=True):
+                if reader is None or reader.conv_id != conv:
+                    if reader is not None:
+                        done.append(reader.close())
+                    reader = Conversation(conv)
+                if kind:
+                    reader.train(place, length)
+                else:
+                    reader.add(piece)
             yield flush()
-        if open_ is not None:
-            close()
+        if reader is not None:
+            done.append(reader.close())
             yield flush()
 
     return rows.mapInArrow(
@@ -231,3 +285,15 @@ def digest(turns: DataFrame, examples: DataFrame) -> DataFrame:
         "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, "
         "loss_sha256 string, formatted_chars bigint",
     )
+
+
+_DIGEST = pa.schema(
+    [
+        ("conv_id", pa.int64()),
+        ("n_turns", pa.int64()),
+        ("turns_sha256", pa.string()),
+        ("loss_chars", pa.int64()),
+        ("loss_sha256", pa.string()),
+        ("formatted_chars", pa.int64()),
+    ]
+)

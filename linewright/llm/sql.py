@@ -113,7 +113,8 @@ WITH rows AS (
     UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 sized AS (
     SELECT *, {_escaped_chars("text")} + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15
-        WHEN 'assistant' THEN 6 ELSE 16 + {_escaped_chars("role")} END AS chars
+        WHEN 'assistant' THEN 6 ELSE 16 + {_escaped_chars("role")}
+        + length(role) - length(replace(role, ']', '')) END AS chars
     FROM rows)
 SELECT conv_id, count(*) AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256,

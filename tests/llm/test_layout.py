@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from linewright.llm import ball_tree, kd_shards, prefix_chat
 from linewright.session import fresh_dir
@@ -98,6 +99,30 @@ def test_top_k(spark, monkeypatch, points, leaf):
     assert got == brute_top(rows, 20) and len(found) == len(got)
 
 
+def test_large_components(spark):
+    """Scores beyond 2^53, and vectors that share a shard with them."""
+    random = np.random.default_rng(6)
+    rows = [(i, random.normal(size=64).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(100 + i, (random.normal(size=64) * 1e6).astype(np.float32).tolist()) for i in range(9)]
+    rows += [(120, [1e6] * 64), (140, [-1e6] * 64), (141, [1e6] * 63 + [1e6 + 0.0625])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    found = ball_tree.top_k(frame, "vec_id % 20 = 0").collect()
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in found}
+    assert got == brute_top(rows, 20)
+    assert max(abs(r.score) for r in found) > 2**53
+
+
+def test_points_go_only_to_the_blocks_that_ask(spark):
+    points = spark.range(100).selectExpr("id AS point", "array(id) AS v", "id % 10 AS shard")
+    asked = spark.createDataFrame(
+        [(1, 0), (1, 0), (1, 2), (3, 1)], "shard bigint, block int"
+    )
+    got = ball_tree.repeated(points, asked).collect()
+    # Ten points of shard 1 to two blocks, ten of shard 3 to one; nothing of the others.
+    assert len(got) == 30
+    assert {(r.shard, r.block) for r in got} == {(1, 0), (1, 2), (3, 1)}
+
+
 def test_top_k_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert ball_tree.top_k(none, "vec_id % 20 = 0").count() == 0
@@ -179,6 +204,38 @@ def test_chat_examples_spelled_out(spark):
     ]
 
 
+def test_chat_is_read_from_the_formatted_text(spark):
+    """Nothing but the text is looked at: marks in the wrong place change the result."""
+    frame = spark.createDataFrame(chats(), TURNS)
+    turns = prefix_chat.format_turns(frame).drop("role")
+    examples = prefix_chat.expand_prefixes(prefix_chat.format_turns(frame))
+    got = {r.conv_id: r.n_turns for r in prefix_chat.digest(turns, examples).collect()}
+    assert got == {k: v[0] for k, v in brute_chat(chats()).items()}
+    # Escaping left out, a text's own marks are taken for the template's.
+    bare = turns.withColumn("body", F.expr(prefix_chat.unescape("body")))
+    with pytest.raises(Exception, match="not in the template|no such place"):
+        prefix_chat.digest(bare, examples).collect()
+
+
+def test_chat_roles_with_brackets(spark):
+    roles = ["a] b", "]", "[INST] x", "tool\\]", "[INST:u] ", " </s>", "x\\"]
+    rows = [(i, t, r, text) for i, r in enumerate(roles) for t, text in enumerate(["] y", " z "])]
+    turns = prefix_chat.format_turns(spark.createDataFrame(rows, TURNS))
+    found = prefix_chat.digest(turns, prefix_chat.expand_prefixes(turns)).collect()
+    got = {
+        r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in found
+    }
+    assert got == brute_chat(rows)
+
+
+def test_a_very_long_chat_text(spark):
+    text = prose(3, 100_000) + " </s> [/INST]"
+    rows = [(1, 0, "user", text), (1, 1, "assistant", text)]
+    turns = prefix_chat.format_turns(spark.createDataFrame(rows, TURNS))
+    row = prefix_chat.digest(turns, prefix_chat.expand_prefixes(turns)).first()
+    assert (row.n_turns, *row[2:5]) == (2, *brute_chat(rows)[1][1:])
+
+
 def test_chat_of_nothing(spark):
     turns = prefix_chat.format_turns(spark.createDataFrame([], TURNS))
     assert prefix_chat.digest(turns, prefix_chat.expand_prefixes(turns)).count() == 0
