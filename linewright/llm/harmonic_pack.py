@@ -35,6 +35,10 @@ from .tokens import END_ID, TOKENIZER, encoder
 CAPACITY = 4096
 # Share of a sequence that a class may leave empty before a rest is cut again.
 SLACK = 0.03
+# What a worker's encoder remembers, and the text it takes at once: packing comes after
+# other stages, whose memory the executor still has.
+ENCODER_WORDS = 200_000
+ENCODER_BYTES = 2 << 20
 
 PIECES = (
     "doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint, "
@@ -76,11 +80,11 @@ def cut_documents(
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer, tokenizer_dir)
+        words = encoder(tokenizer, tokenizer_dir, ENCODER_WORDS)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for a, b in steps(batch.column("text")):
+            for a, b in steps(batch.column("text"), ENCODER_BYTES):
                 offsets, ids = words.encode_ended(
                     batch.column("text").slice(a, b - a), end_id
                 )

@@ -55,7 +55,10 @@ class BatchEncoder:
     hold the opening of a special token's string go to the library whole.
     """
 
-    def __init__(self, name: str = TOKENIZER, folder: str | None = None):
+    def __init__(
+        self, name: str = TOKENIZER, folder: str | None = None, words: int = CACHE_WORDS
+    ):
+        self.most = words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -140,7 +143,7 @@ class BatchEncoder:
         # The library composes characters before it lower-cases them.
         kinds = coded.dictionary
         kinds = pc.if_else(pc.string_is_ascii(kinds), pc.ascii_lower(kinds), kinds)
-        if len(self.index) > CACHE_WORDS:
+        if len(self.index) > self.most:
             self._forget()
         places, tails = self._places(kinds)
         which = coded.indices.to_numpy()
@@ -173,7 +176,8 @@ class BatchEncoder:
         return moved, ended
 
 
-def encoder(name: str = TOKENIZER, folder: str | None = None) -> BatchEncoder:
+def encoder(
+    name: str = TOKENIZER, folder: str | None = None, words: int = CACHE_WORDS
+) -> BatchEncoder:
     """The worker's encoder, with the words its earlier tasks have met."""
-    return kept(("tokens", name, folder), lambda: BatchEncoder(name, folder))
-
+    return kept(("tokens", name, folder, words), lambda: BatchEncoder(name, folder, words))
