@@ -36,7 +36,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return harmonic_pack.pack(docs)
+    # The executors still have the memory of the stages before.
+    return harmonic_pack.pack(docs, encoder_words=200_000, encoder_bytes=2 << 20)
 
 
 STAGES = [

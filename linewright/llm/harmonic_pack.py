@@ -29,16 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.lookup import attach
-from .common import frugal, staged, steps
-from .tokens import END_ID, TOKENIZER, encoder
+from .common import STEP_BYTES, frugal, staged, steps
+from .tokens import CACHE_WORDS, END_ID, TOKENIZER, encoder
 
 CAPACITY = 4096
 # Share of a sequence that a class may leave empty before a rest is cut again.
 SLACK = 0.03
-# What a worker's encoder remembers, and the text it takes at once: packing comes after
-# other stages, whose memory the executor still has.
-ENCODER_WORDS = 200_000
-ENCODER_BYTES = 2 << 20
 
 PIECES = (
     "doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint, "
@@ -72,19 +68,22 @@ def cut_documents(
     tokenizer_dir: str | None = None,
     end_id: int = END_ID,
     with_ids: bool = False,
+    encoder_words: int = CACHE_WORDS,
+    encoder_bytes: int = STEP_BYTES,
 ) -> DataFrame:
     """One row per piece, with its class and its number within class and task.
 
     ``with_ids`` adds the ids themselves. The rows are stored: a piece keeps its
-    number even if executors are lost afterwards.
+    number even if executors are lost afterwards. ``encoder_words`` and ``encoder_bytes``
+    bound what a worker remembers and takes at once: less memory for more time.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer, tokenizer_dir, ENCODER_WORDS)
+        words = encoder(tokenizer, tokenizer_dir, encoder_words)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for a, b in steps(batch.column("text"), ENCODER_BYTES):
+            for a, b in steps(batch.column("text"), encoder_bytes):
                 offsets, ids = words.encode_ended(
                     batch.column("text").slice(a, b - a), end_id
                 )
