@@ -3,6 +3,8 @@
 from .operators.carried import carry_event_time, with_rolling_year
 from .operators.export import export_lines
 from .operators.grams import gram_index, search_indexed
+from .operators.grok import GrokFormat, parse_grok
+from .operators.mining import mined_templates
 from .operators.parse import detect_formats, parse_logs
 from .operators.positions import (
     goto_line,
@@ -23,7 +25,14 @@ from .operators.search import (
 )
 from .operators.stats import file_summary, level_counts, line_counts
 from .operators.templates import parse_pattern, similar_lines
-from .operators.terms import Has, Matches, search_regex, search_terms
+from .operators.terms import (
+    Has,
+    Matches,
+    regex_matches,
+    search_regex,
+    search_terms,
+    term_spans,
+)
 from .operators.timeline import (
     frequency,
     read_timed,
@@ -46,6 +55,7 @@ from .sources.text_lines import number_lines, read_log_lines, scan_lines
 from .streaming.follow import follow, follow_segments, live_level_counts, tail_lines
 
 __all__ = [
+    "GrokFormat",
     "Has",
     "Matches",
     "SavedSearch",
@@ -70,9 +80,11 @@ __all__ = [
     "match_count",
     "match_page",
     "match_spans",
+    "mined_templates",
     "next_match",
     "nth_match",
     "number_lines",
+    "parse_grok",
     "parse_logs",
     "parse_pattern",
     "prev_match",
@@ -81,6 +93,7 @@ __all__ = [
     "read_manifest",
     "read_parsed",
     "read_timed",
+    "regex_matches",
     "save_search",
     "scan_lines",
     "scratch",
@@ -95,6 +108,7 @@ __all__ = [
     "stale_files",
     "store_timed",
     "tail_lines",
+    "term_spans",
     "time_range",
     "with_event_time",
     "with_rolling_year",

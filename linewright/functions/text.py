@@ -63,14 +63,55 @@ def match_spans(value: str, needle: str) -> str:
         f"transform(k, x -> x + before - {step} + 1))"
     )
     starts = sql.case(
-        [(f"size(p) <= {_BLOCK} + 1", few)], f"flatten({_let('e', ends, many)})"
+        [(f"size(p) <= {_BLOCK} + 1", few)], f"flatten({let('e', ends, many)})"
     )
     return sql.case(
-        [(contains_ignoring_case(value, needle), _let("p", pieces, starts))],
+        [(contains_ignoring_case(value, needle), let("p", pieces, starts))],
         "CAST(array() AS array<int>)",
     )
 
 
+# Two code points that stand for no character; around each match they part it from the rest.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+
+
+def regex_spans(value: str, pattern: str) -> str:
+    """``start, length`` of every match of a (Java) expression, left to right.
+
+    Starts are 1-based characters. Matches of no character are left out. Every match is put
+    between two marks and the text cut at the first of them: a start is the one before plus
+    what lies between the two. Starts are summed up in blocks, as for :func:`match_spans`.
+    The marks themselves, which no text should hold, count as unknown characters.
+    """
+    clean = f"translate({value}, '{_OPEN}{_CLOSE}', '\ufffd\ufffd')"
+    marked = f"regexp_replace({clean}, {sql.text(pattern)}, '{_OPEN}$0{_CLOSE}')"
+    pieces = f"split({marked}, '{_OPEN}', -1)"
+    # From the start of the text to the first match, then from each match to the next.
+    gaps = (
+        "transform(slice(p, 1, size(p) - 1), (x, i) -> "
+        "char_length(x) + CASE WHEN i = 0 THEN 1 ELSE -1 END)"
+    )
+    lengths = f"transform(slice(p, 2, size(p) - 1), x -> instr(x, '{_CLOSE}') - 1)"
+    blocks = (
+        f"transform(sequence(0, (size(g) - 1) div {_BLOCK}), "
+        f"b -> slice(g, b * {_BLOCK} + 1, {_BLOCK}))"
+    )
+    ends = f"transform({blocks}, k -> {_running('k', 'x')})"
+    totals = _running("e", "element_at(x, -1)")
+    starts = (
+        f"flatten(zip_with(e, slice(concat(array(0), {totals}), 1, size(e)), "
+        f"(k, before) -> transform(k, x -> x + before)))"
+    )
+    paired = (
+        f"filter(zip_with({starts}, {lengths}, (s, n) -> named_struct('start', s, "
+        "'length', n)), m -> m.length > 0)"
+    )
+    found = let("g", gaps, let("e", ends, paired))
+    none = "CAST(array() AS array<struct<start:int,length:int>>)"
+    some = let("p", pieces, sql.case([("size(p) > 1", found)], none))
+    return sql.case([(sql.matches(value, pattern), some)], none)
+
+
 def _running(values: str, gap: str) -> str:
     """Running sum of an integer expression of ``x`` over an array."""
     last = "coalesce(try_element_at(acc, -1), 0)"
@@ -80,6 +121,6 @@ def _running(values: str, gap: str) -> str:
     )
 
 
-def _let(name: str, value: str, body: str) -> str:
+def let(name: str, value: str, body: str) -> str:
     """``body`` with a lambda variable bound to ``value``: it is computed once."""
     return f"transform(array({value}), {name} -> {body})[0]"

@@ -6,8 +6,8 @@ yields the lines completed since. Rows: ``path, byte_offset, value, head``; ``he
 is the start of the file's first line, from which the format is told.
 
 A file that is smaller than when last looked at was replaced and is read from its
-start. (One replaced by a file of the same size or a larger one can't be told from one
-that grew.) A path that is missing keeps its place while the query runs. At a restart its
+start. So was one, of whatever size, whose first bytes are others: offsets hold digests of
+them, up to the first kilobyte. A path that is missing keeps its place while the query runs. At a restart its
 place would be lost and the file read again when it is back, so that is an error,
 unless the option ``missing`` is ``skip``.
 
@@ -17,6 +17,7 @@ every executor must see them) or URIs; see :func:`open_file` for the schemes.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import sys
 from concurrent.futures import ThreadPoolExecutor
@@ -33,6 +34,8 @@ LOOKBACK = 1 << 16
 STAT_THREADS = 32
 TASK_BYTES = 64 * CHUNK
 BATCH_LINES = 50_000
+# Digests are kept of so many first bytes of a file, as far as it has them.
+HEADS = (4, 32, 256, 1024)
 
 # Longest start of a trimmed first line that format detection looks at.
 HEAD_CHARS = 64
@@ -94,6 +97,20 @@ def split_path(path: str) -> tuple[str, str, str]:
     return kind, authority, slash + inner
 
 
+def heads_of(source, size: int) -> tuple[str, ...]:
+    """Digests of a file's first bytes, one for each of ``HEADS`` that it is long enough for."""
+    first = source.read_at(min(HEADS[-1], size), 0)
+    return tuple(
+        hashlib.blake2b(first[:n], digest_size=6).hexdigest() for n in HEADS if n <= size
+    )
+
+
+def same_file(old: tuple, new: tuple) -> bool:
+    """Whether a file's state may follow from an earlier one by appending to it."""
+    pairs = zip(old[2:], new[2:], strict=False)
+    return new[0] >= old[0] and all(a == b for a, b in pairs)
+
+
 def end_of_lines(path: str, seen: tuple | None = None) -> tuple | None:
     """``(size, byte after the last LF)`` of a file, None if there is no file.
 
@@ -105,33 +122,52 @@ def end_of_lines(path: str, seen: tuple | None = None) -> tuple | None:
     except FileNotFoundError:
         return None
     with source:
-        if seen is not None and seen[0] == size:
-            return seen
-        floor = seen[1] if seen is not None and seen[0] < size else 0
-        end = size
-        while end > floor:
-            start = max(floor, end - LOOKBACK)
-            cut = source.read_at(end - start, start).rfind(b"\n")
-            if cut >= 0:
-                return size, start + cut + 1
-            end = start
-        return size, floor
+        return _line_end(source, size, seen)
+
+
+def _line_end(source, size: int, seen: tuple | None) -> tuple:
+    if seen is not None and seen[0] == size:
+        return seen
+    floor = seen[1] if seen is not None and seen[0] < size else 0
+    end = size
+    while end > floor:
+        start = max(floor, end - LOOKBACK)
+        cut = source.read_at(end - start, start).rfind(b"\n")
+        if cut >= 0:
+            return size, start + cut + 1
+        end = start
+    return size, floor
+
+
+def state_of(path: str, seen: tuple | None = None) -> tuple | None:
+    """``(size, byte after the last LF, *heads)`` of a file, None if there is no file.
+
+    Of a file that is the one ``seen`` before, only the first bytes are read, and what came
+    after its last LF.
+    """
+    try:
+        source, size = open_file(path)
+    except FileNotFoundError:
+        return None
+    with source:
+        heads = heads_of(source, size)
+        known = seen is not None and same_file(seen, (size, 0, *heads))
+        return *_line_end(source, size, tuple(seen[:2]) if known else None), *heads
 
 
 def spans(start: dict, end: dict) -> list[tuple]:
     """``(path, lower, stop)`` of the bytes between two offsets, by path.
 
-    Offsets hold ``[size, end of lines]`` of each path. A file whose size is less than it
-    was, whatever its last line end, was replaced and is read from its start.
+    Offsets hold ``[size, end of lines, *heads]`` of each path. A file that is not the same
+    or whose size is less than it was, whatever its last line end, was replaced and is read
+    from its start.
     """
     found = []
     for path in sorted(end):
-        size, stop = end[path]
-        old_size, lower = start.get(path, (0, 0))
-        if size < old_size:
-            lower = 0
-        if lower < stop:
-            found.append((path, lower, stop))
+        old = start.get(path, (0, 0))
+        lower = old[1] if same_file(old, end[path]) else 0
+        if lower < end[path][1]:
+            found.append((path, lower, end[path][1]))
     return found
 
 
@@ -300,7 +336,7 @@ class TailReader(DataSourceStreamReader):
 
     def latestOffset(self):
         def look(path):
-            return path, end_of_lines(path, self.seen.get(path))
+            return path, state_of(path, self.seen.get(path))
 
         with ThreadPoolExecutor(STAT_THREADS) as pool:
             found = dict(pool.map(look, self.paths))

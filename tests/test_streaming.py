@@ -122,7 +122,8 @@ def test_start_at_the_end(spark, tmp_path):
     log = tmp_path / "a.log"
     log.write_bytes(b"INFO old\n")
     reader = tail.TailReader({"paths": f'["{log}"]', "startingposition": "end"})
-    assert reader.initialOffset() == {str(log): [9, 9]}
+    # Digests of the first bytes follow.
+    assert {p: s[:2] for p, s in reader.initialOffset().items()} == {str(log): [9, 9]}
     assert reader.latestOffset() == {str(log): [9, 9]}
 
 

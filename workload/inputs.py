@@ -99,6 +99,27 @@ def with_odd(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
     return file_lines(spark, sf_dir, path).unionAll(odd_lines(spark, sf_dir))
 
 
+# Lines with words of documents in some places; ``<w>`` is the n-th word.
+WORDY = (
+    "fetch <1> for <source> in <lang> done",
+    "fetch <2> for <source> gave up",
+    "worker <lang> says <3> and <1> at 12:30",
+    "cache <lang> is full",
+)
+
+
+def wordy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line per document, with words of its text in places that vary."""
+    value = f"element_at(array({sql.texts(WORDY)}), CAST(doc_id % {len(WORDY)} AS INT) + 1)"
+    for n in (1, 2, 3):
+        value = f"replace({value}, '<{n}>', split_part(text, ' ', {n}))"
+    for name in ("source", "lang"):
+        value = f"replace({value}, '<{name}>', coalesce({name}, ''))"
+    return table(spark, sf_dir, "documents").selectExpr(
+        "'words.log' AS path", "doc_id + 1 AS line_number", f"{value} AS value"
+    )
+
+
 # Where the stamps of ``yearless_lines`` start, and seconds from line to line.
 FIRST_YEAR, STEP_SECS = 2019, 37_003
 FIRST_TIME = f"{FIRST_YEAR}-11-05 08:00:00"

@@ -7,6 +7,8 @@ character after it.
 
 from __future__ import annotations
 
+from linewright.operators.mining import MAX_WORDS, VARIES
+
 from . import inputs, queries, shapes
 
 # The patterns in RE2 form.
@@ -393,6 +395,66 @@ _FOLLOWED = "file_id, byte_offset, value, format, level, ts_text"
 _offset, _limit = queries.PAGE
 _key = "path, line_number, "
 
+def _wordy() -> str:
+    value = f"[{', '.join(map(lit, inputs.WORDY))}][doc_id % {len(inputs.WORDY)} + 1]"
+    for n in (1, 2, 3):
+        value = f"replace({value}, '<{n}>', split_part(text, ' ', {n}))"
+    for name in ("source", "lang"):
+        value = f"replace({value}, '<{name}>', coalesce({name}, ''))"
+    return f"SELECT 'words.log' AS path, doc_id + 1 AS line_number, {value} AS value FROM documents"
+
+
+def _mined(places: int) -> str:
+    """The tree of words, place by place, as one query after the other."""
+    steps = []
+    for p in range(places):
+        steps.append(
+            f"w{p} AS (SELECT size, words[1:{p}] AS prefix, words[{p + 1}] AS word, "
+            f"sum(n) AS m FROM k{p} WHERE size > {p} GROUP BY ALL), "
+            f"v{p} AS (SELECT size, prefix, word FROM w{p} QUALIFY "
+            f"count(*) OVER (PARTITION BY size, prefix) > {MAX_WORDS} AND "
+            f"m * {MAX_WORDS} < sum(m) OVER (PARTITION BY size, prefix)), "
+            f"k{p + 1} AS (SELECT k.size, CASE WHEN v.size IS NULL THEN words ELSE "
+            f"words[1:{p}] || ['{VARIES}'] || words[{p + 2}:] END AS words, "
+            f"sum(n) AS n, min(e) AS e FROM k{p} k LEFT JOIN v{p} v ON k.size = v.size "
+            f"AND words[1:{p}] = v.prefix AND words[{p + 1}] = v.word GROUP BY ALL)"
+        )
+    return (
+        f"WITH l AS ({_wordy()}), k0 AS (SELECT len(words) AS size, words, count(*) AS n, "
+        "min(struct_pack(path, line_number)) AS e FROM (SELECT *, "
+        f"string_split({masked('value')}, ' ') AS words FROM l) GROUP BY ALL), "
+        + ", ".join(steps)
+        + " SELECT array_to_string(words, ' ') AS template, n::BIGINT AS n, l.path, "
+        f"l.line_number, l.value FROM k{places} JOIN l "
+        "ON l.path = e.path AND l.line_number = e.line_number"
+    )
+
+
+def regex_spans(lines: str, pattern: str, extra: bool) -> str:
+    m, g = f"regexp_extract_all(value, {lit(pattern)})", f"string_split_regex(value, {lit(pattern)})"
+    length = "list_sum(list_transform({}, lambda x: length(x)))".format
+    before = "1 + {} + coalesce({}, 0)".format
+    last = before(length("g[1:len(m)]"), length("m[1:len(m) - 1]"))
+    each = before(length("g[1:i]"), length("m[1:i - 1]"))
+    more = (
+        f", coalesce(list_sum(list_transform(range(1, len(m) + 1), lambda i: {each})), 0)::BIGINT "
+        f"AS span_sum, coalesce({length('m')}, 0)::BIGINT AS chars"
+    )
+    return (
+        "SELECT path, line_number, len(m)::BIGINT AS n_spans, "
+        "(CASE WHEN len(m) = 0 THEN 0 ELSE length(g[1]) + 1 END)::BIGINT AS first_span, "
+        f"(CASE WHEN len(m) = 0 THEN 0 ELSE {last} END)::BIGINT AS last_span"
+        f"{more if extra else ''} FROM (SELECT path, line_number, {m} AS m, {g} AS g FROM ({lines}))"
+    )
+
+
+_APP = r"^([0-9-]{10}[T ][0-9:.]+) (\w+) user=([0-9]+) (.*)"
+
+
+def _grok_field(n: int) -> str:
+    return f"regexp_extract(value, {lit(_APP)}, {n})"
+
+
 ORACLE = {
     "scan_lines": f"SELECT {_FILE} AS file_id, value FROM ({_LINES})",
     "scan_nested": f"SELECT {_FILE} AS file_id, value FROM ({_LINES})",
@@ -545,6 +607,17 @@ ORACLE = {
         ).replace("AS user", 'AS "user"')
         + f" FROM ({with_odd('app.log')})"
     ),
+    "parse_grok": (
+        "SELECT path, line_number, CASE WHEN path = 'app.log' THEN 'app' ELSE format END AS format, "
+        f"CASE WHEN path <> 'app.log' THEN level ELSE CASE lower({_grok_field(2)}) "
+        "WHEN 'error' THEN 'error' WHEN 'warn' THEN 'warn' WHEN 'info' THEN 'info' "
+        "WHEN 'debug' THEN 'debug' ELSE 'unknown' END END AS level, "
+        f"CASE WHEN path = 'app.log' THEN {_grok_field(1)} ELSE ts_text END AS ts_text, "
+        f"CASE WHEN path = 'app.log' THEN {_grok_field(3)} END AS user, "
+        f"CASE WHEN path = 'app.log' THEN nullif({_grok_field(4)}, '') END AS props "
+        f"FROM ({PARSED})"
+    ).replace("AS user,", 'AS "user",'),
+    "mined_templates": _mined(12),
     "similar_lines": f"SELECT {_KIND} FROM ({KINDS})",
     "similar_lines_top": (
         f"SELECT {_KIND} FROM ({KINDS}) ORDER BY n DESC, template LIMIT {queries.TOP}"
@@ -582,6 +655,12 @@ ORACLE = {
         "SELECT doc_id AS path, 1::BIGINT AS line_number, text AS value FROM documents",
         queries.SPAN_NEEDLE,
     ),
+    "match_spans_regex": regex_spans(PARSED, queries.SPAN_REGEX, True),
+    "match_spans_regex_documents": regex_spans(
+        "SELECT doc_id AS path, 1::BIGINT AS line_number, text AS value FROM documents",
+        queries.DOCUMENT_REGEX,
+        False,
+    ),
     "log_view": f"SELECT {_key}coalesce(ts_text, '') AS ts_text, value FROM ({PARSED})",
     "level_counts": (
         "SELECT path, "
@@ -633,6 +712,14 @@ ORACLE = {
         )
         + ")"
     ),
+    "follow_replaced_larger": (
+        f"SELECT {_FOLLOWED} FROM ({SEGMENTS}) UNION ALL SELECT {_FOLLOWED} FROM ("
+        + parsed(
+            segment(f"SELECT * FROM ({all_lines()}) WHERE (line_number - 1) % 3 = 1"),
+            "path, line_number, value, file_id, byte_offset",
+        )
+        + ")"
+    ),
     "follow_level_counts": (
         f"SELECT file_id, level, count(*) AS n FROM ({APP_SEGMENTS}) GROUP BY ALL"
     ),

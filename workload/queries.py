@@ -40,6 +40,14 @@ REGEX = r"user=[0-9]*7\b|Tag: (error|view)$"
 TERM_REGEX = "level\":\"WARN.*sign"
 USER_PATTERN = r"(?P<clock>[0-9]{2}:[0-9]{2}):[0-9.]+ (?P<word>[A-Za-z]+) user=(?P<user>[0-9]+)"
 TOP = 5
+SPAN_REGEX = r"[a-z]+=[0-9]+|E[A-Z]+|[0-9]{2}:"
+DOCUMENT_REGEX = "[a-z]*e[rn]"
+APP_FORMAT = lw.GrokFormat(
+    "app",
+    "%{TIMESTAMP:at} %{WORD:word} user=%{INT:user} %{REST:props}",
+    level="word",
+    stamp="at",
+)
 YEAR = 2024
 UNFINISHED = 0.71
 GROWTH = (0.35, 0.6, 1.0)
@@ -469,6 +477,41 @@ def similar_lines_top(spark, sf_dir) -> DataFrame:
     return lw.similar_lines(inputs.parsed_table(spark, sf_dir), TOP)
 
 
+def mined_templates(spark, sf_dir) -> DataFrame:
+    return lw.mined_templates(inputs.wordy_lines(spark, sf_dir))
+
+
+def match_spans_regex(spark, sf_dir) -> DataFrame:
+    spans = lw.regex_matches(inputs.parsed_table(spark, sf_dir), SPAN_REGEX)
+    starts = spans.select(
+        "path", "line_number", F.expr("spans.start").alias("spans"), F.expr("spans.length").alias("l")
+    )
+    chars = F.aggregate("l", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return _span_columns(starts).join(
+        starts.select("path", "line_number", chars.alias("chars")), ["path", "line_number"]
+    )
+
+
+def match_spans_regex_documents(spark, sf_dir) -> DataFrame:
+    """Places of an expression in whole document texts, thousands to a text."""
+    documents = inputs.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("path"),
+        F.lit(1).cast("bigint").alias("line_number"),
+        F.col("text").alias("value"),
+    )
+    spans = lw.regex_matches(documents, DOCUMENT_REGEX)
+    return _span_columns(
+        spans.select("path", "line_number", F.expr("spans.start").alias("spans"))
+    ).drop("span_sum")
+
+
+def parse_grok(spark, sf_dir) -> DataFrame:
+    """One file by a pattern, the others as ever."""
+    parsed = lw.parse_grok(inputs.all_lines(spark, sf_dir), [APP_FORMAT])
+    user, props = (F.try_element_at("fields", F.lit(n)).alias(n) for n in ("user", "props"))
+    return parsed.select("path", "line_number", "format", "level", "ts_text", user, props)
+
+
 # --- time ---------------------------------------------------------------------------
 
 
@@ -674,6 +717,18 @@ def follow_rotated(spark, sf_dir) -> DataFrame:
     )
 
 
+def follow_replaced_larger(spark, sf_dir) -> DataFrame:
+    """Files that are replaced by larger ones: the lines of both are there."""
+    source = inputs.run_dir(spark, "growing")
+    lines = _segments(spark, sf_dir)
+    return _follow_two(
+        spark,
+        lambda: inputs.file_paths(spark, source),
+        lambda: inputs.write_files(lines.filter("position % 3 = 1"), source),
+        lambda: inputs.write_files(lines, source),
+    )
+
+
 def follow_level_counts(spark, sf_dir) -> DataFrame:
     out, checkpoint = (inputs.run_dir(spark, p) for p in ("out", "checkpoint"))
     _grow_and_follow(
@@ -774,7 +829,9 @@ QUERIES = {
     "search_regex": search_regex,
     "search_terms": search_terms,
     "parse_pattern": parse_pattern,
+    "parse_grok": parse_grok,
     "similar_lines": similar_lines,
+    "mined_templates": mined_templates,
     "similar_lines_top": similar_lines_top,
     "event_time": event_time,
     "time_range": time_range,
@@ -783,6 +840,8 @@ QUERIES = {
     "errors_over_time": errors_over_time,
     "match_spans": match_spans,
     "match_spans_documents": match_spans_documents,
+    "match_spans_regex": match_spans_regex,
+    "match_spans_regex_documents": match_spans_regex_documents,
     "log_view": log_view,
     "level_counts": level_counts,
     "search_counts": search_counts,
@@ -801,6 +860,7 @@ QUERIES = {
     "follow_filter": follow_filter,
     "follow_unfinished": follow_unfinished,
     "follow_rotated": follow_rotated,
+    "follow_replaced_larger": follow_replaced_larger,
     "follow_level_counts": follow_level_counts,
     "follow_search_counts": follow_search_counts,
     "follow_errors_over_time": follow_errors_over_time,
