@@ -52,7 +52,13 @@ from .plans.ingest import (
 from .session import scratch
 from .sources.listing import list_files
 from .sources.text_lines import number_lines, read_log_lines, scan_lines
-from .streaming.follow import follow, follow_segments, live_level_counts, tail_lines
+from .streaming.follow import (
+    follow,
+    follow_folder,
+    follow_segments,
+    live_level_counts,
+    tail_lines,
+)
 
 __all__ = [
     "GrokFormat",
@@ -65,6 +71,7 @@ __all__ = [
     "export_lines",
     "file_summary",
     "follow",
+    "follow_folder",
     "follow_segments",
     "frequency",
     "goto_line",

@@ -11,7 +11,8 @@ from ..functions.text import clean_line
 from ..operators.parse import parse_logs, pin_level
 from ..sources.text_lines import file_uri
 from ..session import qualified
-from .tail import TailSource, split_path
+from .folder import FolderSource
+from .tail import TASK_BYTES, TailSource, split_path
 
 
 def tail_lines(
@@ -52,7 +53,55 @@ def follow(
     Without ``format`` each file's own is told from its name and first line, so
     appended lines never change it and a replaced file may.
     """
-    lines = tail_lines(spark, paths, **options)
+    return _parse_tail(tail_lines(spark, paths, **options), format)
+
+
+def follow_folder(
+    spark: SparkSession,
+    folder: str,
+    state: str,
+    format: str | None = None,
+    pattern: str = "*",
+    batch_bytes: int | None = None,
+    task_bytes: int = TASK_BYTES,
+    missing: str = "error",
+) -> DataFrame:
+    """Stream of parsed lines, as of :func:`follow`, of all files below a folder.
+
+    New files join, and a batch reads at most ``batch_bytes`` (by default ``task_bytes``
+    for every core). ``state`` is a folder of this query alone, as its checkpoint is, and
+    is kept as long. With ``missing="skip"`` planned lines of a file that was removed
+    before they were read are left out, instead of ending the query.
+
+    With ``trigger(availableNow=True)`` a run takes one batch; ``append_until_idle`` goes on
+    until nothing is left.
+    """
+    folder, state = (qualified(spark, path).rstrip("/") for path in (folder, state))
+    for path in (folder, state):
+        split_path(path)
+    if f"{state}/".startswith(f"{folder}/"):
+        raise ValueError(f"the state folder must not lie in the folder it follows: {state}")
+    if missing not in ("error", "skip"):
+        raise ValueError(f"missing is error or skip, not {missing}")
+    cores = spark.sparkContext.defaultParallelism
+    batch_bytes = task_bytes * cores if batch_bytes is None else batch_bytes
+    if batch_bytes < 1 or task_bytes < 1:
+        raise ValueError("a batch and a task take at least one byte")
+    spark.dataSource.register(FolderSource)
+    reader = (
+        spark.readStream.format(FolderSource.name())
+        .option("folder", folder)
+        .option("state", state)
+        .option("pattern", pattern)
+        .option("batchBytes", str(batch_bytes))
+        .option("taskBytes", str(task_bytes))
+        .option("tasks", str(cores))
+        .option("missing", missing)
+    )
+    return _parse_tail(reader.load(), format)
+
+
+def _parse_tail(lines: DataFrame, format: str | None) -> DataFrame:
     if format is None:
         told = detect_format("path", "head")
         lines = lines.withColumn("format", F.expr(told))

@@ -21,6 +21,21 @@ def append_available(stream: DataFrame, folder: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def append_until_idle(stream: DataFrame, folder: str, checkpoint: str) -> int:
+    """Append batch after batch until a look finds nothing new; the number of batches."""
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", folder)
+        .option("checkpointLocation", checkpoint)
+        .start()
+    )
+    try:
+        query.processAllAvailable()
+        return sum(1 for p in query.recentProgress if p.numInputRows)
+    finally:
+        query.stop()
+
+
 def refresh_available(totals: DataFrame, folder: str, checkpoint: str) -> None:
     """Keep the running totals of a stream in a folder, then stop.
 

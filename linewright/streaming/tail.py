@@ -37,7 +37,8 @@ BATCH_LINES = 50_000
 # Digests are kept of so many first bytes of a file, as far as it has them.
 HEADS = (4, 32, 256, 1024)
 
-# Longest start of a trimmed first line that format detection looks at.
+# Start of a trimmed first line that is kept. No format is told by more than its first 22
+# characters (a test holds the patterns to this), so the rest can't change the format.
 HEAD_CHARS = 64
 
 # What the JVM-side trim treats as white space, as a Python strip set.
@@ -47,20 +48,35 @@ _SPACE = (
 )
 
 
-def open_file(path: str):
-    """Random-access input of a local path or URI, and its current size."""
+def file_system(path: str):
+    """File system of a local path or URI, and the path within it."""
     from pyarrow import fs
 
     kind, authority, inner = split_path(path)
     if kind == "local":
-        system = fs.LocalFileSystem()
-    elif kind == "s3":
-        system, inner = fs.S3FileSystem(), f"{authority}{inner}"
-    elif kind == "gs":
-        system, inner = fs.GcsFileSystem(), f"{authority}{inner}"
-    else:
-        host, _, port = authority.partition(":")
-        system = fs.HadoopFileSystem(host or "default", int(port or 0))
+        return fs.LocalFileSystem(), inner
+    if kind == "s3":
+        return fs.S3FileSystem(), f"{authority}{inner}"
+    if kind == "gs":
+        return fs.GcsFileSystem(), f"{authority}{inner}"
+    if kind == "azure":
+        container, account = azure_names(authority)
+        return fs.AzureFileSystem(account), f"{container}{inner}"
+    host, _, port = authority.partition(":")
+    return fs.HadoopFileSystem(host or "default", int(port or 0)), inner
+
+
+def azure_names(authority: str) -> tuple[str, str]:
+    """Container and account of ``container@account.dfs.core.windows.net``."""
+    container, at, host = authority.partition("@")
+    if not (container and at and host):
+        raise ValueError(f"not container@account: {authority}")
+    return container, host.partition(".")[0]
+
+
+def open_file(path: str):
+    """Random-access input of a local path or URI, and its current size."""
+    system, inner = file_system(path)
     source = system.open_input_file(inner)
     return source, source.size()
 
@@ -72,6 +88,8 @@ SCHEMES = {
     "s3a": "s3",
     "s3n": "s3",
     "gs": "gs",
+    "abfs": "azure",
+    "abfss": "azure",
     "hdfs": "hdfs",
     "viewfs": "hdfs",
 }
@@ -173,8 +191,12 @@ def spans(start: dict, end: dict) -> list[tuple]:
 
 def cut_ranges(start: dict, end: dict, task_bytes: int = TASK_BYTES) -> list[tuple]:
     """``(path, lower, upper, stop, at a line's start)`` byte ranges between two offsets."""
+    return cut_spans(spans(start, end), task_bytes)
+
+
+def cut_spans(found: list[tuple], task_bytes: int) -> list[tuple]:
     ranges = []
-    for path, first, stop in spans(start, end):
+    for path, first, stop in found:
         lower = first
         while lower < stop:
             upper = min(lower + task_bytes, stop)
@@ -187,10 +209,14 @@ def cut_ranges(start: dict, end: dict, task_bytes: int = TASK_BYTES) -> list[tup
 
 def pack_ranges(start: dict, end: dict, task_bytes: int, tasks: int) -> list[list]:
     """Ranges for each task: large files are cut, small ones share a task."""
-    total = sum(stop - lower for _, lower, stop in spans(start, end))
+    return pack_spans(spans(start, end), task_bytes, tasks)
+
+
+def pack_spans(found: list[tuple], task_bytes: int, tasks: int) -> list[list]:
+    total = sum(stop - lower for _, lower, stop in found)
     share = min(task_bytes, max(CHUNK, -(-total // tasks)))
     packed, size = [], share
-    for one in cut_ranges(start, end, share):
+    for one in cut_spans(found, share):
         length = one[2] - one[1]
         if size + length > share:
             packed.append([])

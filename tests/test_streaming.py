@@ -166,6 +166,11 @@ def test_schemes():
     assert tail.split_path("s3a://bucket/a b+%.log") == ("s3", "bucket", "/a b+%.log")
     assert tail.split_path("hdfs://h:8020/x y") == ("hdfs", "h:8020", "/x y")
     assert tail.split_path("gs://b/x") == ("gs", "b", "/x")
+    azure = tail.split_path("abfss://c@a.dfs.core.windows.net/x y")
+    assert azure == ("azure", "c@a.dfs.core.windows.net", "/x y")
+    assert tail.azure_names(azure[1]) == ("c", "a")
+    with pytest.raises(ValueError, match="container"):
+        tail.azure_names("a.dfs.core.windows.net")
     for path in ("wasbs://c@a/x", "dbfs:/x"):
         with pytest.raises(ValueError, match=path.partition(":")[0]):
             tail.split_path(path)

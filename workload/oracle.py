@@ -720,6 +720,7 @@ ORACLE = {
         )
         + ")"
     ),
+    "follow_folder": f"SELECT {_FOLLOWED} FROM ({SEGMENTS})",
     "follow_level_counts": (
         f"SELECT file_id, level, count(*) AS n FROM ({APP_SEGMENTS}) GROUP BY ALL"
     ),

@@ -50,6 +50,7 @@ APP_FORMAT = lw.GrokFormat(
 )
 YEAR = 2024
 UNFINISHED = 0.71
+BATCHES = 12
 GROWTH = (0.35, 0.6, 1.0)
 DATE = "2024-02-03"
 RANGE = ("2024-01-05 00:00:00", "2024-01-20 12:30:00")
@@ -729,6 +730,31 @@ def follow_replaced_larger(spark, sf_dir) -> DataFrame:
     )
 
 
+def follow_folder(spark, sf_dir) -> DataFrame:
+    """A folder in bounded batches, with a restart between; files grow and join meanwhile."""
+    source, state, out, checkpoint = (
+        inputs.run_dir(spark, p) for p in ("growing", "state", "out", "checkpoint")
+    )
+    lines = _segments(spark, sf_dir)
+
+    def stream() -> DataFrame:
+        there = lw.list_files(spark, source).agg(F.sum("file_size")).first()[0]
+        return lw.follow_folder(spark, source, state, batch_bytes=1 + there // BATCHES)
+
+    inputs.write_files(lines.filter("file NOT LIKE 'svc%'"), source, share=0.6)
+    sinks.append_available(stream(), out, checkpoint)
+    inputs.write_files(lines, source)
+    sinks.append_until_idle(stream(), out, checkpoint)
+    return spark.read.parquet(out).select(
+        inputs.file_id(F.col("path")).alias("file_id"),
+        "byte_offset",
+        "value",
+        "format",
+        "level",
+        "ts_text",
+    )
+
+
 def follow_level_counts(spark, sf_dir) -> DataFrame:
     out, checkpoint = (inputs.run_dir(spark, p) for p in ("out", "checkpoint"))
     _grow_and_follow(
@@ -861,6 +887,7 @@ QUERIES = {
     "follow_unfinished": follow_unfinished,
     "follow_rotated": follow_rotated,
     "follow_replaced_larger": follow_replaced_larger,
+    "follow_folder": follow_folder,
     "follow_level_counts": follow_level_counts,
     "follow_search_counts": follow_search_counts,
     "follow_errors_over_time": follow_errors_over_time,
