@@ -6,6 +6,9 @@ one-line forms that nobody publishes: of Apache-2.0, MIT, GPL-3.0 and CC-BY-NC-4
 lines of the given test documents, of the others the same sentences with the other
 licence's name; ``ISC (short)`` is the first paragraph of the licence.
 
+``PHRASES`` are looked for beside the notices: ``(SPDX)`` is the line that names a licence by
+its identifier, ``(terms)`` and ``(under)`` have that identifier in a sentence.
+
 ``MARKS`` are the words that name a licence and its version, or that only it has: each
 must stand in a text without a gap, or the text has another licence.
 """
@@ -178,3 +181,19 @@ for _code, _long in (
         )
         TEMPLATES.setdefault(f"{_key} (short)", f"Licensed under CC {_code} {_version}.")
         MARKS[f"{_key} (short)"] = (f"cc {_code.replace('-', ' ').lower()} {_number}",)
+
+# Licences named by their identifier, in a line or a phrase; all words must be there.
+PHRASES: dict[str, str] = {}
+for _key in sorted({name.split(" (")[0] for name in TEMPLATES} - {"BSD"}):
+    _forms = {
+        "SPDX": ("SPDX-License-Identifier: {}", "identifier {}"),
+        "terms": ("terms of the {} license", "terms of the {} license"),
+        "under": ("under the {} license", "under the {} license"),
+    }
+    # Where the identifier is the name, other lines have that phrase.
+    if _key in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+        del _forms["under"]
+    for _form, (_text, _mark) in _forms.items():
+        _words = _key.replace("-", " ").replace(".", " ").lower()
+        PHRASES[f"{_key} ({_form})"] = _text.format(_key)
+        MARKS[f"{_key} ({_form})"] = (_mark.format(_words),)
