@@ -416,7 +416,7 @@ def saved_combined(spark, sf_dir) -> DataFrame:
     return (either - _saved(spark, sf_dir, "7")).matches()
 
 
-def _span_columns(spans: DataFrame) -> DataFrame:
+def _span_columns(spans: DataFrame, *more) -> DataFrame:
     total = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     return spans.select(
         "path",
@@ -429,6 +429,7 @@ def _span_columns(spans: DataFrame) -> DataFrame:
         .cast("bigint")
         .alias("last_span"),
         total.alias("span_sum"),
+        *more,
     )
 
 
@@ -488,9 +489,7 @@ def match_spans_regex(spark, sf_dir) -> DataFrame:
         "path", "line_number", F.expr("spans.start").alias("spans"), F.expr("spans.length").alias("l")
     )
     chars = F.aggregate("l", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return _span_columns(starts).join(
-        starts.select("path", "line_number", chars.alias("chars")), ["path", "line_number"]
-    )
+    return _span_columns(starts, chars.alias("chars"))
 
 
 def match_spans_regex_documents(spark, sf_dir) -> DataFrame:
