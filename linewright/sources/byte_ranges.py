@@ -34,6 +34,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Bytes a seal is made of: the file's first ones, and the last before the place.
 HEAD_BYTES = 4096
 TAIL_BYTES = 1 << 16
+# Tasks per core that look at files.
+WAVES = 4
 # Most bytes of a file that one task reads.
 RANGE_BYTES = 64 << 20
 # Endings of files that Spark's reader unpacks.
@@ -98,7 +100,9 @@ def _per_file(files: DataFrame, look: Callable, fields: list[pa.Field]) -> DataF
     schema = files.selectExpr(
         "*", *(f"CAST(NULL AS {kinds[str(f.type)]}) AS {f.name}" for f in fields)
     ).schema
-    return files.mapInArrow(run, schema)
+    # A row is a file to open: few bytes of rows would come to a single task.
+    tasks = files.sparkSession.sparkContext.defaultParallelism * WAVES
+    return files.repartition(tasks, "path").mapInArrow(run, schema)
 
 
 def line_ends(files: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_listing
 from .text_lines import file_uri, refuse_hidden
 
 
@@ -17,9 +18,10 @@ def list_files(spark: SparkSession, paths: str | list[str], **options) -> DataFr
     refuse_hidden(paths)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     reader = reader.options(**options)
+    with shared_listing(spark):
+        files = reader.load(paths)
     return (
-        reader.load(paths)
-        .select(
+        files.select(
             file_uri("_metadata.file_path").alias("path"),
             F.col("_metadata.file_size").alias("file_size"),
             F.unix_seconds(F.col("_metadata.file_modification_time")).alias(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.formats import format_name, sniff_code
 from ..functions.text import clean_line
 from ..operators.lookup import BROADCAST_BYTES, store_measured
-from ..session import fresh_dir
+from ..session import fresh_dir, shared_listing
 
 _STAGED = "file string, block bigint, sniffed tinyint, value string"
 
@@ -30,7 +30,9 @@ def _scan(spark: SparkSession, paths: str | list[str], options: dict) -> DataFra
     refuse_hidden(paths)
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
     reader = reader.options(**options)
-    return reader.text(paths).select(
+    with shared_listing(spark):
+        text = reader.text(paths)
+    return text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.expr(clean_line("value")).alias("value"),

@@ -199,12 +199,12 @@ def write_files(
     still growing. Each file is small and written whole, so a task may run twice.
     """
 
-    def write(pdf):
-        import pandas as pd
+    def write(rows):
+        import pyarrow as pa
         from pyarrow import fs
 
-        name = pdf["file"].iloc[0]
-        texts = pdf.sort_values("position")["value"]
+        name = rows["file"][0].as_py()
+        texts = rows.sort_by("position")["value"].to_pylist()
         data = "".join(text + "\n" for text in texts).encode("utf-8")
         for old, new in edits:
             data = data.replace(old, new)
@@ -216,18 +216,23 @@ def write_files(
         system.create_dir(f"{inner}/{name}".rpartition("/")[0], recursive=True)
         with system.open_output_stream(f"{inner}/{name}.txt") as out:
             out.write(data)
-        return pd.DataFrame({"file": [name], "size": [len(data)]})
+        return pa.table({"file": [name], "size": [len(data)]})
 
     global spent_writing
     start = time.perf_counter()
-    written = lines.groupBy("file").applyInPandas(write, "file string, size bigint")
+    written = lines.groupBy("file").applyInArrow(write, "file string, size bigint")
     written.agg(F.sum("size")).collect()
     spent_writing += time.perf_counter() - start
 
 
 def file_id(path: Column) -> Column:
-    """Name of a made file without folder and extension."""
-    return F.regexp_extract(path, r"([^/]+)\.txt\z", 1)
+    """Name of a made file without folder and extension.
+
+    The name is cut off first: an expression that may begin at any character of the path
+    is tried at each, and takes the square of a folder name's length.
+    """
+    name = F.substring_index(path, "/", -1)
+    return F.regexp_extract(name, r"^([^/]+)\.txt\z", 1)
 
 
 def run_dir(spark: SparkSession, purpose: str) -> str:
