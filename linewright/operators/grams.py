@@ -37,9 +37,21 @@ def _codes(data: np.ndarray) -> np.ndarray:
 def gram_index(parsed: DataFrame) -> DataFrame:
     """``gram, path, block`` of some lines, in order of piece.
 
-    A task goes through its lines once; only the pieces of each block are shuffled, dealt by
-    piece, file and block, so that a piece every block has is no single key.
+    Only the pieces of each block are shuffled, dealt by piece, file and block, so that a
+    piece every block has is no single key. Where to cut is sampled first, and that goes
+    through the lines once more, unless :func:`line_pieces` were stored in between.
     """
+    return in_order(line_pieces(parsed))
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    return found.repartitionByRange("gram", "path", "block").sortWithinPartitions(
+        "gram", "path", "block"
+    )
+
+
+def line_pieces(parsed: DataFrame) -> DataFrame:
+    """``gram, path, block`` of some lines, in no order."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,10 +91,7 @@ def gram_index(parsed: DataFrame) -> DataFrame:
         f"CAST((line_number - 1) DIV {INDEX_LINES} AS BIGINT) AS block",
         "lower(coalesce(value, '')) AS low",
     )
-    found = lines.mapInArrow(pieces, GRAMS_SCHEMA)
-    return found.repartitionByRange("gram", "path", "block").sortWithinPartitions(
-        "gram", "path", "block"
-    )
+    return lines.mapInArrow(pieces, GRAMS_SCHEMA)
 
 
 def needle_grams(spark: SparkSession, needle: str) -> list[int]:

@@ -27,11 +27,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.formats import format_name
-from ..operators.grams import GRAMS_SCHEMA, gram_index, search_indexed
+from ..operators.grams import GRAMS_SCHEMA, in_order, line_pieces, search_indexed
 from ..operators.lookup import BROADCAST_BYTES, store, store_measured
 from ..operators.parse import BLOCK_LINES, parse_logs
 from ..operators.search import search_logs
-from ..session import claim, dir_exists, drop_dir, list_dirs
+from ..session import claim, dir_exists, drop_dir, fresh_dir, list_dirs
 from ..sources.byte_ranges import line_ends, read_appended, resume_places
 from ..sources.listing import glob_escape, list_files
 from ..sources.text_lines import number_lines
@@ -237,8 +237,12 @@ def _commit(
 def write_index(spark: SparkSession, table: str, folder: int) -> None:
     """Index the lines of one folder, from the folder itself."""
     held = spark.read.schema(LINES_SCHEMA).parquet(f"{table}/lines/ingest_id={folder}")
-    pieces = gram_index(held.select("path", "line_number", "value"))
+    # Stored before they are put in order, so that the lines are gone through once.
+    found = fresh_dir(spark, "pieces")
+    line_pieces(held.select("path", "line_number", "value")).write.parquet(found)
+    pieces = in_order(spark.read.schema(GRAMS_SCHEMA).parquet(found))
     pieces.write.mode("overwrite").parquet(f"{table}/index/ingest_id={folder}")
+    drop_dir(spark, found)
 
 
 def index_table(spark: SparkSession, table: str) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import linewright as lw
 from linewright import session
+from linewright.plans import ingest as ingesting
 from linewright.sources import byte_ranges
 from workload import inputs
 
@@ -68,3 +69,19 @@ def test_files_are_looked_at_by_many_tasks(spark, tmp_path):
     ends = byte_ranges.line_ends(files)
     assert {(r.n, r.end_offset) for r in ends.collect() if r.end_offset} == {(7, 2)}
     assert ends.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_an_index_goes_through_the_lines_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("".join(f"line {i}\n" for i in range(500)))
+    seen = spark.sparkContext.accumulator(0)
+    note = F.udf(lambda value: seen.add(1) or value, "string")
+    name = "line_pieces" if hasattr(ingesting, "line_pieces") else "gram_index"
+    build = getattr(ingesting, name)
+    monkeypatch.setattr(
+        ingesting, name, lambda lines: build(lines.withColumn("value", note("value")))
+    )
+    table = str(tmp_path / "table")
+    lw.ingest(spark, str(tmp_path / "logs"), table, index=True)
+    assert seen.value == 500
+    assert lw.search_table(spark, table, "LINE 77").count() == 1
