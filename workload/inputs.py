@@ -199,12 +199,12 @@ def write_files(
     still growing. Each file is small and written whole, so a task may run twice.
     """
 
-    def write(rows):
-        import pyarrow as pa
+    def write(pdf):
+        import pandas as pd
         from pyarrow import fs
 
-        name = rows["file"][0].as_py()
-        texts = rows.sort_by("position")["value"].to_pylist()
+        name = pdf["file"].iloc[0]
+        texts = pdf.sort_values("position")["value"]
         data = "".join(text + "\n" for text in texts).encode("utf-8")
         for old, new in edits:
             data = data.replace(old, new)
@@ -216,11 +216,11 @@ def write_files(
         system.create_dir(f"{inner}/{name}".rpartition("/")[0], recursive=True)
         with system.open_output_stream(f"{inner}/{name}.txt") as out:
             out.write(data)
-        return pa.table({"file": [name], "size": [len(data)]})
+        return pd.DataFrame({"file": [name], "size": [len(data)]})
 
     global spent_writing
     start = time.perf_counter()
-    written = lines.groupBy("file").applyInArrow(write, "file string, size bigint")
+    written = lines.groupBy("file").applyInPandas(write, "file string, size bigint")
     written.agg(F.sum("size")).collect()
     spent_writing += time.perf_counter() - start
 
