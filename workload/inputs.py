@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import time
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from linewright.functions import sql
@@ -13,6 +17,9 @@ from linewright.session import fresh_dir
 
 from . import shapes
 
+# Executors need no installed copy of this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Lines of one made file: its writer holds no more than these.
 SEGMENT_EVENTS = 2500
 SEGMENT_DOCS = 250
@@ -33,13 +40,16 @@ def _by_type(names: dict, other: str) -> str:
     return sql.case(branches, sql.text(other))
 
 
+# An event's stamp is formatted once, and its fields are cut out of that text.
+STAMP = "date_format(ts, 'HH:mm:ss.SSS|MM-dd|MMM|yyyy-MM-dd')"
+
 FIELDS = {
-    "d": "date_format(ts, 'yyyy-MM-dd')",
-    "t": "date_format(ts, 'HH:mm:ss')",
-    "f": "date_format(ts, 'SSS')",
-    "m": "date_format(ts, 'MMM')",
-    "dd": "date_format(ts, 'dd')",
-    "md": "date_format(ts, 'MM-dd')",
+    "d": "substring_index(stamp, '|', -1)",
+    "t": "substring(stamp, 1, 8)",
+    "f": "substring(stamp, 10, 3)",
+    "m": "substring(stamp, 20, 3)",
+    "dd": "substring(stamp, 17, 2)",
+    "md": "substring(stamp, 14, 5)",
     "u": "CAST(user_id AS STRING)",
     "one": "CAST(user_id % 10 AS STRING)",
     "h": "CAST(user_id % 7 AS STRING)",
@@ -51,6 +61,10 @@ FIELDS = {
 }
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("stamp", F.expr(STAMP))
+
+
 def _line(shape: str) -> Column:
     parts = [
         FIELDS[text] if kind == "field" else sql.text(text)
@@ -64,7 +78,7 @@ def file_lines(
 ) -> DataFrame:
     """Lines of one of the four log files."""
     if events is None:
-        events = table(spark, sf_dir, "events")
+        events = _events(spark, sf_dir)
     return events.select(
         F.lit(path).alias("path"),
         (F.col("event_id") + 1).alias("line_number"),
@@ -74,7 +88,7 @@ def file_lines(
 
 def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the four log files together."""
-    events = table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     frames = [file_lines(spark, sf_dir, path, events) for path in shapes.FILES]
     result = frames[0]
     for frame in frames[1:]:
@@ -88,7 +102,7 @@ def odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = f"element_at({odd}, CAST(event_id % {len(shapes.ODD_SHAPES)} AS INT) + 1)"
     for name, field in FIELDS.items():
         value = f"replace({value}, '<{name}>', {field})"
-    return table(spark, sf_dir, "events").select(
+    return _events(spark, sf_dir).select(
         F.lit("odd.log").alias("path"),
         (F.col("event_id") + 1).alias("line_number"),
         F.expr(value).alias("value"),
@@ -164,7 +178,7 @@ def parsed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_lines(spark: SparkSession, sf_dir: str, *paths: str) -> DataFrame:
     """``file, position, value``: the named files cut into segments."""
-    events = table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     frames = [file_lines(spark, sf_dir, path, events) for path in paths]
     lines = frames[0]
     for frame in frames[1:]:
@@ -188,12 +202,88 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _system(folder: str):
+    """File system of a folder, and its path there."""
+    from pyarrow import fs
+
+    if "://" in folder:
+        return fs.FileSystem.from_uri(folder)
+    return fs.LocalFileSystem(), folder.removeprefix("file:")
+
+
+def _write_file(folder: str, name: str, data: bytes) -> None:
+    system, inner = _system(folder)
+    system.create_dir(f"{inner}/{name}".rpartition("/")[0], recursive=True)
+    with system.open_output_stream(f"{inner}/{name}.txt") as out:
+        out.write(data)
+
+
+def _file_bytes(texts, edits: tuple = ()) -> bytes:
+    data = "".join(text + "\n" for text in texts).encode("utf-8")
+    for old, new in edits:
+        data = data.replace(old, new)
+    return data
+
+
+def make_files(lines: DataFrame, *kept: str) -> list[DataFrame]:
+    """Whole files of the lines that each condition keeps, in a folder of their own.
+
+    Each frame (``file, size, whole``) names those of one condition. :func:`write_files`
+    takes it in place of the lines, which are then made, moved and sorted once, however
+    often a query writes them.
+    """
+    spark = lines.sparkSession
+    folders = [fresh_dir(spark, "whole") for _ in kept]
+
+    def write(pdf):
+        import pandas as pd
+
+        name = pdf["file"].iloc[0]
+        pdf = pdf.sort_values("position")
+        rows = []
+        for i, folder in enumerate(folders):
+            texts = pdf["value"][pdf[f"kept_{i}"]]
+            if len(texts):
+                data = _file_bytes(texts)
+                _write_file(folder, name, data)
+                rows.append((name, i, len(data), f"{folder}/{name}.txt"))
+        return pd.DataFrame(rows, columns=["file", "i", "size", "whole"])
+
+    global spent_writing
+    start = time.perf_counter()
+    marked = lines.selectExpr(
+        "*", *(f"coalesce({test}, false) AS kept_{i}" for i, test in enumerate(kept))
+    )
+    schema = "file string, i int, size bigint, whole string"
+    made = store(marked.groupBy("file").applyInPandas(write, schema), "made")
+    spent_writing += time.perf_counter() - start
+    return [made.filter(F.col("i") == i).drop("i") for i in range(len(kept))]
+
+
+def _write_shares(made: DataFrame, folder: str, share: float) -> DataFrame:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = []
+            for row in batch.to_pylist():
+                system, whole = _system(row["whole"])
+                with system.open_input_stream(whole) as source:
+                    data = source.read(int(row["size"] * share))
+                _write_file(folder, row["file"], data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], names=["size"])
+
+    # A row is a file to write: few bytes of rows would come to a single task.
+    tasks = 4 * made.sparkSession.sparkContext.defaultParallelism
+    return made.repartition(tasks, "file").mapInArrow(write, "size bigint")
+
+
 def write_files(
     lines: DataFrame, folder: str, share: float = 1.0, edits: tuple = ()
 ) -> None:
     """Write ``<folder>/<file>.txt`` for every ``file``, lines by position.
 
-    ``edits`` are pairs of bytes to look for and to put in their place.
+    ``lines`` may be a frame of :func:`make_files`. ``edits`` are pairs of bytes to look for
+    and to put in their place.
 
     ``share`` below 1 writes that part of the bytes only, as a file looks that is
     still growing. Each file is small and written whole, so a task may run twice.
@@ -201,26 +291,21 @@ def write_files(
 
     def write(pdf):
         import pandas as pd
-        from pyarrow import fs
 
         name = pdf["file"].iloc[0]
-        texts = pdf.sort_values("position")["value"]
-        data = "".join(text + "\n" for text in texts).encode("utf-8")
-        for old, new in edits:
-            data = data.replace(old, new)
+        data = _file_bytes(pdf.sort_values("position")["value"], edits)
         data = data[: int(len(data) * share)]
-        if "://" in folder:
-            system, inner = fs.FileSystem.from_uri(folder)
-        else:
-            system, inner = fs.LocalFileSystem(), folder.removeprefix("file:")
-        system.create_dir(f"{inner}/{name}".rpartition("/")[0], recursive=True)
-        with system.open_output_stream(f"{inner}/{name}.txt") as out:
-            out.write(data)
+        _write_file(folder, name, data)
         return pd.DataFrame({"file": [name], "size": [len(data)]})
 
     global spent_writing
     start = time.perf_counter()
-    written = lines.groupBy("file").applyInPandas(write, "file string, size bigint")
+    if "whole" in lines.columns:
+        if edits:
+            raise ValueError("files that are made already are not edited")
+        written = _write_shares(lines, folder, share)
+    else:
+        written = lines.groupBy("file").applyInPandas(write, "file string, size bigint")
     written.agg(F.sum("size")).collect()
     spent_writing += time.perf_counter() - start
 
@@ -232,7 +317,8 @@ def file_id(path: Column) -> Column:
     is tried at each, and takes the square of a folder name's length.
     """
     name = F.substring_index(path, "/", -1)
-    return F.regexp_extract(name, r"^([^/]+)\.txt\z", 1)
+    stem = F.left(name, F.char_length(name) - 4)
+    return F.when(F.endswith(name, F.lit(".txt")), stem).when(name.isNotNull(), "")
 
 
 def run_dir(spark: SparkSession, purpose: str) -> str:

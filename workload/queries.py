@@ -131,10 +131,10 @@ def ingest_manifest(spark, sf_dir) -> DataFrame:
 def ingest_refresh(spark, sf_dir) -> DataFrame:
     source = inputs.run_dir(spark, "segments")
     table = inputs.run_dir(spark, "table")
-    lines = _segments(spark, sf_dir)
-    inputs.write_files(lines, source, share=0.6)
+    (made,) = inputs.make_files(_segments(spark, sf_dir), "true")
+    inputs.write_files(made, source, share=0.6)
     lw.ingest(spark, source, table)
-    inputs.write_files(lines, source)
+    inputs.write_files(made, source)
     lw.ingest(spark, source, table)
     return lw.read_parsed(spark, table).select(
         inputs.file_id(F.col("path")).alias("file_id"),
@@ -150,9 +150,9 @@ def ingest_append(spark, sf_dir) -> DataFrame:
     """Files that grow twice: which commit holds each line tells that only new ones were read."""
     source = inputs.run_dir(spark, "segments")
     table = inputs.run_dir(spark, "table")
-    lines = _segments(spark, sf_dir)
+    (made,) = inputs.make_files(_segments(spark, sf_dir), "true")
     for share in GROWTH:
-        inputs.write_files(lines, source, share=share)
+        inputs.write_files(made, source, share=share)
         lw.ingest(spark, source, table)
     current = ingest.current_lines(spark, table, ingest.live_rows(spark, table))
     return current.select(
@@ -170,11 +170,11 @@ def ingest_compacted(spark, sf_dir) -> DataFrame:
     """Files that are replaced, compacted, appended to and compacted again."""
     source = inputs.run_dir(spark, "segments")
     table = inputs.run_dir(spark, "table")
-    lines = _segments(spark, sf_dir)
-    inputs.write_files(lines.filter("position % 3 = 0"), source)
+    third, made = inputs.make_files(_segments(spark, sf_dir), "position % 3 = 0", "true")
+    inputs.write_files(third, source)
     lw.ingest(spark, source, table)
     for share in (0.6, 1.0):
-        inputs.write_files(lines, source, share=share)
+        inputs.write_files(made, source, share=share)
         lw.ingest(spark, source, table)
         lw.compact(spark, table)
     return lw.read_parsed(spark, table).select(
@@ -381,9 +381,9 @@ def search_table(spark, sf_dir) -> DataFrame:
     """The same over a table that was indexed at ingest, and grew and was compacted since."""
     source = inputs.run_dir(spark, "segments")
     table = inputs.run_dir(spark, "table")
-    lines = _segments(spark, sf_dir)
+    (made,) = inputs.make_files(_segments(spark, sf_dir), "true")
     for share in (0.6, 1.0):
-        inputs.write_files(lines, source, share=share)
+        inputs.write_files(made, source, share=share)
         lw.ingest(spark, source, table, index=True)
     lw.compact(spark, table)
     matches = lw.search_table(spark, table, RARE.upper())
@@ -641,10 +641,11 @@ def _grow_and_follow(spark, sf_dir, run) -> None:
     """Files are written in part, followed, completed, and followed again."""
     source = inputs.run_dir(spark, "growing")
     lines = inputs.segment_lines(spark, sf_dir, "app.log")
-    inputs.write_files(lines, source, share=0.6)
+    (made,) = inputs.make_files(lines, "true")
+    inputs.write_files(made, source, share=0.6)
     paths = inputs.file_paths(spark, source)
     run(lw.follow(spark, paths))
-    inputs.write_files(lines, source)
+    inputs.write_files(made, source)
     run(lw.follow(spark, paths))
 
 
@@ -696,36 +697,36 @@ def _follow_two(spark, paths, first, second) -> DataFrame:
 def follow_unfinished(spark, sf_dir) -> DataFrame:
     """Files of all formats that end within a line: that line isn't there yet."""
     source = inputs.run_dir(spark, "growing")
-    lines = _segments(spark, sf_dir)
+    (made,) = inputs.make_files(_segments(spark, sf_dir), "true")
     return _follow_two(
         spark,
         lambda: inputs.file_paths(spark, source),
-        lambda: inputs.write_files(lines, source, share=0.3),
-        lambda: inputs.write_files(lines, source, share=UNFINISHED),
+        lambda: inputs.write_files(made, source, share=0.3),
+        lambda: inputs.write_files(made, source, share=UNFINISHED),
     )
 
 
 def follow_rotated(spark, sf_dir) -> DataFrame:
     """Files that are replaced by smaller ones: the lines of both are there."""
     source = inputs.run_dir(spark, "growing")
-    lines = _segments(spark, sf_dir)
+    third, made = inputs.make_files(_segments(spark, sf_dir), "position % 3 = 0", "true")
     return _follow_two(
         spark,
         lambda: inputs.file_paths(spark, source),
-        lambda: inputs.write_files(lines, source),
-        lambda: inputs.write_files(lines.filter("position % 3 = 0"), source),
+        lambda: inputs.write_files(made, source),
+        lambda: inputs.write_files(third, source),
     )
 
 
 def follow_replaced_larger(spark, sf_dir) -> DataFrame:
     """Files that are replaced by larger ones: the lines of both are there."""
     source = inputs.run_dir(spark, "growing")
-    lines = _segments(spark, sf_dir)
+    third, made = inputs.make_files(_segments(spark, sf_dir), "position % 3 = 1", "true")
     return _follow_two(
         spark,
         lambda: inputs.file_paths(spark, source),
-        lambda: inputs.write_files(lines.filter("position % 3 = 1"), source),
-        lambda: inputs.write_files(lines, source),
+        lambda: inputs.write_files(third, source),
+        lambda: inputs.write_files(made, source),
     )
 
 
@@ -734,15 +735,15 @@ def follow_folder(spark, sf_dir) -> DataFrame:
     source, state, out, checkpoint = (
         inputs.run_dir(spark, p) for p in ("growing", "state", "out", "checkpoint")
     )
-    lines = _segments(spark, sf_dir)
+    (made,) = inputs.make_files(_segments(spark, sf_dir), "true")
 
     def stream() -> DataFrame:
         there = lw.list_files(spark, source).agg(F.sum("file_size")).first()[0]
         return lw.follow_folder(spark, source, state, batch_bytes=1 + there // BATCHES)
 
-    inputs.write_files(lines.filter("file NOT LIKE 'svc%'"), source, share=0.6)
+    inputs.write_files(made.filter("file NOT LIKE 'svc%'"), source, share=0.6)
     sinks.append_available(stream(), out, checkpoint)
-    inputs.write_files(lines, source)
+    inputs.write_files(made, source)
     sinks.append_until_idle(stream(), out, checkpoint)
     return spark.read.parquet(out).select(
         inputs.file_id(F.col("path")).alias("file_id"),
