@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.formats import detect_format
-from ..functions.text import clean_line
+from ..functions.text import clean_line, let
 from ..operators.parse import parse_logs, pin_level
 from ..sources.text_lines import file_uri
 from ..session import qualified
@@ -103,7 +103,9 @@ def follow_folder(
 
 def _parse_tail(lines: DataFrame, format: str | None) -> DataFrame:
     if format is None:
-        told = detect_format("path", "head")
+        # Bound to a variable, it is compiled apart from the parsing: both in one method are more
+        # bytecode than the JVM compiles, and every line would be interpreted.
+        told = let("told", detect_format("path", "head"), "told")
         lines = lines.withColumn("format", F.expr(told))
     return _parse_stream(lines, "byte_offset", format)
 
