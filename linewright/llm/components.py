@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from .common import staged
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(
+def _stored(links: DataFrame) -> tuple[DataFrame, dict]:
+    """The links, stored, and what tells one set of them from another, summed up on the way."""
+    seen = Observation()
+    told = links.observe(
+        seen,
         F.count(F.lit(1)).alias("n"),
         F.expr("bit_xor(xxhash64(a, b))").alias("x"),
         F.expr("sum(CAST(pmod(xxhash64(b, a), 1000003) AS BIGINT))").alias("s"),
-    ).first()
-    return tuple(row)
+    )
+    return staged(told, "links"), seen.get
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,14 +28,12 @@ def components(links: DataFrame) -> DataFrame:
     and a join that adaptive execution can split, and is stored, so a lost executor
     costs one round at most. Links of a node to itself and repeated links don't matter.
     """
-    links = staged(
+    links, state = _stored(
         links.filter("a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        "links",
+        .distinct()
     )
-    state = _state(links)
-    while state[0]:
+    while state.get("n"):
         both = links.select("a", "b").union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.filter("b > a").join(least, "a").selectExpr("b AS a", "m AS b")
@@ -45,8 +46,8 @@ def components(links: DataFrame) -> DataFrame:
             .union(least.selectExpr("a", "m AS b"))
             .distinct()
         )
-        links = staged(small, "links")
-        before, state = state, _state(links)
+        before = state
+        links, state = _stored(small)
         if state == before:
             break
     roots = links.select(F.col("b").alias("node")).distinct()

@@ -189,20 +189,45 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                 )
 
     got = sample.mapInArrow(frugal(measure), "lang string, x binary").toArrow()
-    place_of = {name: i for i, name in enumerate(languages)}
-    labels = np.array([place_of[v] for v in got["lang"].to_pylist()], dtype=np.int64)
-    x = np.frombuffer(b"".join(v.as_py() for v in got["x"]), dtype=np.float16)
-    x = x.reshape(-1, FEATURES)
+    x, labels = _in_order(got, languages)
     del got
-    # The order rows arrive in must not matter.
-    order = np.lexsort((x[:, 1], x[:, 0], x.sum(axis=1, dtype=np.float32), labels))
-    x = x[order].astype(np.float32)
-    model = fit(x, labels[order], languages)
+    model = fit(x, labels, languages)
     del x
     give_back()
     return model
 
 
+def _in_order(got: pa.Table, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of ``lang, x`` in an order that the order of the rows can't change.
+
+    Rows go to their places one batch at a time, so that the matrix is there only once.
+    """
+    place_of = {name: i for i, name in enumerate(languages)}
+    labels = np.array([place_of[v] for v in got["lang"].to_pylist()], dtype=np.int64)
+    keys = np.zeros((3, len(labels)), dtype=np.float32)
+
+    def parts() -> Iterator[tuple[int, np.ndarray]]:
+        at = 0
+        for batch in got.to_batches():
+            column = batch.column("x").cast(pa.large_binary())
+            if len(column):
+                _, cuts, raw = column.buffers()
+                first = int(np.frombuffer(cuts, np.int64)[column.offset])
+                rows = np.frombuffer(raw, np.float16, len(column) * FEATURES, first)
+                yield at, rows.reshape(-1, FEATURES)
+            at += len(column)
+
+    for at, rows in parts():
+        keys[:, at : at + len(rows)] = rows[:, 1], rows[:, 0], rows.sum(axis=1, dtype=np.float32)
+    order = np.lexsort((*keys, labels))
+    places = np.empty_like(order)
+    places[order] = np.arange(len(order))
+    x = np.empty((len(order), FEATURES), dtype=np.float32)
+    for at, rows in parts():
+        x[places[at : at + len(rows)]] = rows
+    return x, labels[order]
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` plus ``lang_pred, score, ambiguous, rejected`` of each whole text."""
 
