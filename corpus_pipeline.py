@@ -7,6 +7,9 @@ a benchmark item go, and what is left is packed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from linewright.llm import (
@@ -16,27 +19,43 @@ from linewright.llm import (
     rlz_dedup,
     simhash,
 )
-from linewright.llm.common import staged, table
+from linewright.llm.common import relieve_executors, staged, table
+
+
+def relieved(stage: Callable) -> Callable:
+    """A stage that begins without the heap that the stages before it left grown."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        relieve_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@relieved
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ecoc_language.keep_identified(docs)
 
 
+@relieved
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
+@relieved
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rlz_dedup.remove_copies(docs)
 
 
+@relieved
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return contain_minhash.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@relieved
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # The executors still have the memory of the stages before.
+    # The executors still have some memory of the stages before.
     return harmonic_pack.pack(docs, encoder_words=200_000, encoder_bytes=2 << 20)
 
 

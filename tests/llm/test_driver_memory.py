@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from linewright.llm import common, components, ecoc_language, simhash
 
 from .conftest import prose
@@ -34,6 +35,19 @@ def test_a_small_heap_is_left_alone(spark, monkeypatch, collections):
     assert collections() == before
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_a_stage_begins_with_a_collected_heap(spark, docs, tmp_path, monkeypatch, collections, name):
+    """The session is its own executor here; the driver's own relief is off."""
+    monkeypatch.setattr(common, "HEAP_SHARE", 1.0)
+    frame = docs([(i, prose(i, 30)) for i in range(4)])
+    spark.createDataFrame([(0, prose(9, 30))], "item_id bigint, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet"
+    )
+    before = collections()
+    dict(corpus_pipeline.STAGES)[name](spark, frame, str(tmp_path))
+    assert collections() > before
+
+
 def test_a_round_of_components_is_one_job_with_its_sums(spark):
     """A chain takes several rounds; each used to run another job to see if it changed."""
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
